@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake import catalog
@@ -60,46 +60,57 @@ def _number_text(number: Column) -> Column:
     return F.concat_ws(".", *shifts)
 
 
-def _ipv6_digits(ip: Column) -> Column:
-    """The 32 hex digits of an IPv6 address; NULL when the text is not one."""
-    bare = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
-    # A dotted-quad tail stands for the last two groups.
-    quad = ipv4_number(F.substring_index(bare, ":", -1))
-    tail = F.lower(F.concat(F.hex(F.shiftright(quad, 16)), F.lit(":"), F.hex(quad.bitwiseAND(65535))))
-    text = F.when(bare.contains("."), F.concat(F.regexp_extract(bare, r"^(.*:)[^:]*$", 1), tail)).otherwise(bare)
-    groups = F.size(F.regexp_extract_all(text, F.lit(r"([0-9a-f]+)"), F.lit(1)))
-    well_formed = text.rlike(r"^[0-9a-f:]+$") & ~text.rlike(r":::|::.*::|[0-9a-f]{5}|^:[^:]|[^:]:$")
-    complete = F.when(text.contains("::"), groups <= 7).otherwise(groups == 8)
-    filled = F.replace(text, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - groups)))
-    padded = F.regexp_replace(filled, r"([0-9a-f]+)", "000$1")
-    digits = F.regexp_replace(padded, r":?[0-9a-f]*([0-9a-f]{4})(?=:|$):?", "$1")
-    return F.when(well_formed & complete, digits)
-
-
 def _location_v4(ip: Column) -> Column:
     return F.when(ip.rlike(_PRIVATE_V4), "internal").when(
         ip.rlike(_SHARED_V4), "special").otherwise("external")
 
 
-def ip_location(ip: Column) -> Column:
-    """localhost, internal, external, special or unknown.
+def _with_ipv6_digits(df: DataFrame, ip: str) -> DataFrame:
+    """Adds `_digits`, the 32 hex digits of an IPv6 address or NULL.
+
+    Step by step, as columns: one nested expression would exceed what a
+    generated method may hold.
+    """
+    c = F.col
+    bare = F.lower(F.regexp_replace(F.col(ip), r"%[^%]+$", ""))
+    df = df.withColumn("_bare", F.when(c(ip).contains(":"), bare))
+    # A dotted-quad tail stands for the last two groups.
+    df = df.withColumn("_quad", F.when(
+        c("_bare").contains("."), ipv4_number(F.substring_index("_bare", ":", -1))))
+    tail = F.lower(F.concat(F.hex(F.shiftright("_quad", 16)), F.lit(":"), F.hex(c("_quad").bitwiseAND(65535))))
+    df = df.withColumn("_text", F.when(c("_bare").contains("."), F.concat(
+        F.regexp_extract("_bare", r"^(.*:)[^:]*$", 1), tail)).otherwise(c("_bare")))
+    df = df.withColumn("_groups", F.size(F.regexp_extract_all("_text", F.lit(r"([0-9a-f]+)"), F.lit(1))))
+    malformed = r":::|::.*::|[0-9a-f]{5}|^:[^:]|[^:]:$"
+    complete = F.when(c("_text").contains("::"), c("_groups") <= 7).otherwise(c("_groups") == 8)
+    ok = c("_text").rlike(r"^[0-9a-f:]+$") & ~c("_text").rlike(malformed) & complete
+    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), 8 - c("_groups")))
+    padded = F.regexp_replace(F.replace(c("_text"), F.lit("::"), zeros), r"([0-9a-f]+)", "000$1")
+    digits = F.regexp_replace(padded, r":?[0-9a-f]*([0-9a-f]{4})(?=:|$):?", "$1")
+    return df.withColumn("_digits", F.when(ok, digits)).drop("_bare", "_quad", "_text", "_groups")
+
+
+def with_location(df: DataFrame, ip: str, out: str) -> DataFrame:
+    """Adds where an address is: localhost, internal, external, special or unknown (F1).
 
     Documentation and benchmark ranges count as internal, multicast as external.
+    NULL stays NULL.
     """
-    digits = _ipv6_digits(ip)
-    mapped = _number_text(F.conv(F.right(digits, F.lit(8)), 16, 10).cast("bigint"))
+    c = F.col
+    df = _with_ipv6_digits(df, ip)
+    df = df.withColumn("_mapped", F.when(c("_digits").rlike(_MAPPED_V6), _number_text(
+        F.conv(F.right("_digits", F.lit(8)), 16, 10).cast("bigint"))))
     location6 = (
-        F.when(digits.rlike(_MAPPED_V6), _location_v4(mapped))
-        .when(digits.rlike(_PRIVATE_V6) & ~digits.rlike(_GLOBAL_V6), "internal")
-        .when(digits.isNotNull(), "external")
-        .otherwise("unknown")
-    )
-    return (
-        F.when(ip.isin("127.0.0.1", "::1"), "localhost")
-        .when(ip.rlike(_IPV4), _location_v4(ip))
-        .when(ip.contains(":"), location6)
-        .otherwise("unknown")
-    )
+        F.when(c("_mapped").isNotNull(), _location_v4(c("_mapped")))
+        .when(c("_digits").rlike(_PRIVATE_V6) & ~c("_digits").rlike(_GLOBAL_V6), "internal")
+        .otherwise("external"))
+    location = (
+        F.when(c(ip).isNull(), F.lit(None).cast("string"))
+        .when(c(ip).isin("127.0.0.1", "::1"), "localhost")
+        .when(c(ip).rlike(_IPV4), _location_v4(c(ip)))
+        .when(c("_digits").isNotNull(), location6)
+        .otherwise("unknown"))
+    return df.withColumn(out, location).drop("_digits", "_mapped")
 
 
 def protocol_name(number: Column) -> Column:

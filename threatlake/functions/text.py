@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake import catalog
@@ -22,7 +22,7 @@ def collect_when(pairs: list[tuple[Column, Column]], array_type: str) -> Column:
 
 def fixed(value: Column, places: int) -> Column:
     """Number with a fixed count of decimals, rounded half-even on the exact binary value."""
-    return F.format_number(value, "0." + "0" * places)
+    return F.call_function("format_number", value, F.lit("0." + "0" * places))
 
 
 def basename(path: Column) -> Column:
@@ -61,3 +61,17 @@ def regex(pattern: str) -> str:
 
 def non_empty(value: Column) -> Column:
     return F.coalesce(value != "", F.lit(False))
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter on costly derived columns that is not pushed below them.
+
+    The optimizer would inline such columns into a pushed filter, and so compute
+    them twice; a generator over a zero- or one-element array stays in place.
+    """
+    return df.withColumn("_kept", F.explode(F.when(condition, F.array(F.lit(True))))).drop("_kept")
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that later filters and projections refer to, not repeat."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))

@@ -24,9 +24,8 @@ def parse_events(lines: DataFrame, default_year: int | None = None) -> DataFrame
         ev.json_process(F.col("_json"), default_year),
         ev.generic(line),
     )
-    staged = staged.withColumn("_event", parsed).drop("_created", "_allowed", "_ssh", "_json")
-    return staged.select(
-        *[c for c in lines.columns], *[F.col("_event")[n].alias(n) for n in schemas.EVENT_COLUMNS])
+    # The generator keeps later filters on event columns from being inlined into the parsers.
+    return staged.select(*lines.columns, F.inline(F.array(parsed)))
 
 
 def with_details(events: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def best_rule(lines: DataFrame, rules: tuple[Rule, ...] = catalog.ROOT_RULES,
         cond = rule_condition(line, rule, low)
         hit = F.when(cond, value) if hit is None else hit.when(cond, value)
     staged = lines.withColumn("_low", F.lower(line))
-    return staged.withColumn(out, hit).drop("_low")
+    return text.computed_once(staged, out, hit).drop("_low")
 
 
 _BITS = 62
@@ -87,17 +87,12 @@ def _bit(masks: Column, i: int) -> Column:
 
 
 def with_masks(lines: DataFrame, rules: tuple[Rule, ...], only_hits: bool) -> DataFrame:
-    """Adds `_masks`; with `only_hits`, lines without a match are dropped.
-
-    The drop is a generator over a one-element array: unlike a filter it is not
-    pushed below the masks, so each regex runs once per line.
-    """
+    """Adds `_masks`; with `only_hits`, lines without a match are dropped."""
     staged = lines.withColumn("_low", F.lower("line"))
     staged = staged.withColumn("_masks", _masks(F.col("line"), F.col("_low"), rules)).drop("_low")
     if not only_hits:
         return staged
-    kept = F.when(F.array_max("_masks") != 0, F.array("_masks"))
-    return staged.withColumn("_masks", F.explode(kept))
+    return text.keep_where(staged, F.array_max("_masks") != 0)
 
 
 def all_indicators(lines: DataFrame, rules: tuple[Rule, ...] = catalog.SCAN_RULES,
@@ -169,7 +164,7 @@ def benign_rule(lines: DataFrame, column: str = "line", out: str = "benign") ->
                          F.lit(rule.multiplier).alias("multiplier"))
         cond = F.col(column).rlike(text.regex(rule.pattern))
         hit = F.when(cond, value) if hit is None else hit.when(cond, value)
-    return lines.withColumn(out, hit)
+    return text.computed_once(lines, out, hit)
 
 
 def benign_verdict(frequency: Column, benign: Column) -> tuple[Column, Column]:

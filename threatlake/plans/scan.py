@@ -35,9 +35,14 @@ def score_events(events: DataFrame, suppress_below: float = catalog.BENIGN_SUPPR
 
     Benign network events stay in, flagged `suppressed`.
     """
+    return score_known(with_dynamics(events), suppress_below)
+
+
+def score_known(events: DataFrame, suppress_below: float = catalog.BENIGN_SUPPRESS_BELOW) -> DataFrame:
+    """Scores of events that carry `frequency` and `correlated`; a map stage without a shuffle."""
     c = F.col
     is_net = c("kind") == schemas.NETWORK
-    df = lookups.with_trust(lookups.with_service(lookups.with_trusted(with_dynamics(events))))
+    df = lookups.with_trust(lookups.with_service(lookups.with_trusted(events)))
     df = net.with_location(df, "source_ip", "source_location")
     df = net.with_location(df, "dest_ip", "dest_location")
     df = df.withColumn("time_factor", times.time_multiplier(c("event_time")))
@@ -213,6 +218,27 @@ def choose_verdicts(rule_lines: DataFrame, dynamic: DataFrame) -> DataFrame:
         F.when(c("_wins"), "dynamic").otherwise("rule").alias("verdict_source"))
 
 
+def stateless_findings(lines: DataFrame, default_year: int | None = None) -> DataFrame:
+    """Findings from each line alone: rules, and scores of an event seen once.
+
+    No shuffle and no state, so it also runs on a stream.
+    """
+    c = F.col
+    one = F.lit(1).cast("bigint")
+    parsed = matching.best_rule(extract.parse_events(lines, default_year))
+    scored = score_known(parsed.withColumns({"frequency": one, "correlated": one}))
+    known = c("kind").isin(schemas.NETWORK, schemas.PROCESS) & ~c("suppressed") & (c("dynamic_severity") >= 2)
+    scored = scored.withColumn("_dynamic", F.when(known, c("dynamic_severity")))
+    wins = prefers_dynamic(c("_dynamic"), c("rule"))
+    kept = text.keep_where(scored.withColumn("_wins", wins), c("_wins") | c("rule").isNotNull())
+    return kept.select(
+        *LINE_KEY, c("line").alias("content"), "event_time", "kind",
+        F.when(c("_wins"), c("_dynamic")).otherwise(c("rule")["severity"]).alias("severity"),
+        F.when(c("_wins"), c("risk")).alias("risk"),
+        F.when(~c("_wins"), c("rule")["category"]).alias("category"),
+        F.when(c("_wins"), "dynamic").otherwise("rule").alias("verdict_source"))
+
+
 def scan(lines: DataFrame, default_year: int | None = None, context: bool = False,
          related: bool = False, land: bool = True,
          suppress_below: float = catalog.BENIGN_SUPPRESS_BELOW) -> DataFrame:

@@ -123,9 +123,9 @@ def rule_hits(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """One row per (line, matching rule): rule_id and the line's own columns."""
     line, low = F.col("line"), F.col("_low")
     pairs = [(rule_condition(line, r, low), F.lit(r.rule_id)) for r in rules]
-    staged = lines.withColumn("_low", F.lower(line)).withColumn(
-        "rule_id", text.collect_when(pairs, "array<int>"))
-    return staged.drop("_low").withColumn("rule_id", F.explode("rule_id"))
+    staged = lines.withColumn("_low", F.lower(line))
+    # Exploding the expression itself: for a column, a size filter would be inferred below it.
+    return staged.withColumn("rule_id", F.explode(text.collect_when(pairs, "array<int>"))).drop("_low")
 
 
 def rules_from_table(rules: DataFrame) -> tuple[Rule, ...]:

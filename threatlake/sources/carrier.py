@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatlake.functions import text
+
 # Line fragments by position in the list.
 PORTS = (80, 443, 22, 3389, 4444, 1433, 445, 31337)
 EXECUTABLES = ("svchost.exe", "lsass.exe", "chrome.exe", "evil.exe", "tmp1.exe")
@@ -122,10 +124,11 @@ def derive_lines(events: DataFrame) -> DataFrame:
     line = F.when(eid % 12 == 0, templates[0])
     for i, template in enumerate(templates[1:], 1):
         line = line.when(eid % 12 == i, template)
+    staged = text.computed_once(staged, "line", line)
     return staged.select(
         "event_id", (eid + 1).alias("line_number"),
         F.concat(F.lit("day"), (block % 3).cast("string"), F.lit(".log")).alias("source_file"),
-        "log_ts", line.alias("line"), F.lit("generic").alias("log_type"))
+        "log_ts", "line", F.lit("generic").alias("log_type"))
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +139,9 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdicts_for(findings: DataFrame) -> DataFrame:
     """One verdict text per finding, none for every seventh line."""
     n = F.col("line_number")
-    text = F.concat(
+    body = F.concat(
         F.lit("IS_FALSE_POSITIVE: "), F.when(n % 3 == 0, "true").otherwise("false"),
         F.lit("\nCONFIDENCE: 0."), (n % 10).cast("string"), F.lit("\nEXPLANATION: sample\nREVISED_SEVERITY: "),
         (n % 6).cast("string"))
     return findings.filter(n % 7 != 0).select(
-        "source_file", "line_number", F.lit("false_positive").alias("kind"), text.alias("text"))
+        "source_file", "line_number", F.lit("false_positive").alias("kind"), body.alias("text"))

@@ -132,7 +132,7 @@ def triage(findings: DataFrame, verdicts: DataFrame, details: DataFrame) -> Data
         *LINE_KEY, "content", F.coalesce(value("THREAT"), F.lit("Unknown")).alias("threat"),
         F.coalesce(value("CONFIDENCE"), F.lit("0")).alias("confidence"), severity.alias("severity"),
         F.coalesce(value("EXPLANATION"), F.lit("No explanation provided")).alias("explanation"),
-        F.transform(F.split(value("ACTIONS"), ","), F.trim).alias("actions"))
+        F.transform(F.split(value("ACTIONS"), ","), lambda a: F.trim(a)).alias("actions"))
 
 
 # -- evidence texts --------------------------------------------------------------

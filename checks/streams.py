@@ -1,0 +1,122 @@
+"""Streaming (R): each query reads the events table as a stream and runs it to the end of the input.
+
+Windows still open at the watermark stay unwritten, so the SQL sides keep only
+windows that end five minutes before the latest event.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from checks.oracle_base import sql
+from checks.registry import query
+from checks.tables import YEAR, Tables
+from threatlake.sources import carrier
+from threatlake.streaming import streams
+
+c = F.col
+# The latest time behind which windows are complete.
+_CLOSED = "(SELECT max(event_time) - INTERVAL 5 MINUTES FROM ev WHERE kind <> 'GENERIC')"
+
+
+def line_stream(t: Tables) -> DataFrame:
+    schema = t.table("events").schema
+    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return carrier.derive_lines(rows).select("source_file", "line_number", "line", "log_type")
+
+
+def event_stream(t: Tables) -> DataFrame:
+    return streams.events(line_stream(t), YEAR)
+
+
+def _stateless_sql() -> str:
+    return sql("best scored", """
+WITH alone AS (SELECT *, CASE WHEN kind = 'NETWORK' THEN connection_risk * trust_multiplier * CAST(benign_factor AS DOUBLE)
+    ELSE greatest(trust_multiplier, command_risk) * CASE WHEN time_factor > 1.01 THEN time_factor ELSE CAST(1 AS DOUBLE) END END AS u FROM risk2),
+a2 AS (SELECT *, CASE WHEN kind = 'NETWORK' AND (connection_risk < 0.5 OR trust >= 0.9) AND u > 1
+        THEN greatest(CAST(0.5 AS DOUBLE), least(connection_risk * trust_multiplier * CAST(benign_factor AS DOUBLE), u * CAST(0.3 AS DOUBLE)))
+    WHEN kind = 'PROCESS' AND trust >= 0.9 AND command_risk < 2.5 AND u > 1
+        THEN greatest(CAST(0.5 AS DOUBLE), least(greatest(CAST(1 AS DOUBLE), command_risk) * (1 + (time_factor - 1) * CAST(0.1 AS DOUBLE)), u * CAST(0.25 AS DOUBLE)))
+    ELSE u END AS r FROM alone),
+a3 AS (SELECT *, CASE WHEN kind = 'NETWORK' THEN CASE WHEN r < 1 THEN 1 WHEN r < 2 THEN 2 WHEN r < 4 THEN 3 WHEN r < 6 THEN 4 ELSE 5 END
+    ELSE CASE WHEN r < 1.2 THEN 1 WHEN r < 2.2 THEN 2 WHEN r < 4.5 THEN 3 WHEN r < 7 THEN 4 ELSE 5 END END AS s FROM a2),
+a4 AS (SELECT * FROM a3 WHERE s >= 2 AND NOT suppressed),
+both_sides AS (SELECT coalesce(a.source_file, b.source_file) AS source_file, coalesce(a.line_number, b.line_number) AS line_number, a.s, b.severity AS rs,
+    a.s IS NOT NULL AND (b.severity IS NULL OR a.s >= b.severity OR (b.category IN ('AUTH','NETWORK','BASELINE') AND b.severity <= 2)) AS wins
+    FROM a4 a FULL OUTER JOIN best b ON a.source_file = b.source_file AND a.line_number = b.line_number)
+SELECT source_file, line_number, CAST(CASE WHEN wins THEN s ELSE rs END AS INTEGER) AS severity, CASE WHEN wins THEN 'dynamic' ELSE 'rule' END AS verdict_source FROM both_sides""")
+
+
+@query("r1_streaming_findings", _stateless_sql())
+def _(t: Tables) -> DataFrame:
+    found = streams.findings(line_stream(t), YEAR).select("source_file", "line_number", "severity", "verdict_source")
+    return streams.run_available(found, "r1")
+
+
+def _sliding(width: str, step: int) -> str:
+    """Each event with the end of every sliding window that holds it."""
+    seconds = {"300": 300, "60": 60}[width]
+    return f"""
+slid AS (SELECT *, TIMESTAMP '1970-01-01' + to_seconds(CAST((epoch(event_time) // {step} - g.i) * {step} AS BIGINT)) AS w_start
+    FROM ev, range({seconds // step}) g(i) WHERE kind <> 'GENERIC'),
+windows AS (SELECT *, w_start + INTERVAL {seconds} SECONDS AS w_end FROM slid)"""
+
+
+@query("r2_event_retention", sql("ev", f"""
+WITH {_sliding('300', 60)}
+SELECT w_end AS window_end, source_file, CASE kind WHEN 'NETWORK' THEN 'pair:' || source_ip || ':' || dest_ip ELSE 'name:' || process_name END AS key,
+    count(*) AS events FROM windows WHERE w_end <= {_CLOSED} GROUP BY ALL"""))
+def _(t: Tables) -> DataFrame:
+    return streams.run_available(streams.retained(event_stream(t)), "r2")
+
+
+@query("r3_expiring_counters", sql("scored", """
+SELECT source_file, freq_key, freq_source, count(*) AS n_events, max(frequency) AS top, CAST(sum(frequency) AS BIGINT) AS total FROM dyn GROUP BY ALL"""))
+def _(t: Tables) -> DataFrame:
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, streams.ROCKSDB)
+    try:
+        counted = streams.run_available(streams.running_counters(event_stream(t)), "r3")
+    finally:
+        t.spark.conf.set(name, before)
+    return counted.groupBy("source_file", "freq_key", "freq_source").agg(
+        F.count(F.lit(1)).alias("n_events"), F.max("frequency").alias("top"), F.sum("frequency").alias("total"))
+
+
+@query("r4_hourly_baseline", sql("ev", f"""
+WITH c AS (SELECT date_trunc('hour', event_time) AS hour, CASE kind WHEN 'NETWORK' THEN 'network_' || protocol || '_' || dest_port ELSE 'process_' || process_name END AS event_type,
+    CASE kind WHEN 'NETWORK' THEN source_ip ELSE "user" END AS src, count(*) AS n FROM ev WHERE kind <> 'GENERIC' GROUP BY ALL)
+SELECT hour, event_type, round(sum(n) / count(*), 6) AS baseline FROM c WHERE hour + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY ALL"""))
+def _(t: Tables) -> DataFrame:
+    out = streams.run_available(streams.hourly_baseline(event_stream(t)), "r4")
+    return out.withColumn("baseline", F.round("baseline", 6))
+
+
+@query("r5_rate_alarms", sql("ev", f"""
+WITH {_sliding('60', 10)}
+SELECT w_start AS window_start, source_ip, dest_ip, count(*) AS connections FROM windows WHERE kind = 'NETWORK' AND w_end <= {_CLOSED}
+GROUP BY ALL HAVING count(*) > 5"""))
+def _(t: Tables) -> DataFrame:
+    return streams.run_available(streams.rate_alarms(event_stream(t), 5), "r5")
+
+
+@query("r6_network_with_process", sql("ev", f"""
+WITH p AS (SELECT source_file, process_name, date_trunc('second', event_time) AS second, count(*) AS process_events FROM ev
+    WHERE kind = 'PROCESS' GROUP BY ALL)
+SELECT n.source_file, n.line_number, n.process_name, n.event_time, second, process_events FROM ev n JOIN p ON n.source_file = p.source_file
+    AND n.process_name = p.process_name AND p.second BETWEEN n.event_time - INTERVAL 300 SECONDS AND n.event_time
+WHERE n.kind = 'NETWORK' AND second + INTERVAL 1 SECOND <= {_CLOSED}"""))
+def _(t: Tables) -> DataFrame:
+    return streams.run_available(streams.network_with_process(event_stream(t)), "r6")
+
+
+@query("r7_threshold_alarms", sql("ev", f"""
+SELECT 'failed_logins' AS alarm, source_ip, time_bucket(INTERVAL 5 MINUTES, event_time, TIMESTAMP '1970-01-01') AS window_start, count(*) AS value
+FROM ev WHERE status = 'Failed' AND time_bucket(INTERVAL 5 MINUTES, event_time, TIMESTAMP '1970-01-01') + INTERVAL 5 MINUTES <= {_CLOSED}
+GROUP BY ALL HAVING count(*) > 5
+UNION ALL SELECT 'connection_rate', source_ip, date_trunc('minute', event_time), count(*) FROM ev
+WHERE kind = 'NETWORK' AND date_trunc('minute', event_time) + INTERVAL 1 MINUTE <= {_CLOSED} GROUP BY ALL HAVING count(*) > 10"""))
+def _(t: Tables) -> DataFrame:
+    return streams.run_available(streams.threshold_alarms(event_stream(t)), "r7")

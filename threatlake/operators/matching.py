@@ -142,6 +142,18 @@ def rules_from_table(rules: DataFrame) -> tuple[Rule, ...]:
                  for r in rows)
 
 
+def merged_families(*families: dict[str, Rule]) -> list[tuple[str, Rule]]:
+    """Union of rule families by key; a later family replaces equal keys."""
+    if not families:
+        keyed = list(zip(catalog.THREAT_KEYS, catalog.THREAT_RULES, strict=True))
+        names = dict.fromkeys(rule.source for _, rule in keyed)
+        families = tuple({k: r for k, r in keyed if r.source == name} for name in names)
+    merged: dict[str, Rule] = {}
+    for family in families:
+        merged.update(family)
+    return list(merged.items())
+
+
 def check_pattern(pattern: str) -> None:
     """Raises ValueError for a pattern that does not compile, before any job starts."""
     try:

@@ -58,7 +58,7 @@ def _sliding(width: str, step: int) -> str:
     """Each event with the end of every sliding window that holds it."""
     seconds = {"300": 300, "60": 60}[width]
     return f"""
-slid AS (SELECT *, TIMESTAMP '1970-01-01' + to_seconds(CAST((epoch(event_time) // {step} - g.i) * {step} AS BIGINT)) AS w_start
+slid AS (SELECT *, TIMESTAMP '1970-01-01' + to_seconds((CAST(floor(epoch(event_time)) AS BIGINT) // {step} - g.i) * {step}) AS w_start
     FROM ev, range({seconds // step}) g(i) WHERE kind <> 'GENERIC'),
 windows AS (SELECT *, w_start + INTERVAL {seconds} SECONDS AS w_end FROM slid)"""
 

@@ -39,10 +39,14 @@ def findings(lines: DataFrame, default_year: int | None = None) -> DataFrame:
 
 
 def events(lines: DataFrame, default_year: int | None = None, delay: str = DELAY) -> DataFrame:
-    """Timed network and process events with a watermark."""
+    """Timed network and process events with a watermark.
+
+    A watermark needs a `timestamp` column, so the event time is one here; with
+    the session in UTC it reads the same as the batch's `timestamp_ntz`.
+    """
     parsed = extract.parse_events(logs.clean_lines(lines), default_year)
     known = parsed.filter(F.col("kind").isin(schemas.NETWORK, schemas.PROCESS) & F.col("event_time").isNotNull())
-    return known.withWatermark("event_time", delay)
+    return known.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", delay)
 
 
 def retained(stream: DataFrame) -> DataFrame:
@@ -165,6 +169,8 @@ def threshold_alarms(stream: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Runs an append-mode query over the input at hand into a parquet table and reads it."""
     spark = stream.sparkSession
+    stream = stream.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp"
+                             else F.col(f.name) for f in stream.schema.fields])
     out, state = session.new_folder(spark, label), session.new_folder(spark, f"{label}-state")
     query = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
              .option("checkpointLocation", state).trigger(availableNow=True).start())

@@ -234,11 +234,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("flagship_findings", sql("findings", """
-SELECT verdict_source, severity, count(*) AS findings, round(sum(CASE WHEN wins THEN risk END), 4) AS total_risk FROM findings GROUP BY ALL"""))
+SELECT verdict_source, severity, count(*) AS findings, round(max(CASE WHEN wins THEN risk END), 6) AS top_risk FROM findings GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
     found = scan.scan(t.lines, YEAR)
     return found.groupBy("verdict_source", "severity").agg(
-        F.count(F.lit(1)).alias("findings"), F.round(F.sum("risk"), 4).alias("total_risk"))
+        F.count(F.lit(1)).alias("findings"), F.round(F.max("risk"), 6).alias("top_risk"))
 
 
 _REFINED = """

@@ -242,7 +242,7 @@ def _(t: Tables) -> DataFrame:
 @query("p9_timestamp_anywhere", sql("raw", """
 SELECT line_number, CASE WHEN event_id % 12 = 9 THEN log_ts + INTERVAL 123 MILLISECONDS ELSE log_ts END AS found FROM raw"""))
 def _(t: Tables) -> DataFrame:
-    return t.lines.select("line_number", times.find_timestamp(c("line"), YEAR).alias("found"))
+    return times.with_found_time(t.lines, default_year=YEAR).select("line_number", "found")
 
 
 @query("p10_protocol_name", sql("raw", """

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake import catalog
+from threatlake.functions import text
 
 _CLOCK = r"\s+\d{1,2}:\d{1,2}:\d{1,2}"
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}[T\s]\s*\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,6})?$"
@@ -24,22 +25,22 @@ _ANYWHERE = (
 )
 
 
-def _iso(text: Column) -> Column:
-    return F.regexp_replace(text, r"[T\s]\s*", " ").try_cast("timestamp_ntz")
+def _iso(stamp: Column) -> Column:
+    return F.regexp_replace(stamp, r"[T\s]\s*", " ").try_cast("timestamp_ntz")
 
 
-def _syslog(text: Column, default_year: int | None) -> Column:
+def _syslog(stamp: Column, default_year: int | None) -> Column:
     year = F.year(F.current_date()) if default_year is None else F.lit(default_year)
-    dated = F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(text, r"\s+", " "))
+    dated = F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(stamp, r"\s+", " "))
     return F.try_to_timestamp(dated, F.lit("yyyy MMM d H:m:s")).cast("timestamp_ntz")
 
 
-def parse_timestamp(text: Column, default_year: int | None = None) -> Column:
+def parse_timestamp(stamp: Column, default_year: int | None = None) -> Column:
     """ISO with or without fraction and Z, syslog, Y/m/d, m/d/Y or Apache; NULL for anything else.
 
     Syslog stamps carry no year: `default_year` supplies it, else the current year.
     """
-    s = F.trim(text)
+    s = F.trim(stamp)
     zone = F.when(F.regexp_extract(s, _APACHE, 2) == "", F.lit("+0000")).otherwise(
         F.concat(F.regexp_extract(s, _APACHE, 2), F.regexp_extract(s, _APACHE, 3)))
     apache = F.try_to_timestamp(
@@ -60,11 +61,19 @@ def parse_epoch(seconds: Column) -> Column:
     return F.when(ok, F.timestamp_seconds(seconds)).cast("timestamp_ntz")
 
 
-def find_timestamp(line: Column, default_year: int | None = None) -> Column:
-    """The first ISO or syslog stamp anywhere in the line; NULL when there is none or it is bad."""
-    found = F.regexp_extract(line, _ANYWHERE, 0)
-    return F.when(found.rlike(r"^\d{4}-\d"), F.when(found.rlike(_ISO), _iso(found))).when(
-        found.rlike(_SYSLOG), _syslog(found, default_year))
+def parse_found(found: Column, default_year: int | None = None) -> Column:
+    """Time of a stamp that was cut out of a line."""
+    return F.when(found.rlike(_ISO), _iso(found)).when(found.rlike(_SYSLOG), _syslog(found, default_year))
+
+
+def with_found_time(lines: DataFrame, column: str = "line", out: str = "found",
+                    default_year: int | None = None) -> DataFrame:
+    """Adds the time of the first ISO or syslog stamp anywhere in the line.
+
+    NULL when there is none or it does not read as a time.
+    """
+    staged = text.computed_once(lines, "_stamp", F.regexp_extract(column, _ANYWHERE, 0))
+    return text.computed_once(staged, out, parse_found(F.col("_stamp"), default_year)).drop("_stamp")
 
 
 def time_multiplier(event_time: Column) -> Column:

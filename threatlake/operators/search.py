@@ -38,9 +38,8 @@ def contains_text(text: Column, criteria: Criteria) -> Column:
     return F.lower(text).contains(criteria.pattern.lower())
 
 
-def in_time_range(line: Column, criteria: Criteria) -> Column:
+def in_time_range(found: Column, criteria: Criteria) -> Column:
     """Lines without a readable timestamp pass (Q4)."""
-    found = times.find_timestamp(line, criteria.default_year)
     cond = F.lit(True)
     if criteria.start is not None:
         cond = cond & (found >= times.as_timestamp_literal(criteria.start))
@@ -56,7 +55,8 @@ def search(lines: DataFrame, criteria: Criteria | str, column: str = "line") ->
     line = F.col(column)
     out = lines.filter(contains_text(line, criteria) & (strip(line) != ""))
     if criteria.start is not None or criteria.end is not None:
-        out = out.filter(in_time_range(line, criteria))
+        timed = times.with_found_time(out, column, "_found", criteria.default_year)
+        out = timed.filter(in_time_range(F.col("_found"), criteria)).drop("_found")
     return out
 
 

@@ -46,7 +46,7 @@ def score_known(events: DataFrame, suppress_below: float = catalog.BENIGN_SUPPRE
     df = net.with_location(df, "source_ip", "source_location")
     df = net.with_location(df, "dest_ip", "dest_location")
     df = df.withColumn("time_factor", times.time_multiplier(c("event_time")))
-    df = matching.benign_rule(df, "line").withColumn("benign", F.when(is_net, c("benign")))
+    df = matching.benign_rule(df.withColumn("_traffic", F.when(is_net, c("line"))), "_traffic").drop("_traffic")
     service = c("service")
     args = (c("source_location"), c("dest_location"), service["service"], service["risk_factor"],
             service["internal_only"], c("time_factor"))

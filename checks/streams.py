@@ -72,7 +72,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("r3_expiring_counters", sql("scored", """
-SELECT source_file, freq_key, freq_source, count(*) AS n_events, max(frequency) AS top, CAST(sum(frequency) AS BIGINT) AS total FROM dyn GROUP BY ALL"""))
+WITH gaps AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY source_file, freq_key, freq_source ORDER BY event_time, line_number)
+    > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS anew FROM known),
+spans AS (SELECT *, sum(anew) OVER (PARTITION BY source_file, freq_key, freq_source ORDER BY event_time, line_number) AS span FROM gaps)
+SELECT source_file, line_number, row_number() OVER (PARTITION BY source_file, freq_key, freq_source, span ORDER BY event_time, line_number) AS frequency FROM spans"""))
 def _(t: Tables) -> DataFrame:
     name = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(name)
@@ -81,8 +84,7 @@ def _(t: Tables) -> DataFrame:
         counted = streams.run_available(streams.running_counters(event_stream(t)), "r3")
     finally:
         t.spark.conf.set(name, before)
-    return counted.groupBy("source_file", "freq_key", "freq_source").agg(
-        F.count(F.lit(1)).alias("n_events"), F.max("frequency").alias("top"), F.sum("frequency").alias("total"))
+    return counted.select("source_file", "line_number", "frequency")
 
 
 @query("r4_hourly_baseline", sql("ev", f"""

@@ -23,9 +23,9 @@ _PRIVATE_V4 = (
 _SHARED_V4 = r"^100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\."
 # The IPv6 blocks, on the 32 hex digits of an address:
 # ::/127, 64:ff9b:1::/48, 100::/64, 2001::/23, 2001:db8::/32, 2002::/16,
-# 3fff::/20, fc00::/7, fe80::/10.
+# fc00::/7, fe80::/10.
 _PRIVATE_V6 = (
-    r"^(?:0{31}[01]$|0064ff9b0001|0100000000000000|20010[01]|20010db8|2002|3fff0|f[cd]|fe[89ab])"
+    r"^(?:0{31}[01]$|0064ff9b0001|0100000000000000|20010[01]|20010db8|2002|f[cd]|fe[89ab])"
 )
 # Carve-outs 2001:1::1, 2001:1::2, 2001:3::/32, 2001:4:112::/48,
 # 2001:20::/28, 2001:30::/28.
@@ -101,7 +101,7 @@ def with_location(df: DataFrame, ip: str, out: str) -> DataFrame:
     df = df.withColumn("_mapped", F.when(c("_digits").rlike(_MAPPED_V6), _number_text(
         F.conv(F.right("_digits", F.lit(8)), 16, 10).cast("bigint"))))
     location6 = (
-        F.when(c("_mapped").isNotNull(), _location_v4(c("_mapped")))
+        F.when(c("_mapped").isNotNull(), F.when(c("_mapped").rlike(_PRIVATE_V4), "internal").otherwise("external"))
         .when(c("_digits").rlike(_PRIVATE_V6) & ~c("_digits").rlike(_GLOBAL_V6), "internal")
         .otherwise("external"))
     location = (

@@ -22,7 +22,7 @@ from threatlake.plans import scan
 from threatlake.sources import logs
 
 DELAY = "5 minutes"
-COUNTER_HOURS = 1
+LIFETIME_MS = 3_600_000
 
 
 def read_text_stream(spark: SparkSession, path: str, log_type: str = "generic") -> DataFrame:
@@ -61,30 +61,38 @@ def retained(stream: DataFrame) -> DataFrame:
 
 
 class _Counter(StatefulProcessor):
-    """Counts a key's events; the count is forgotten an hour after its last event."""
+    """Counts a key's events; the count is forgotten an hour after its last event.
+
+    Rows come in chunks of bounded size and are counted chunk by chunk in time
+    order, so a hot key is never held whole.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._count = handle.getValueState("count", "n bigint, last_ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n, last_ms = self._count.get() if self._count.exists() else (0, 0)
-        before = last_ms
+        n, last = self._count.get() if self._count.exists() else (0, 0)
+        before = last
         for chunk in rows:
+            chunk = chunk.sort_values(["event_time", "line_number"], kind="stable")
+            ms = chunk["event_time"].to_numpy().astype("datetime64[ms]").astype("int64")
+            previous = np.maximum.accumulate(np.concatenate([[last], ms[:-1]]))
+            anew = (ms - previous > LIFETIME_MS) & (previous > 0)
+            position = np.arange(1, len(ms) + 1)
+            # Rows before the first new start continue the stored count.
+            base = np.maximum.accumulate(np.where(anew, position - 1, -1))
+            frequency = np.where(base >= 0, position - base, position + n)
             yield pd.DataFrame({
                 "source_file": key[0], "freq_key": key[1], "freq_source": key[2],
-                "line_number": chunk["line_number"].to_numpy(),
-                "frequency": n + np.arange(1, len(chunk) + 1),
+                "line_number": chunk["line_number"].to_numpy(), "frequency": frequency,
             })
-            n += len(chunk)
-            newest = chunk["event_time"].max()
-            last_ms = max(last_ms, int(newest.value // 1_000_000))
-        self._count.update((int(n), last_ms))
-        if last_ms > before:
-            lifetime = COUNTER_HOURS * 3_600_000
+            n, last = int(frequency[-1]), max(last, int(ms[-1]))
+        self._count.update((n, last))
+        if last > before:
             if before:
-                self._handle.deleteTimer(before + lifetime)
-            self._handle.registerTimer(last_ms + lifetime)
+                self._handle.deleteTimer(before + LIFETIME_MS)
+            self._handle.registerTimer(last + LIFETIME_MS)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self._count.clear()
@@ -99,7 +107,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def running_counters(stream: DataFrame) -> DataFrame:
-    """Running count of each event's key in arrival order, with expiry.
+    """Running count of each event's key, forgotten after an hour without one.
 
     Needs the RocksDB state store: set
     `spark.sql.streaming.stateStore.providerClass` to `ROCKSDB`.

@@ -44,15 +44,20 @@ def with_network(events: DataFrame, column: str, networks: tuple[str, ...] = cat
 
 
 def with_network_of_table(events: DataFrame, column: str, networks: DataFrame) -> DataFrame:
-    """As `with_network` for a table (network, lo, hi) of any size: one row per match.
+    """As `with_network` for a table of CIDR blocks (network, lo, hi) of any size: one row per match.
 
-    Each network is keyed by every /8 block it covers, at most 256, and the
-    address by its own, so it is an equality join with a range test on top.
+    A block of 2^k addresses is keyed by (k, lo / 2^k), and each distinct address
+    by its 33 possible keys: equality joins only, no range test.
     """
-    keyed = networks.withColumn("_block", F.explode(F.sequence(F.shiftright("lo", 24), F.shiftright("hi", 24))))
-    staged = events.withColumn("_n", net.ipv4_number(F.col(column))).withColumn("_block", F.shiftright("_n", 24))
-    inside = (staged["_block"] == keyed["_block"]) & F.col("_n").between(F.col("lo"), F.col("hi"))
-    return staged.join(keyed, inside, "left").drop("_n", "_block", "lo", "hi")
+    bits = F.length(F.bin(F.col("hi") - F.col("lo") + 1)) - 1
+    keyed = networks.select("network", bits.alias("_bits"), "lo").select(
+        "network", "_bits", F.expr("shiftright(lo, _bits)").alias("_prefix"))
+    addresses = events.select(F.col(column).alias("_ip")).distinct()
+    addresses = addresses.withColumn("_n", net.ipv4_number(F.col("_ip"))).filter("_n is not null")
+    candidates = addresses.select("_ip", "_n", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("_bits")).select(
+        "_ip", "_bits", F.expr("shiftright(_n, _bits)").alias("_prefix"))
+    found = candidates.join(keyed, ["_bits", "_prefix"]).select("_ip", "network")
+    return events.join(found, F.col(column) == F.col("_ip"), "left").drop("_ip")
 
 
 def exclude(events: DataFrame, column: str, listed: DataFrame) -> DataFrame:

@@ -15,10 +15,13 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Only at start: no call-site capture for each column expression on the client.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def builder(app_name: str = "threatlake") -> SparkSession.Builder:
     out = SparkSession.builder.appName(app_name)
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **START_SETTINGS}.items():
         out = out.config(key, value)
     return out
 

@@ -7,11 +7,13 @@ dropped and counted in the query's progress (`numRowsDroppedByWatermark`).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -102,6 +104,9 @@ class _Counter(StatefulProcessor):
         pass
 
 
+# The counter travels with its code: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COUNTER_SCHEMA = ("source_file string, freq_key string, freq_source string, line_number bigint, frequency bigint")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -174,13 +179,23 @@ def threshold_alarms(stream: DataFrame) -> DataFrame:
     return logins.unionByName(rates)
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Runs an append-mode query over the input at hand into a parquet table and reads it."""
+def run_available(stream: DataFrame, label: str, state_partitions: int | None = None) -> DataFrame:
+    """Runs an append-mode query over the input at hand into a parquet table and reads it.
+
+    The number of state partitions is fixed when a query first starts and is not
+    coalesced at run time; by default there is one per core of the cluster.
+    """
     spark = stream.sparkSession
     stream = stream.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp"
                              else F.col(f.name) for f in stream.schema.fields])
     out, state = session.new_folder(spark, label), session.new_folder(spark, f"{label}-state")
-    query = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
-             .option("checkpointLocation", state).trigger(availableNow=True).start())
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
+                 .option("checkpointLocation", state).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(name, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

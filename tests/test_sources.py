@@ -78,9 +78,15 @@ def test_dispatch_by_extension_and_type(spark, tmp_path):
     (tmp_path / "a.pcap").write_text("p1\np2\n")
     (tmp_path / "b.json").write_text('[{"x": 1}]')
     (tmp_path / "c.log").write_text("g1\n")
+    (tmp_path / "D.PCAPNG").write_text("p3\n")
+    (tmp_path / "noext").write_text("g2\ng3\n")
     got = {r["log_type"]: r["n"] for r in logs.read_logs(spark, str(tmp_path)).groupBy("log_type").agg(
         F.count("*").alias("n")).collect()}
-    assert got == {"wireshark": 2, "volatility_json": 1, "generic": 1}
+    assert got == {"wireshark": 3, "volatility_json": 1, "generic": 3}
+    numbered = {(os.path.basename(r["source_file"]), r["line_number"], r["line"]) for r in logs.read_logs(spark, str(tmp_path)).collect()}
+    assert {("noext", 1, "g2"), ("noext", 2, "g3"), ("c.log", 1, "g1"), ("a.pcap", 2, "p2")} <= numbered
+    only = logs.read_logs(spark, str(tmp_path / "b.json")).collect()
+    assert [(r["log_type"], r["line"]) for r in only] == [("volatility_json", '{"x":1}')]
     assert logs.read_logs(spark, str(tmp_path / "c.log"), "volatility_text").first()["log_type"] == "volatility_text"
     with pytest.raises(ValueError):
         logs.read_logs(spark, str(tmp_path), "syslog")

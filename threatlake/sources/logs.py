@@ -61,7 +61,7 @@ def number_lines(scan: DataFrame) -> DataFrame:
     """
     spark = scan.sparkSession
     rows = scan.select(
-        F.col("value"), F.col("_metadata.file_path").alias("source_file"),
+        scan["value"], F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_start"),
     ).withColumn("_id", F.monotonically_increasing_id())
     splits = rows.groupBy("source_file", "_start").agg(
@@ -81,10 +81,14 @@ def number_lines(scan: DataFrame) -> DataFrame:
         F.col("value").alias("line"))
 
 
+def _as_raw_logs(scan: DataFrame, log_type: str) -> DataFrame:
+    lines = number_lines(scan)
+    return lines.withColumn("line", drop_bad_bytes(F.col("line"))).withColumn("log_type", F.lit(log_type))
+
+
 def read_text(spark: SparkSession, path: str | list[str], log_type: str = "generic") -> DataFrame:
     """raw_logs from text files: packet exports (S7), memory-forensics text (S6), generic."""
-    lines = number_lines(spark.read.text(path))
-    return lines.withColumn("line", drop_bad_bytes(F.col("line"))).withColumn("log_type", F.lit(log_type))
+    return _as_raw_logs(spark.read.text(path), log_type)
 
 
 def explode_documents(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -99,54 +103,55 @@ def explode_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.withColumn("item", F.explode(items)).filter("item is not null")
 
 
-def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """raw_logs from files that each hold one JSON document; no line numbers.
-
-    A single document cannot be split, so it bounds one row; many files spread.
-    """
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), drop_bad_bytes(F.col("value")).alias("text"))
+def _documents(scan: DataFrame) -> DataFrame:
+    docs = scan.select(F.col("_metadata.file_path").alias("source_file"),
+                       drop_bad_bytes(F.col("value")).alias("text"))
     return explode_documents(docs).select(
         "source_file", F.lit(None).cast("bigint").alias("line_number"), F.col("item").alias("line"),
         F.lit("volatility_json").alias("log_type"))
 
 
-def log_type_of(path: str) -> str:
-    """Log type from the file extension."""
-    name = path.rsplit("/", 1)[-1]
-    extension = name.rsplit(".", 1)[-1].lower() if "." in name else ""
-    return EXTENSION_TYPES.get(extension, "generic")
+def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """raw_logs from files that each hold one JSON document; no line numbers.
+
+    A single document cannot be split, so it bounds one row; many files spread.
+    """
+    return _documents(spark.read.text(path, wholetext=True))
 
 
 def log_type_column(path: Column) -> Column:
-    extension = F.lower(F.substring_index(F.substring_index(path, "/", -1), ".", -1))
+    """Log type from the file extension."""
+    name = F.substring_index(path, "/", -1)
+    extension = F.lower(F.substring_index(name, ".", -1))
     out = F.lit("generic")
-    for name, log_type in EXTENSION_TYPES.items():
-        out = F.when(extension == name, log_type).otherwise(out)
+    for known, log_type in EXTENSION_TYPES.items():
+        out = F.when(name.contains(".") & (extension == known), log_type).otherwise(out)
     return out
 
 
+def _any_case(extension: str) -> str:
+    """File-name glob for an extension in any case."""
+    return "*." + "".join(f"[{ch}{ch.upper()}]" for ch in extension)
+
+
 def read_logs(spark: SparkSession, path: str | list[str], log_type: str | None = None) -> DataFrame:
-    """raw_logs of one declared type, or of each path's type by extension.
+    """raw_logs of one declared type, or of each file's type by extension.
 
-    A folder or glob without a declared type is listed by file.
+    Without a declared type every type has its own scan, limited to its files by
+    name, so no list of files passes through the driver program.
     """
-    if log_type is not None and log_type not in LOG_TYPES:
-        raise ValueError(f"Unsupported log type: {log_type}")
-    paths = [path] if isinstance(path, str) else list(path)
-    if log_type is None:
-        files = spark.read.text(paths).inputFiles()
-        groups: dict[str, list[str]] = {}
-        for file in files:
-            groups.setdefault(log_type_of(file), []).append(file)
-    else:
-        groups = {log_type: paths}
+    if log_type is not None:
+        if log_type not in LOG_TYPES:
+            raise ValueError(f"Unsupported log type: {log_type}")
+        return read_json_documents(spark, path) if log_type == "volatility_json" else read_text(spark, path, log_type)
     parts = []
-    for kind, group in sorted(groups.items()):
-        reader = read_json_documents(spark, group) if kind == "volatility_json" else read_text(
-            spark, group, kind)
-        parts.append(reader)
-    out = parts[0]
-    for part in parts[1:]:
+    for extension, kind in EXTENSION_TYPES.items():
+        whole = kind == "volatility_json"
+        scan = spark.read.option("pathGlobFilter", _any_case(extension)).text(path, wholetext=whole)
+        parts.append(_documents(scan) if whole else _as_raw_logs(scan, kind))
+    others = spark.read.text(path)
+    others = others.filter(log_type_column(others["_metadata"]["file_path"]) == "generic")
+    out = _as_raw_logs(others, "generic")
+    for part in parts:
         out = out.unionByName(part)
     return out

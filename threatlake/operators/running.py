@@ -19,19 +19,20 @@ TIME_BLOCK = 60
 
 
 def running_sum(rows: DataFrame, keys: list[str], order: str, block: Column,
-                values: list[str]) -> DataFrame:
+                values: list[str], unmerged: DataFrame | None = None) -> DataFrame:
     """Replaces each of `values` by its running sum within `keys` in `order`, self included.
 
-    `order` is unique within `keys`; `block` does not decrease along it.
+    `order` is unique within `keys`; `block` does not decrease along it.  Block
+    totals are summed on the map side, from `unmerged` if given: the same rows
+    before a costly step that keeps their sums.
     """
-    rows = rows.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumns({v: F.sum(v).over(inside) for v in values})
-    # A block's total is its last running sum, so both uses share one shuffle of the rows.
-    totals = local.groupBy(*keys, "_block").agg(*[F.max_by(v, order).alias(f"_total_{v}") for v in values])
+    source = rows if unmerged is None else unmerged
+    totals = source.groupBy(*keys, block.alias("_block")).agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
     totals = totals.select(*keys, "_block", *[
         F.coalesce(F.sum(f"_total_{v}").over(earlier), F.lit(0)).alias(f"_carry_{v}") for v in values])
+    local = rows.withColumn("_block", block).withColumns({v: F.sum(v).over(inside) for v in values})
     joined = local.join(totals, [*keys, "_block"])
     joined = joined.withColumns({v: F.col(v) + F.col(f"_carry_{v}") for v in values})
     return joined.drop("_block", *[f"_carry_{v}" for v in values])
@@ -92,10 +93,11 @@ def trailing_count(points: DataFrame, keys: list[str], counts: list[str], second
     after = t + F.expr(f"interval {seconds} seconds 1 microsecond")
     enter = F.struct(t.alias("event_time"), *[F.col(c).alias(c) for c in counts], F.lit(1).alias("_asked"))
     leave = F.struct(after.alias("event_time"), *[(-F.col(c)).alias(c) for c in counts], F.lit(0).alias("_asked"))
-    moves = points.select(*keys, F.inline(F.array(enter, leave))).groupBy(*keys, "event_time").agg(
+    single = points.select(*keys, F.inline(F.array(enter, leave)))
+    moves = single.groupBy(*keys, "event_time").agg(
         *[F.sum(c).alias(c) for c in counts], F.max("_asked").alias("_asked"))
     block = F.floor(times.seconds_of(F.col("event_time")) / block_seconds)
-    summed = running_sum(moves, keys, "event_time", block, counts)
+    summed = running_sum(moves, keys, "event_time", block, counts, unmerged=single)
     return summed.filter("_asked = 1").drop("_asked")
 
 
@@ -224,20 +226,25 @@ def preceding_lines(lines: DataFrame, wanted: Column, before: int = 5,
     Inside a block a row frame does it.  The first lines of a block also need the
     tail of the blocks before: each block passes on its last `before` lines.
     """
-    rows = lines.withColumn("_block", F.floor(F.col("line_number") / block_lines))
+    block = F.floor(F.col("line_number") / block_lines)
+    rows = lines.withColumn("_block", block)
     inside = Window.partitionBy("source_file", "_block").orderBy("line_number")
-    rows = rows.withColumn("_recent", F.collect_list("line").over(inside.rowsBetween(1 - before, 0)))
-    rows = rows.withColumn("_local", F.lag("_recent").over(inside))
-    tails = rows.groupBy("source_file", "_block").agg(F.max_by("_recent", "line_number").alias("_tail"))
+    rows = rows.withColumn("_local", F.collect_list("line").over(inside.rowsBetween(-before, -1)))
+    # The rank filter also runs before the shuffle, so a task sends `before` lines per block.
+    last = Window.partitionBy("source_file", "_block").orderBy(F.desc("line_number"))
+    tails = lines.select("source_file", block.alias("_block"), "line_number", "line")
+    tails = tails.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= before)
+    tails = tails.groupBy("source_file", "_block").agg(
+        F.array_sort(F.collect_list(F.struct("line_number", "line")))["line"].alias("_tail"))
     earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(-before, -1)
     carry = tails.select("source_file", "_block", F.flatten(F.collect_list("_tail").over(earlier)).alias("_carry"))
-    local = F.coalesce(F.col("_local"), F.array().cast("array<string>"))
+    local = F.col("_local")
     merged = F.concat(F.col("_carry"), local)
     size = F.size(merged)
     previous = F.slice(merged, F.greatest(size - before + 1, F.lit(1)), F.least(size, F.lit(before)))
     joined = rows.filter(wanted).join(carry, ["source_file", "_block"])
     return joined.withColumn("previous", F.when(F.size(local) >= before, local).otherwise(previous)).drop(
-        "_block", "_recent", "_local", "_carry")
+        "_block", "_local", "_carry")
 
 
 def raw_context(line_number: Column, previous: Column) -> Column:

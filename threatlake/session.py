@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles methods above 8000 bytes; split such stages instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Only at start: no call-site capture for each column expression on the client.

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threatlake import session
-from threatlake.llm import quality
+from threatlake.llm import minhash, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op6_compression_bands")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query("op9_circulant_minhash")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_trigram_secrets")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    spans, kinds = F.col("secrets"), [r.kind for r in secret_scan.BASE_RULES]
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in kinds]
+    base = secret_scan.joined(F.filter(spans, lambda s: s["kind"].isin(kinds)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake import session
-from threatlake.llm import minhash, quality, secret_scan
+from threatlake.llm import bpe, minhash, quality, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,11 @@ def _query(name: str):
     return add
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,3 +47,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size(spans) - F.size(F.array_remove(spans["kind"], k))).cast("bigint").alias(f"n_{k}") for k in kinds]
     base = secret_scan.joined(F.filter(spans, lambda s: s["kind"].isin(kinds)))
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
+@_query("op8_forced_boundaries")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, vocabulary_path(), decoded="decoded")
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -203,3 +203,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         F.col("id").alias(key), "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near duplicates, the one of the smallest id, with the columns of `docs`.
+
+    Rows that share an id are one document, of which one row stays; rows with a null id all stay.
+    """
+    dropped = near_duplicates(docs, key, text, percent).filter("not kept").select(F.col(key).alias("_dropped")).distinct()
+    named = docs.filter(F.col(key).isNotNull())
+    left = named.join(dropped, named[key] == dropped["_dropped"], "left_anti").dropDuplicates([key])
+    return left.union(docs.filter(F.col(key).isNull()))

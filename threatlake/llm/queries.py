@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake import session
-from threatlake.llm import bpe, minhash, mixing, quality, secret_scan
+from threatlake.llm import bpe, embedding_dedup, language_model, minhash, mixing, quality, secret_scan, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,47 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_block_mix")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_backoff_automaton")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_cross_polytope")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op5_content_addressed")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.new_archive(spark)
+    warc.write(table(spark, sf_dir, "pages"), archive)
+    return warc.index(spark, archive).withColumnRenamed("page", "page_id")
+
+
+#: Python's own base 32 is out of reach of SQL, so the digest is spelt out five hex digits at a time.
+ORACLES["op5_content_addressed"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS hexed FROM p),
+b AS (SELECT d.*, list_aggregate([
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (CAST('0x' || substr(hexed, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31]
+    FOR i IN range(32)], 'string_agg', '') AS payload_digest, max(page_id) OVER (PARTITION BY hexed) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM b"""
+
+
+@_query("op7_sentence_spans")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, counts=("n_sentences", "n_removed"))
+
+
+@_query("op2_convolutional_toxicity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model, limits = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=toxicity.fold(F.col("id"), 4) != 2)
+    return toxicity.score(docs, model, limits).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "lang", "threshold", "flagged")

@@ -79,9 +79,13 @@ def is_word_byte(data: np.ndarray) -> np.ndarray:
     return (data != 0x20) & ((data < 0x09) | (data > 0x0D))
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends, owner and counts of the words of texts data[offsets[i]:offsets[i + 1]]."""
-    inside = is_word_byte(data)
+def find_words(data: np.ndarray, offsets: np.ndarray,
+               inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """starts, ends, owner and counts of the words of texts data[offsets[i]:offsets[i + 1]].
+
+    `inside` marks the bytes of words, if they are others than those of `is_word_byte`.
+    """
+    inside = is_word_byte(data) if inside is None else inside
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = inside
     after = before[1:].copy()

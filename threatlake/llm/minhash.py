@@ -20,8 +20,10 @@ SHINGLE = 5
 PERCENT = 75
 #: A pair at the limit shares no band with probability (1 - 0.75 ** 5) ** 32 = 0.0002.
 BANDS, ROWS = 32, 5
-#: Members compared with one center by one task at a time.
-MEMBERS = 64
+#: Members compared with one center by one task at a time, and members of a band that meet, twice over.
+MEMBERS, CHUNK = 64, 256
+#: Shingles whose occurrences are multiplied at once.
+COLUMNS = 8192
 
 
 def scramble(x: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -118,8 +120,8 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough.
+def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough; `texts` has (doc, text).
 
     A center with many partners is compared in several tasks, MEMBERS partners each; its text
     goes first in a sorted stream of its partners' texts, so a task holds one set at a time.
@@ -128,7 +130,6 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int
     dealt = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     wanted = dealt.select("a", "part", F.lit(False).alias("member"), F.col("a").alias("doc")).distinct().union(
         dealt.select("a", "part", F.lit(True), "b"))
-    texts = docs.filter(f"`{key}` is not null").select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     stream = wanted.join(texts, "doc").select("a", "part", "member", "doc", "text").repartition(
         "a", "part").sortWithinPartitions("a", "part", "member")
 
@@ -154,6 +155,83 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int
     return stream.mapInArrow(run, "a bigint, b bigint")
 
 
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of all intersections: products of blocks of the occurrence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts > 1
+    column = np.where(several, np.cumsum(several) - 1, -1)[place]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for first in range(0, int(several.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        block[owner[a:b], column[a:b] - first] = 1.0
+        out += block @ block.T
+    return out
+
+
+def _forest(docs: list[int], sets: list[np.ndarray], own: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that join what is not in one component yet, fewer than there are documents."""
+    sizes = np.array([len(x) for x in sets], dtype=np.float64)
+    common = common_shingles(sets).astype(np.float64)
+    close = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    label = {c: c for c in own}
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    found = []
+    codes = np.unique(np.array(own), return_inverse=True)[1]
+    for i, j in np.argwhere(np.triu(close & (codes[:, None] != codes[None, :]), 1)).tolist():
+        a, b = root(own[i]), root(own[j])
+        if a != b:
+            label[max(a, b)] = min(a, b)
+            found.append((docs[i], docs[j]))
+    return found
+
+
+def link_parts(parts: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between components among the documents (band, part, doc, own) that meet in a part.
+
+    Parts come one after the other in a sorted stream, at most two chunks of documents each; all
+    their pairs are compared on whole sets, and only a forest leaves the task.
+    """
+    stream = parts.join(texts, "doc").select("band", "part", "doc", "own", "text").repartition(
+        "band", "part").sortWithinPartitions("band", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, at = Hasher(lower=True), None
+        docs, sets, own = [], [], []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            found: list[tuple[int, int]] = []
+            for first, end, data, offsets in text_chunks(batch.column(4)):
+                hashes, sizes = shingle_sets(data, offsets, hasher)
+                for (band, part, doc, component), one in zip(keys[first:end], np.split(hashes, np.cumsum(sizes)[:-1])):
+                    if at != (band, part):
+                        found += _forest(docs, sets, own, percent) if docs else []
+                        at, docs, sets, own = (band, part), [], [], []
+                    if len(one):
+                        docs.append(doc)
+                        sets.append(one.copy())
+                        own.append(component)
+            yield _pairs_batch(found)
+        if docs:
+            yield _pairs_batch(_forest(docs, sets, own, percent))
+
+    return stream.mapInArrow(run, "a bigint, b bigint")
+
+
+def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+
 def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes allow the similarity; the others cannot reach it."""
     out = pairs
@@ -166,9 +244,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """(key, n_shingles, component_id, kept) for every row of `docs`.
 
     Documents with equal sets form a class, named by its smallest id; classes that share a
-    band are candidates.  First every class is verified against the smallest one of each of
-    its bands; then, inside each band, every pair of classes that is still in two components.
-    Pairs inside one component need no check, so components are those of all verified links.
+    band are candidates.  First every class is verified against one class of each of its bands,
+    another one in every band.  Then the bands whose members are still in several components are
+    compared in full, chunk by chunk.  Pairs inside one component need no check, so components
+    are those of all verified links.
 
     A text without words, also a null one, links with nothing.  A row with a null id links with
     nothing, has a null component and is kept.  Rows that share an id are one node.  Other columns
@@ -179,23 +258,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     reps = session.land(usable.groupBy("digest").agg(
         F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
     members = reps.select("rep", F.explode("keys").alias("band"))
-    centers = members.groupBy("band").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = session.land(members.join(centers.drop("n"), "band"), "bands")
-    sizes = reps.select("rep", "n_shingles")
-
-    stars = session.land(_sized(shared.filter("rep <> center").select(
-        F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), sizes, percent), "stars")
-    links = session.land(verify(stars, docs, key, text, percent), "links")
+    # The keys are random, so the least exclusive or picks any member.
+    centers = members.groupBy("band").agg(
+        F.min(F.col("rep").bitwiseXOR(F.col("band"))).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = session.land(members.join(centers, "band").select(
+        "band", "rep", "n", F.col("least").bitwiseXOR(F.col("band")).alias("center")), "bands")
+    # The candidates grow with the documents, so both sides are shuffled at any size.
+    texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
+    texts = session.land(texts.join(shared.select(F.col("rep").alias("doc")).distinct().hint("merge"), "doc"), "texts")
+
+    pairs = shared.filter("rep <> center").select(
+        F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+    pairs = session.land(_sized(pairs, reps.select("rep", "n_shingles"), percent), "pairs")
+    links = session.land(verify(pairs, texts, percent), "links")
     found = components(links)
 
-    placed = with_component(shared, "rep", found).withColumnRenamed("component", "own")
-    placed = with_component(placed, "center", found).withColumnRenamed("component", "main")
-    strays = placed.filter("own <> main").select("band", F.col("rep").alias("s"), F.col("own").alias("s_own"))
-    others = placed.filter("rep <> center").select("band", "rep", "own")
-    crossing = strays.join(others, "band").filter("s_own <> own").select(
-        F.least("s", "rep").alias("a"), F.greatest("s", "rep").alias("b")).distinct()
-    crossing = session.land(_sized(crossing, sizes, percent).join(stars, ["a", "b"], "left_anti"), "crossing")
-    more = verify(crossing, docs, key, text, percent)
+    # In a band of two the only pair has been compared.
+    placed = with_component(shared.filter("n > 2").select("band", "rep"), "rep", found)
+    open_bands = placed.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).filter(
+        "low <> high").select("band", "chunks")
+    chunked = placed.join(open_bands, "band").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    parts = chunked.select("band", F.col("rep").alias("doc"), F.col("component").alias("own"), "chunk", "chunks", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other")).select(
+        "band", "doc", "own", (F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other")).alias("part"))
+    more = session.land(link_parts(parts, texts, percent), "links")
     found = session.land(components(links.union(more)), "components")
 
     classes = with_component(reps.select("digest", "rep"), "rep", found).select("digest", "component")

@@ -84,7 +84,7 @@ def test_secrets(spark, docs, texts):
 
 
 def test_secret_kinds_and_redaction(spark):
-    text = "x ghp_" + "a" * 36 + " y\n-----BEGIN RSA PRIVATE KEY----- token=" + "f" * 30 + " end"
+    text = "x ghp_" + "Z" * 36 + " y\n-----BEGIN RSA PRIVATE KEY----- token=" + "f" * 30 + " end"
     rows = spark.createDataFrame([(1, text, 0), (2, "clean", 5), (3, None, None)], "doc_id int, text string, n_chars int")
     kinds = {r.doc_id: [s.kind for s in r.secrets] for r in secret_scan.scan(rows).collect()}
     assert kinds == {1: ["github", "private_key", "assign", "hex"], 2: [], 3: []}

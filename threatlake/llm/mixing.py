@@ -14,7 +14,7 @@ MAX_EPOCHS = 3
 #: Weights of the sources in order of code points, null last, repeating.
 WEIGHTS = (1, 2, 3)
 #: Documents whose running sums one task computes.
-BUCKET_DOCUMENTS = 20_000
+BUCKET_DOCUMENTS = 5_000
 #: Rounds of the index permutations.
 ROUNDS = 8
 
@@ -124,7 +124,10 @@ def _slots(targets: DataFrame, seed: int, block_words: int, shard_slots: int) ->
     ahead = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     blocks = targets.select(c("source").alias("s"), F.ceil(c("source_size") / block_words).alias("blocks"))
-    slots = numbered.join(blocks, c("source").eqNullSafe(c("s"))).select(
+    # The counts are few, the slots they open many: deal them out first, whatever their source.
+    dealt = numbered.join(blocks, c("source").eqNullSafe(c("s"))).repartition(
+        int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "source")
+    slots = dealt.select(
         "shard", "source", "blocks", F.explode(F.sequence(c("first"), c("first") + c("n") - 1)).alias("slot"))
     return slots.select(
         "shard", "source", "slot", F.floor(c("slot") / c("blocks")).alias("epoch"),

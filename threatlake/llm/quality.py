@@ -86,6 +86,8 @@ def _repeats(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, hasher: Hasher) -> np.ndarray:
     """Lines of each text that hold a word and equal an earlier line of the text."""
+    if not len(data):
+        return np.zeros(len(offsets) - 1, dtype=np.int64)
     feeds = np.flatnonzero(data == 0x0A)
     begins = np.unique(np.concatenate([offsets[:-1], feeds + 1]))
     begins = begins[begins < len(data)]

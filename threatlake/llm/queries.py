@@ -86,7 +86,7 @@ ORACLES["op5_content_addressed"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS hexed FROM p),
 b AS (SELECT d.*, list_aggregate([
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (CAST('0x' || substr(hexed, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31]
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || substr(hexed, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31)]
     FOR i IN range(32)], 'string_agg', '') AS payload_digest, max(page_id) OVER (PARTITION BY hexed) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,

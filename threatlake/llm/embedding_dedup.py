@@ -153,6 +153,19 @@ def _forest(n: int, pairs: np.ndarray) -> list[int]:
     return [root(x) for x in range(n)]
 
 
+def _share_key(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether two rows of keys have one of the wanted ones in common."""
+    member = np.nonzero(wanted)[0]
+    _, column, counts = np.unique(keys[wanted], return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(counts > 1)
+    place = np.full(len(counts), -1)
+    place[kept] = np.arange(len(kept))
+    at = place[column] >= 0
+    table = np.zeros((len(keys), len(kept)), dtype=np.float32)
+    table[member[at], place[column[at]]] = 1.0
+    return table @ table.T > 0
+
+
 def _compare(rows: pa.Table, cosine: float, tables: int, probes: int) -> tuple[list[int], list[int], list[int]]:
     """(rep, links, root) of the members of one part of a bucket.
 
@@ -165,15 +178,12 @@ def _compare(rows: pa.Table, cosine: float, tables: int, probes: int) -> tuple[l
     close = np.triu(units @ units.T >= cosine, 1)
     if len(np.unique(chunk)) > 1:
         close &= chunk[:, None] != chunk[None, :]
+    used = np.flatnonzero(close.any(axis=0) | close.any(axis=1))
+    if len(used):
+        keys = bucket_keys(units[used], labels[used], tables, probes)
+        earlier = _share_key(keys, keys < rows["bucket"][0].as_py())
+        close[np.ix_(used, used)] &= ~earlier
     pairs = np.argwhere(close)
-    if len(pairs):
-        used = np.unique(pairs)
-        keys = np.zeros((len(reps), tables * (1 + probes)), dtype=np.int64)
-        keys[used] = np.sort(bucket_keys(units[used], labels[used], tables, probes), axis=1)
-        here = rows["bucket"][0].as_py()
-        mine = [(keys[a] < here).any() and bool(np.intersect1d(keys[a][keys[a] < here], keys[b][keys[b] < here]).size)
-                for a, b in pairs.tolist()]
-        pairs = pairs[~np.array(mine, dtype=bool)]
     links = np.bincount(pairs[:, 0], weights=copies[pairs[:, 1]], minlength=len(reps)) + np.bincount(
         pairs[:, 1], weights=copies[pairs[:, 0]], minlength=len(reps))
     roots = reps[_forest(len(reps), pairs)]

@@ -138,12 +138,12 @@ def test_language_model(spark, order):
     texts = [" ".join(rng.choice("aa bb cc dd Ee ff gg".split()) for _ in range(rng.randint(0, 40))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(60, None), (61, "never seen words"), (None, "aa bb"), (5, texts[5])]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, block int").repartition(3)
-    old = language_model.BLOCK_TOKENS, language_model.SHARD_NGRAMS
-    language_model.BLOCK_TOKENS, language_model.SHARD_NGRAMS = 150, 200
+    old = language_model.BLOCK_TOKENS, language_model.SHARD_NGRAMS, language_model.SEGMENT_TOKENS
+    language_model.BLOCK_TOKENS, language_model.SHARD_NGRAMS, language_model.SEGMENT_TOKENS = 150, 200, 60
     try:
         got = language_model.score(df, order=order).collect()
     finally:
-        language_model.BLOCK_TOKENS, language_model.SHARD_NGRAMS = old
+        language_model.BLOCK_TOKENS, language_model.SHARD_NGRAMS, language_model.SEGMENT_TOKENS = old
     tokens = [(i, (t or "").lower().split() + ["</s>"]) for i, t in rows]
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     counts = [collections.Counter(tuple(t[j: j + k]) for i, t in tokens if not held[i] for j in range(len(t) - k + 1)) for k in range(1, order + 1)]

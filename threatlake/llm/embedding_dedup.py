@@ -17,9 +17,9 @@ from threatlake.llm.textops import mix
 #: Pairs at or above this cosine are links.
 COSINE = 0.93
 #: Hash tables, hashes joined in each, and further buckets that a vector enters in each table.
-TABLES, HASHES, PROBES = 6, 2, 5
+TABLES, HASHES, PROBES = 5, 3, 7
 #: Best coordinates of a hash among which probes are chosen.
-NEXT_BEST = 4
+NEXT_BEST = 3
 #: Members of a bucket that meet at once, twice over.
 CHUNK = 256
 

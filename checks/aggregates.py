@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from checks.oracle_base import benign_case, q, sql, values
 from checks.registry import query
 from checks.scores import _TYPED
-from checks.tables import Tables
+from checks.tables import YEAR, Tables
 from threatlake import catalog
-from threatlake.operators import alarms, lookups, matching, report, running
+from threatlake.operators import alarms, extract, lookups, matching, report, running
 from threatlake.sources import reference
 
 c = F.col
@@ -126,12 +126,17 @@ def _(t: Tables) -> DataFrame:
     return alarms.service_rates(t.parsed)
 
 
-@query("a14_dns_rates", sql("ev", f"""
-SELECT source_ip, {bucket(1)} AS window_start, count(*) AS queries FROM ev WHERE dest_port IN (80, 443) GROUP BY ALL HAVING count(*) > 1"""))
+@query("a14_dns_rates", sql("raw", """
+SELECT source_ip, date_trunc('minute', log_ts) AS window_start, count(*) AS queries
+FROM (SELECT *, '192.168.7.' || user_id % 4 AS source_ip FROM raw) GROUP BY ALL HAVING count(*) > 4"""))
 def _(t: Tables) -> DataFrame:
-    # The derived log has no DNS traffic: its web connections stand in for it.
-    as_dns = t.parsed.filter("dest_port in (80, 443)").withColumn("dest_port", F.lit(53))
-    return alarms.dns_rates(as_dns, 1)
+    # A DNS query line for every event, as the firewall writes it.
+    users = t.table("events").select("event_id", "user_id")
+    lines = t.derived.select("event_id", "source_file", "line_number", "log_type", "log_ts").join(users, "event_id")
+    line = F.concat(
+        F.date_format("log_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" EventID=5156 Application Name: C:\\Windows\\System32\\svchost.exe Source Address: 192.168.7."),
+        (c("user_id") % 4).cast("string"), F.lit(" Source Port: 50123 Dest Address: 8.8.8.8 Dest Port: 53 Protocol: 17"))
+    return alarms.dns_rates(extract.parse_events(lines.withColumn("line", line), YEAR), 4)
 
 
 @query("a15_process_connections", sql("ev", f"""
@@ -200,15 +205,31 @@ def _(t: Tables) -> DataFrame:
     return tops.unionByName(factors)
 
 
+@query("t4_next_page", sql("findings", f"""
+SELECT {KEY}, severity FROM findings WHERE source_file > 'day1.log' OR (source_file = 'day1.log' AND line_number > 500)
+ORDER BY source_file, line_number LIMIT 50"""))
+def _(t: Tables) -> DataFrame:
+    return report.next_page(t.findings, "day1.log", 500).select("source_file", "line_number", "severity")
+
+
 @query("t4_findings_page", sql("findings", f"SELECT {KEY}, severity FROM findings ORDER BY source_file, line_number LIMIT 50 OFFSET 100"))
 def _(t: Tables) -> DataFrame:
     return report.page(t.findings, 3).select("source_file", "line_number", "severity")
 
 
+# Phrases of several benign rules at once, set behind every line.
+_OVERLAPS = (" dns query db.internal dns response NXDOMAIN", " dns query google.com db.local", " tcp syn ack 10.0.0.7",
+             " http GET /a 10.0.0.7 smb negotiate 10.0.0.8", " https POST /b 10.0.0.9", " dhcp offer discover ntp client",
+             " arp who-has 10.0.0.1 arp reply 10.0.0.1")
+
+
 @query("t5_longest_rule_first", sql("raw", f"""
-SELECT description, count(*) AS n_lines FROM (SELECT {benign_case('description')} AS description FROM raw) WHERE description IS NOT NULL GROUP BY ALL"""))
+WITH both_lines AS (SELECT line FROM raw UNION ALL SELECT line || [{','.join(q(o) for o in _OVERLAPS)}][line_number % {len(_OVERLAPS)} + 1] FROM raw)
+SELECT description, count(*) AS n_lines FROM (SELECT {benign_case('description')} AS description FROM both_lines) WHERE description IS NOT NULL GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
-    tagged = matching.benign_rule(t.lines).filter("benign is not null")
+    more = F.array(*map(F.lit, _OVERLAPS))[(c("line_number") % len(_OVERLAPS)).cast("int")]
+    lines = t.lines.select("line").unionByName(t.lines.select(F.concat("line", more).alias("line")))
+    tagged = matching.benign_rule(lines).filter("benign is not null")
     return tagged.groupBy(c("benign")["description"].alias("description")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 

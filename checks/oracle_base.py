@@ -159,8 +159,16 @@ def benign_sql(rule: catalog.BenignRule) -> str:
     return rx(rule.pattern)
 
 
+# The order in which benign rules are tried, written out apart from the catalogue.
+_BENIGN_ORDER = (
+    "Internal HTTPS request", "Internal HTTP request", "Internal TCP handshake ACK", "Internal SMB negotiation",
+    "Internal ARP request", "Internal ARP reply", "Internal TCP SYN", "External TCP SYN", "Common External DNS query",
+    "Internal DNS query", "Failed DNS response", "DHCP discover", "DHCP offer", "NTP client")
+
+
 def benign_case(field: str) -> str:
-    ordered = sorted(catalog.BENIGN_RULES, key=lambda r: -len(r.pattern))
+    by_name = {r.description: r for r in catalog.BENIGN_RULES}
+    ordered = [by_name[name] for name in _BENIGN_ORDER]
     def value(r):
         v = getattr(r, field)
         return q(v) if isinstance(v, str) else (f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v))
@@ -406,6 +414,21 @@ _PARTS = {
 }
 
 
+def _json_raw() -> str:
+    """The log as JSON documents: a connection for every event, arrays for even blocks, objects for odd ones."""
+    iso = "strftime(log_ts, '%Y-%m-%d %H:%M:%S')"
+    return _derived().replace("\nraw AS (", "\nraw0 AS (") + f""",
+raw AS (SELECT event_id, CASE WHEN block % 2 = 0 THEN event_id % 200 + 1 ELSE 1 END AS line_number,
+    'doc' || CASE WHEN block % 2 = 0 THEN block * 200 ELSE event_id END AS source_file, log_ts, block, k, user_id,
+    '{{"timestamp":"' || {iso} || '","src_ip":"45.67.0.' || user_id % 3 || '","dst_ip":"10.0.0.' || event_id % 3 ||
+    '","dst_port":' || [80, 4444, 22][event_id % 3 + 1] || ',"src_port":' || 40000 + user_id || ',"protocol":"tcp","bytes":0}}' AS line FROM raw0)"""
+
+
+def json_sql(needs: str, select: str) -> str:
+    """`sql` over the log as JSON documents."""
+    return sql(needs, select).replace(_derived(), _json_raw())
+
+
 def sql(needs: str, select: str) -> str:
     """`select` with the common tables it needs, in dependency order."""
     order: list[str] = []

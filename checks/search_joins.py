@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.oracle_base import rx, sql, values
+from checks.oracle_base import json_sql, rx, sql, values
 from checks.registry import query
 from checks.tables import YEAR, Tables
 from threatlake import catalog
 from threatlake.functions import net
 from threatlake.operators import lookups, matching, running, search, triage
 from threatlake.plans import scan
-from threatlake.sources import reference
+from threatlake.sources import carrier, reference
 
 c = F.col
 DOC = ("doc_id", "pos", "line")
@@ -145,6 +145,20 @@ def _(t: Tables) -> DataFrame:
     return matching.rule_hits(t.lines, catalog.ROOT_RULES).select("source_file", "line_number", "rule_id")
 
 
+_USER_RULES = [(901, "Failed password", "AUTH", 3, r"failed\s+password"), (902, "Shell tool", "PROCESS", 4, r"\b(?:nc|powershell)\s+-"),
+               (903, "Port 4444", "NETWORK", 2, r"\b4444\b"), (904, "Never", "NETWORK", 1, r"zzz{3}q")]
+
+
+@query("j1_rule_table", sql("raw", f"""
+SELECT source_file, line_number, rule_id, severity FROM raw JOIN {values([(r[0], r[3], '(?i)' + r[4]) for r in _USER_RULES])} r(rule_id, severity, pattern)
+ON regexp_matches(line, pattern)"""))
+def _(t: Tables) -> DataFrame:
+    listed = t.spark.createDataFrame(_USER_RULES, "rule_id int, description string, category string, severity int, pattern string")
+    rules = matching.rules_from_table(listed)
+    hits = matching.rule_hits(t.lines, rules)
+    return hits.join(F.broadcast(listed.select("rule_id", "severity")), "rule_id").select("source_file", "line_number", "rule_id", "severity")
+
+
 @query("j2_all_indicators", sql("ff", "SELECT source_file, line_number, severity, categories, descriptions FROM ff"))
 def _(t: Tables) -> DataFrame:
     return t.file_findings.select("source_file", "line_number", "severity",
@@ -205,6 +219,18 @@ def _(t: Tables) -> DataFrame:
     return running.correlation_count(t.parsed)
 
 
+# Every third connection goes to one of some public servers.
+_SERVERS = ("8.8.8.8", "1.1.1.1", "8.8.4.4", "45.67.0.9", "9.9.9.9")
+_ADDRESSES = ("SELECT source_file, line_number, CASE WHEN line_number % 3 = 0 THEN [" + ",".join(f"'{s}'" for s in _SERVERS)
+              + "][line_number % 5 + 1] ELSE dest_ip END AS dest_ip FROM ev WHERE kind = 'NETWORK'")
+
+
+def addressed(t: Tables) -> DataFrame:
+    server = F.array(*map(F.lit, _SERVERS))[(c("line_number") % 5).cast("int")]
+    return t.parsed.filter("kind = 'NETWORK'").withColumn(
+        "dest_ip", F.when(c("line_number") % 3 == 0, server).otherwise(c("dest_ip")))
+
+
 @query("j8_whitelist_removal", sql("ev", f"""
 SELECT source_file, line_number, process_name, lower(process_name) IN {catalog.BASELINE_PROCESSES} AS trusted FROM ev
 WHERE kind <> 'GENERIC' AND lower(process_name) NOT IN {catalog.WHITELISTED_PROCESSES}"""))
@@ -217,6 +243,19 @@ def _(t: Tables) -> DataFrame:
     return flagged.select("source_file", "line_number", "process_name", "trusted")
 
 
+@query("j8_ip_whitelist", sql("ev", f"""
+SELECT source_file, line_number, dest_ip FROM ({{}}) WHERE dest_ip NOT IN {catalog.WHITELISTED_IPS}""".replace("{}", _ADDRESSES)))
+def _(t: Tables) -> DataFrame:
+    listed = reference.values(t.spark, "address", catalog.WHITELISTED_IPS)
+    return lookups.exclude(addressed(t), "dest_ip", listed).select("source_file", "line_number", "dest_ip")
+
+
+@query("q14_dns_servers", sql("ev", f"""
+SELECT source_file, line_number, dest_ip, dest_ip IN {catalog.BASELINE_DNS_SERVERS} AS known FROM ({{}})""".replace("{}", _ADDRESSES)))
+def _(t: Tables) -> DataFrame:
+    return addressed(t).select("source_file", "line_number", "dest_ip", lookups.is_known_dns_server(c("dest_ip")).alias("known"))
+
+
 @query("j9_network_containment", sql("ev", """
 SELECT source_file, line_number, source_ip, CASE WHEN source_ip LIKE '10.%' THEN '10.0.0.0/8' WHEN source_ip LIKE '192.168.%' THEN '192.168.0.0/16' END AS network,
     source_ip LIKE '10.%' OR source_ip LIKE '192.168.%' AS is_internal FROM ev WHERE kind = 'NETWORK'"""))
@@ -314,13 +353,37 @@ def _(t: Tables) -> DataFrame:
     return triage.evidence_bundles(t.findings)
 
 
+@query("s4_json_scan", json_sql("findings", "SELECT source_file, line_number, severity, verdict_source, round(CASE WHEN wins THEN risk END, 6) AS risk FROM findings"))
+def _(t: Tables) -> DataFrame:
+    return t.json_findings.select("source_file", "line_number", "severity", "verdict_source", F.round("risk", 6).alias("risk"))
+
+
+@query("w5_json_ordinal", json_sql("findings", """
+SELECT source_file, line_number, row_number() OVER (PARTITION BY source_file ORDER BY line_number) AS ordinal FROM findings"""))
+def _(t: Tables) -> DataFrame:
+    return running.ordinal(t.json_findings.select("source_file", "line_number"))
+
+
+@query("a16_json_bundles", json_sql("findings", f"WITH {_BUNDLES} SELECT source_file, bundle, findings FROM bundles"))
+def _(t: Tables) -> DataFrame:
+    return triage.evidence_bundles(t.json_findings).select("source_file", "bundle", "findings")
+
+
+@query("j11_json_second_pass", json_sql("verdicts", f"""WITH {_REFINED}
+SELECT source_file, line_number, severity, confidence, coalesce(revised, severity) AS revised_severity FROM refined"""))
+def _(t: Tables) -> DataFrame:
+    found = t.json_findings
+    return triage.refine(found, carrier.verdicts_for(found)).select(
+        "source_file", "line_number", "severity", "confidence", "revised_severity")
+
+
 @query("a16_short_evidence", sql("findings", """
 WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_number) AS n FROM findings WHERE severity >= 2)
 SELECT source_file, left(string_agg('Finding ' || n || ': ' || left(content, 200) || '...', chr(10) ORDER BY n), 300)
     || CASE WHEN length(string_agg('Finding ' || n || ': ' || left(content, 200) || '...', chr(10) ORDER BY n)) > 300 THEN '...(truncated)' ELSE '' END AS text
 FROM ranked WHERE n <= 5 GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
-    return triage.short_evidence(t.findings).select("source_file", triage.chat_context(c("text"), 300).alias("text"))
+    return triage.short_evidence(t.findings, 5, 200).select("source_file", triage.chat_context(c("text"), 300).alias("text"))
 
 
 @query("j14_triage_chain", sql("verdicts", """

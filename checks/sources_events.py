@@ -20,10 +20,10 @@ CHUNK = 1000
 c = F.col
 
 
-def written_lines(t: Tables, condition: str = "true") -> str:
+def written_lines(t: Tables) -> str:
     """The derived lines as text files of up to CHUNK lines, in order."""
     path = session.new_folder(t.spark, "text")
-    rows = t.derived.filter(condition).select(F.floor(c("event_id") / CHUNK).alias("chunk"), "event_id", "line")
+    rows = t.derived.select(F.floor(c("event_id") / CHUNK).alias("chunk"), "event_id", "line")
     rows.repartition("chunk").sortWithinPartitions("chunk", "event_id").drop("event_id").write.partitionBy(
         "chunk").text(path)
     return path
@@ -46,7 +46,7 @@ SELECT lang, count(*) AS kept, CAST(sum(length(l)) AS BIGINT) AS chars FROM (
     SELECT lang, trim(replace(line, chr(0), ''), {q(logs.WHITE_SPACE)}) AS l FROM doc_lines WHERE length(line) + 1 <= 2048)
 WHERE l <> '' GROUP BY lang"""))
 def _(t: Tables) -> DataFrame:
-    return logs.clean_lines(t.document_lines).groupBy("lang").agg(
+    return logs.clean_lines(t.document_lines, catalog.MAX_LINE_LENGTH).groupBy("lang").agg(
         F.count(F.lit(1)).alias("kept"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -56,20 +56,26 @@ def _(t: Tables) -> DataFrame:
     return t.derived.select("line_number", logs.drop_bad_bytes(broken).alias("line"))
 
 
+def json_documents(t: Tables) -> DataFrame:
+    """All lines as JSON documents: an array for each even block, an object for each line of an odd one."""
+    item = F.to_json(F.struct("event_id", "line"))
+    rows = t.derived.select("event_id", F.floor(c("event_id") / 200).alias("block"), item.alias("item"))
+    arrays = rows.filter("block % 2 = 0").groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "item")))["item"].alias("items"))
+    arrays = arrays.select((c("block") * 200).alias("document"), F.concat(
+        F.lit(" [ "), F.array_join("items", " ,\n "), F.lit("]")).alias("text"))
+    return arrays.unionByName(rows.filter("block % 2 = 1").select(c("event_id").alias("document"), c("item").alias("text")))
+
+
 @query("s4_json_documents", sql("raw", """
-SELECT block, CASE WHEN block % 2 = 0 THEN 'array' ELSE 'object' END AS shape, line AS item, CAST(length(left(line, 40)) AS INTEGER) AS n
-FROM raw WHERE event_id % 12 IN (4, 5) AND (block % 2 = 0 OR event_id = (SELECT min(r.event_id) FROM raw r
-    WHERE r.block = raw.block AND r.event_id % 12 IN (4, 5)))"""))
+SELECT CASE WHEN block % 2 = 0 THEN block * 200 ELSE event_id END AS document, CASE WHEN block % 2 = 0 THEN event_id % 200 + 1 ELSE 1 END AS item_number,
+    event_id, line FROM raw"""))
 def _(t: Tables) -> DataFrame:
-    rows = t.derived.filter("event_id % 12 in (4, 5)").select(
-        F.floor(c("event_id") / 200).alias("block"), F.struct("event_id", "line").alias("r"))
-    docs = rows.groupBy("block").agg(F.array_sort(F.collect_list("r"))["line"].alias("items"))
-    body = F.when(c("block") % 2 == 0, F.concat(F.lit(" [ "), F.array_join("items", " ,\n "), F.lit("]"))).otherwise(
-        c("items")[0])
-    docs = docs.select("block", F.when(c("block") % 2 == 0, "array").otherwise("object").alias("shape"), body.alias("text"))
-    scalars = docs.select("block", "shape", F.lit("5").alias("text"))
-    return logs.explode_documents(docs.unionByName(scalars)).select(
-        "block", "shape", "item", F.length(text.truncate(c("item"), 40)).alias("n"))
+    docs = json_documents(t)
+    scalars = docs.select("document", F.lit("5").alias("text"))
+    items = logs.explode_documents(docs.unionByName(scalars))
+    parsed = F.from_json("item", "event_id bigint, line string")
+    return items.select("document", "item_number", parsed.alias("v")).select("document", "item_number", "v.*")
 
 
 @query("s5_json_lines", sql("raw", "SELECT line_number, json_valid(line) AS is_json FROM raw"))
@@ -77,9 +83,9 @@ def _(t: Tables) -> DataFrame:
     return t.lines.select("line_number", F.try_parse_json("line").isNotNull().alias("is_json"))
 
 
-def _file_scan_sql(condition: str) -> str:
+def _file_scan_sql() -> str:
     return sql("raw", f"""WITH numbered AS (SELECT event_id // {CHUNK} AS chunk,
-    row_number() OVER (PARTITION BY event_id // {CHUNK} ORDER BY event_id) AS n, * FROM raw WHERE {condition}),
+    row_number() OVER (PARTITION BY event_id // {CHUNK} ORDER BY event_id) AS n, * FROM raw),
 """ + _hits("numbered") + """
 SELECT chunk, line_number, max(severity) AS severity, string_agg(description, ' | ' ORDER BY rule_id) AS descriptions
 FROM scan2 GROUP BY chunk, line_number""")
@@ -91,37 +97,38 @@ def _hits(source: str) -> str:
     return body.replace("scan2 AS (SELECT h.*,", "scan2 AS (SELECT h.*, h.source_file AS chunk,")
 
 
-def _file_scan(t: Tables, log_type: str, condition: str) -> DataFrame:
-    found = matching.file_findings(logs.strip_lines(logs.read_text(t.spark, written_lines(t, condition), log_type)))
+def _file_scan(t: Tables, log_type: str) -> DataFrame:
+    found = matching.file_findings(logs.strip_lines(logs.read_text(t.spark, written_lines(t), log_type)))
     return found.select(chunk_of(c("source_file")), "line_number", "severity",
                         F.array_join(c("indicators")["description"], " | ").alias("descriptions"))
 
 
-@query("s6_memory_text_scan", _file_scan_sql("event_id % 12 IN (2, 5)"))
+@query("s6_memory_text_scan", _file_scan_sql())
 def _(t: Tables) -> DataFrame:
-    return _file_scan(t, "volatility_text", "event_id % 12 in (2, 5)")
+    return _file_scan(t, "volatility_text")
 
 
-@query("s7_packet_text_scan", _file_scan_sql("event_id % 12 = 9"))
+@query("s7_packet_text_scan", _file_scan_sql())
 def _(t: Tables) -> DataFrame:
-    return _file_scan(t, "wireshark", "event_id % 12 = 9")
+    return _file_scan(t, "wireshark")
 
 
-@query("s8_generic_text_scan", _file_scan_sql("true"))
+@query("s8_generic_text_scan", _file_scan_sql())
 def _(t: Tables) -> DataFrame:
-    return _file_scan(t, "generic", "true")
+    return _file_scan(t, "generic")
 
 
 @query("s9_format_dispatch", sql("raw", """
 SELECT 'generic' AS log_type, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM raw
-UNION ALL SELECT 'volatility_json', count(*), CAST(sum(length('{"event_id":' || event_id || ',"line_number":' || line_number || '}')) AS BIGINT)
-FROM raw WHERE event_id % 120 = 4"""))
+UNION ALL SELECT 'volatility_json', count(DISTINCT event_id // 1000), CAST(sum(length('{"event_id":' || event_id || ',"line_number":' || line_number || '},'))
+    + count(DISTINCT event_id // 1000) * (length('{"items":[]}') - 1) AS BIGINT) FROM raw"""))
 def _(t: Tables) -> DataFrame:
     parent = session.new_folder(t.spark, "mixed")
     rows = t.derived.withColumn("chunk", F.floor(c("event_id") / CHUNK))
     rows.repartition("chunk").sortWithinPartitions("chunk", "event_id").select("chunk", "line").write.partitionBy(
         "chunk").text(f"{parent}/kind=text")
-    documents = rows.filter("event_id % 120 = 4").select(c("event_id").alias("chunk"), "event_id", "line_number")
+    # One document for each chunk, an object that lists its lines.
+    documents = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("event_id", "line_number"))).alias("items"))
     documents.repartition("chunk").write.partitionBy("chunk").json(f"{parent}/kind=json")
     return logs.read_logs(t.spark, parent).groupBy("log_type").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"))

@@ -1,7 +1,6 @@
 """Streaming (R): each query reads the events table as a stream and runs it to the end of the input.
 
-Windows still open at the watermark stay unwritten, so the SQL sides keep only
-windows that end five minutes before the latest event.
+The input is closed at its end, so the windows that were still open are written too.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from threatlake.sources import carrier
 from threatlake.streaming import streams
 
 c = F.col
-# The latest time behind which windows are complete.
-_CLOSED = "(SELECT max(event_time) - INTERVAL 5 MINUTES FROM ev WHERE kind <> 'GENERIC')"
 
 
 def line_stream(t: Tables) -> DataFrame:
@@ -30,6 +27,12 @@ def event_stream(t: Tables) -> DataFrame:
     return streams.events(line_stream(t), YEAR)
 
 
+def run_closed(t: Tables, label: str, make) -> DataFrame:
+    """Runs `make` of the events to the end of the input and closes it."""
+    lines, close = streams.closable(line_stream(t))
+    return streams.run_available(make(streams.events(lines, YEAR)), label, close=close)
+
+
 def _stateless_sql() -> str:
     return sql("best scored", """
 WITH alone AS (SELECT *, CASE WHEN kind = 'NETWORK' THEN connection_risk * trust_multiplier * CAST(benign_factor AS DOUBLE)
@@ -68,9 +71,9 @@ windows AS (SELECT *, w_start + INTERVAL {seconds} SECONDS AS w_end FROM slid)""
 @query("r2_event_retention", sql("ev", f"""
 WITH {_sliding('300', 60)}
 SELECT w_end AS window_end, source_file, CASE kind WHEN 'NETWORK' THEN 'pair:' || source_ip || ':' || dest_ip ELSE 'name:' || process_name END AS key,
-    count(*) AS events FROM windows WHERE w_end <= {_CLOSED} GROUP BY ALL"""))
+    count(*) AS events FROM windows GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
-    return streams.run_available(streams.retained(event_stream(t)), "r2")
+    return run_closed(t, "r2", streams.retained)
 
 
 @query("r3_expiring_counters", sql("scored", """
@@ -92,18 +95,18 @@ def _(t: Tables) -> DataFrame:
 @query("r4_hourly_baseline", sql("ev", f"""
 WITH c AS (SELECT date_trunc('hour', event_time) AS hour, CASE kind WHEN 'NETWORK' THEN 'network_' || protocol || '_' || dest_port ELSE 'process_' || process_name END AS event_type,
     CASE kind WHEN 'NETWORK' THEN source_ip ELSE "user" END AS src, count(*) AS n FROM ev WHERE kind <> 'GENERIC' GROUP BY ALL)
-SELECT hour, event_type, round(sum(n) / count(*), 6) AS baseline FROM c WHERE hour + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY ALL"""))
+SELECT hour, event_type, round(sum(n) / count(*), 6) AS baseline FROM c GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
-    out = streams.run_available(streams.hourly_baseline(event_stream(t)), "r4")
+    out = run_closed(t, "r4", streams.hourly_baseline)
     return out.withColumn("baseline", F.round("baseline", 6))
 
 
 @query("r5_rate_alarms", sql("ev", f"""
 WITH {_sliding('60', 10)}
-SELECT w_start AS window_start, source_ip, dest_ip, count(*) AS connections FROM windows WHERE kind = 'NETWORK' AND w_end <= {_CLOSED}
+SELECT w_start AS window_start, source_ip, dest_ip, count(*) AS connections FROM windows WHERE kind = 'NETWORK'
 GROUP BY ALL HAVING count(*) > 5"""))
 def _(t: Tables) -> DataFrame:
-    return streams.run_available(streams.rate_alarms(event_stream(t), 5), "r5")
+    return run_closed(t, "r5", lambda events: streams.rate_alarms(events, 5))
 
 
 @query("r6_network_with_process", sql("ev", f"""
@@ -111,16 +114,16 @@ WITH p AS (SELECT source_file, process_name, date_trunc('second', event_time) AS
     WHERE kind = 'PROCESS' GROUP BY ALL)
 SELECT n.source_file, n.line_number, n.process_name, n.event_time, second, process_events FROM ev n JOIN p ON n.source_file = p.source_file
     AND n.process_name = p.process_name AND p.second BETWEEN n.event_time - INTERVAL 300 SECONDS AND n.event_time
-WHERE n.kind = 'NETWORK' AND second + INTERVAL 1 SECOND <= {_CLOSED}"""))
+WHERE n.kind = 'NETWORK'"""))
 def _(t: Tables) -> DataFrame:
-    return streams.run_available(streams.network_with_process(event_stream(t)), "r6")
+    return run_closed(t, "r6", streams.network_with_process)
 
 
 @query("r7_threshold_alarms", sql("ev", f"""
 SELECT 'failed_logins' AS alarm, source_ip, time_bucket(INTERVAL 5 MINUTES, event_time, TIMESTAMP '1970-01-01') AS window_start, count(*) AS value
-FROM ev WHERE status = 'Failed' AND time_bucket(INTERVAL 5 MINUTES, event_time, TIMESTAMP '1970-01-01') + INTERVAL 5 MINUTES <= {_CLOSED}
+FROM ev WHERE status = 'Failed'
 GROUP BY ALL HAVING count(*) > 5
 UNION ALL SELECT 'connection_rate', source_ip, date_trunc('minute', event_time), count(*) FROM ev
-WHERE kind = 'NETWORK' AND date_trunc('minute', event_time) + INTERVAL 1 MINUTE <= {_CLOSED} GROUP BY ALL HAVING count(*) > 10"""))
+WHERE kind = 'NETWORK' GROUP BY ALL HAVING count(*) > 10"""))
 def _(t: Tables) -> DataFrame:
-    return streams.run_available(streams.threshold_alarms(event_stream(t)), "r7")
+    return run_closed(t, "r7", streams.threshold_alarms)

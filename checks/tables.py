@@ -31,12 +31,16 @@ class Tables:
             _landed[key] = session.land(make(), name)
         return _landed[key]
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The given tables are one file each: deal their rows out."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @property
     def derived(self) -> DataFrame:
-        return logs.spread(carrier.derive_lines(self.table("events")))
+        return self.spread(carrier.derive_lines(self.table("events")))
 
     @property
     def lines(self) -> DataFrame:
@@ -44,7 +48,7 @@ class Tables:
 
     @property
     def document_lines(self) -> DataFrame:
-        docs = logs.spread(self.table("documents"))
+        docs = self.spread(self.table("documents"))
         return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
     @property
@@ -74,6 +78,28 @@ class Tables:
     def packets(self) -> DataFrame:
         return extract.parse_packets(self.lines)
 
+    @property
+    def json_findings(self) -> DataFrame:
+        """Findings of a scan over JSON documents with a connection for every event."""
+        def make() -> DataFrame:
+            c = F.col
+            port = F.array(*map(F.lit, (80, 4444, 22)))[(c("event_id") % 3).cast("int")]
+            parts = ['{"timestamp":"', F.date_format("log_ts", "yyyy-MM-dd HH:mm:ss"), '","src_ip":"45.67.0.', c("user_id") % 3,
+                     '","dst_ip":"10.0.0.', c("event_id") % 3, '","dst_port":', port, ',"src_port":', 40000 + c("user_id"),
+                     ',"protocol":"tcp","bytes":0}']
+            item = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+            rows = self.derived.join(self.table("events").select("event_id", "user_id"), "event_id").select(
+                "event_id", F.floor(c("event_id") / 200).alias("block"), item.alias("item"))
+            arrays = rows.filter("block % 2 = 0").groupBy((c("block") * 200).alias("document")).agg(
+                F.array_sort(F.collect_list(F.struct("event_id", "item")))["item"].alias("items"))
+            docs = arrays.select("document", F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("text")).unionByName(
+                rows.filter("block % 2 = 1").select(c("event_id").alias("document"), c("item").alias("text")))
+            lines = logs.explode_documents(docs).select(
+                F.concat(F.lit("doc"), c("document").cast("string")).alias("source_file"), c("item_number").alias("line_number"),
+                c("item").alias("line"), F.lit("volatility_json").alias("log_type"))
+            return scan.scan(logs.clean_lines(lines), YEAR)
+        return self._once("json_findings", make)
+
     @property
     def verdicts(self) -> DataFrame:
         return carrier.verdicts_for(self.findings)

@@ -64,3 +64,21 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert dropped > 0
     counts = {r["window_end"].strftime("%H:%M"): r["events"] for r in spark.read.parquet(out).collect()}
     assert counts["03:05"] == 1 and max(counts.values()) == 1
+
+
+def test_counters_do_not_depend_on_arrival_or_chunks(spark, tmp_path, rocksdb, monkeypatch):
+    """One busy key, its rows out of order and over several files; any chunk size gives the same counts."""
+    rows = [ssh(f"03:{i // 60:02d}:{i % 60:02d}") for i in range(150)]
+    rows = rows[::-1][::2] + rows[::-1][1::2]
+    for i in range(3):
+        write(spark, tmp_path, f"{i}.log", rows[i::3])
+    found = []
+    for rows_at_once, chunk in ((7, 5), (10_000, 100_000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+        monkeypatch.setattr(streams._Counter, "CHUNK", chunk)
+        lines = streams.read_text_stream(spark, str(tmp_path)).withColumn("source_file", F.lit("f"))
+        timed = streams.events(lines, 2024).withColumn("line_number", F.unix_timestamp("event_time"))
+        counted = streams.run_available(streams.running_counters(timed), "t")
+        found.append([r["frequency"] for r in counted.orderBy("line_number").collect()])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == list(range(1, 151))

@@ -42,6 +42,7 @@ class BenignRule(NamedTuple):
     max_freq: int
     multiplier: float
     as_written_live: bool
+    priority: int
 
 
 class CommandRule(NamedTuple):
@@ -72,6 +73,7 @@ class Service(NamedTuple):
 
 # Case-insensitive (Unicode-aware), "." stops at line feeds only.
 FLAGS = "(?iud)"
+UNICODE_FLAGS = "(?iUd)"
 
 # The three RFC 1918 prefixes as the rules spell them.
 INTERNAL_PREFIX = r"(?:192\.168\.|10\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
@@ -241,28 +243,28 @@ THREAT_RULES: tuple[Rule, ...] = (
 )
 
 # --------------------------------------------------------------------------
-# Benign traffic.  Tried longest pattern first.
+# Benign traffic, with the place in which each rule is tried.
 # --------------------------------------------------------------------------
 BENIGN_RULES: tuple[BenignRule, ...] = (
-    BenignRule("Internal DNS query", r"dns.*query.*(?:\.local|\.internal)", 500, 0.1, False),
+    BenignRule("Internal DNS query", r"dns.*query.*(?:\.local|\.internal)", 500, 0.1, False, 10),
     BenignRule("Common External DNS query",
-               r"dns.*query.*(?:google\.com|microsoft\.com|windowsupdate\.com)", 200, 0.3, False),
-    BenignRule("Failed DNS response", r"dns.*response.*(?:NXDOMAIN|SERVFAIL)", 100, 0.7, True),
-    BenignRule("Internal ARP request", r"arp.*who-has.*" + INTERNAL_PREFIX, 1000, 0.1, False),
-    BenignRule("Internal ARP reply", r"arp.*reply.*" + INTERNAL_PREFIX, 1000, 0.1, False),
-    BenignRule("DHCP discover", r"dhcp.*discover", 50, 0.2, True),
-    BenignRule("DHCP offer", r"dhcp.*offer", 50, 0.2, True),
-    BenignRule("Internal TCP SYN", r"tcp.*syn.*" + INTERNAL_PREFIX, 1000, 0.2, False),
+               r"dns.*query.*(?:google\.com|microsoft\.com|windowsupdate\.com)", 200, 0.3, False, 9),
+    BenignRule("Failed DNS response", r"dns.*response.*(?:NXDOMAIN|SERVFAIL)", 100, 0.7, True, 11),
+    BenignRule("Internal ARP request", r"arp.*who-has.*" + INTERNAL_PREFIX, 1000, 0.1, False, 5),
+    BenignRule("Internal ARP reply", r"arp.*reply.*" + INTERNAL_PREFIX, 1000, 0.1, False, 6),
+    BenignRule("DHCP discover", r"dhcp.*discover", 50, 0.2, True, 12),
+    BenignRule("DHCP offer", r"dhcp.*offer", 50, 0.2, True, 13),
+    BenignRule("Internal TCP SYN", r"tcp.*syn.*" + INTERNAL_PREFIX, 1000, 0.2, False, 7),
     BenignRule("Internal TCP handshake ACK",
-               r"tcp.*(?:syn-ack|ack).*" + INTERNAL_PREFIX, 1000, 0.2, False),
+               r"tcp.*(?:syn-ack|ack).*" + INTERNAL_PREFIX, 1000, 0.2, False, 3),
     BenignRule("External TCP SYN",
-               r"^(?!.*" + INTERNAL_PREFIX + r").*tcp.*syn", 150, 0.6, True),
+               r"^(?!.*" + INTERNAL_PREFIX + r").*tcp.*syn", 150, 0.6, True, 8),
     BenignRule("Internal HTTP request",
-               r"http.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False),
+               r"http.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False, 2),
     BenignRule("Internal HTTPS request",
-               r"https.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False),
-    BenignRule("NTP client", r"ntp.*client", 50, 0.2, True),
-    BenignRule("Internal SMB negotiation", r"smb.*negotiate.*" + INTERNAL_PREFIX, 100, 0.4, False),
+               r"https.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False, 1),
+    BenignRule("NTP client", r"ntp.*client", 50, 0.2, True, 14),
+    BenignRule("Internal SMB negotiation", r"smb.*negotiate.*" + INTERNAL_PREFIX, 100, 0.4, False, 4),
 )
 BENIGN_HIGH_FREQUENCY_FACTOR = 1.5
 BENIGN_SUPPRESS_BELOW = 1.5

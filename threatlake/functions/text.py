@@ -59,6 +59,11 @@ def regex(pattern: str) -> str:
     return catalog.FLAGS + pattern
 
 
+def unicode_regex(pattern: str) -> str:
+    """The same with Unicode meaning of the classes; slower, for lines that are not plain ASCII."""
+    return catalog.UNICODE_FLAGS + pattern
+
+
 def non_empty(value: Column) -> Column:
     return F.coalesce(value != "", F.lit(False))
 

@@ -36,11 +36,15 @@ def with_service(events: DataFrame) -> DataFrame:
 
 def with_network(events: DataFrame, column: str, networks: tuple[str, ...] = catalog.BASELINE_NETWORKS,
                  out: str = "network") -> DataFrame:
-    """Adds the fixed network that holds the IPv4 address, or NULL (J9); networks do not overlap."""
-    table = reference.cidrs(events.sparkSession, networks)
+    """Adds the fixed network that holds the IPv4 address, or NULL (J9); networks do not overlap.
+
+    The networks are constants, so they are unrolled into one CASE.
+    """
     staged = events.withColumn("_n", net.ipv4_number(F.col(column)))
-    joined = staged.join(F.broadcast(table), F.col("_n").between(F.col("lo"), F.col("hi")), "left")
-    return joined.withColumnRenamed("network", out).drop("_n", "lo", "hi")
+    found = F.lit(None).cast("string")
+    for network in networks:
+        found = F.when(net.in_networks(F.col("_n"), (network,)), network).otherwise(found)
+    return staged.withColumn(out, found).drop("_n")
 
 
 def with_network_of_table(events: DataFrame, column: str, networks: DataFrame) -> DataFrame:
@@ -93,6 +97,11 @@ def suspicious_process(name: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def is_known_dns_server(address: Column) -> Column:
+    """The address is one of the baseline's DNS servers (Q14)."""
+    return F.coalesce(address.isin(*catalog.BASELINE_DNS_SERVERS), F.lit(False))
+
+
 def is_whitelisted_domain(domain: Column) -> Column:
     """The domain or a parent of it is whitelisted (Q14)."""
     d = F.lower(domain)

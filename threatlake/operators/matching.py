@@ -7,30 +7,27 @@ A literal gate in front of each regex rejects most lines by a byte search.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake import catalog, schemas
 from threatlake.catalog import Rule
 from threatlake.functions import text
 
-# Rules from a user's table are unrolled too, up to this many.
-MAX_TABLE_RULES = 2000
-
 
 def rule_condition(line: Column, rule: Rule, lowered: Column | None = None) -> Column:
     """Whether `line` matches `rule`.
 
     Lines with non-ASCII characters skip the literal gate: there, case folding
-    in the regex knows more letters than `lower`.
+    in the regex knows more letters than `lower`, and classes such as white space
+    more characters.
     """
-    cond = line.rlike(text.regex(rule.pattern))
+    plain, cond = text.is_plain_ascii(line), line.rlike(text.regex(rule.pattern))
     if rule.hints:
         low = F.lower(line) if lowered is None else lowered
-        gate = text.has_any(low, rule.hints) | ~text.is_plain_ascii(line)
-        cond = gate & cond
+        cond = text.has_any(low, rule.hints) & cond
+    cond = F.when(plain, cond).otherwise(line.rlike(text.unicode_regex(rule.pattern)))
     if rule.min_tokens:
         tokens = F.size(F.regexp_extract_all(line, F.lit(f"({catalog.SHORT_NUMBER})"), F.lit(1)))
         cond = cond | (tokens >= rule.min_tokens)
@@ -131,11 +128,10 @@ def rule_hits(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def rules_from_table(rules: DataFrame) -> tuple[Rule, ...]:
     """A user's rule table (rule_id, description, category, severity, pattern) as rules.
 
-    A catalogue is configuration: it must fit `MAX_TABLE_RULES`, else this raises.
+    A catalogue is configuration, like a pattern in the code: the client reads it
+    whole and unrolls it, whatever its size.
     """
-    rows = rules.orderBy("rule_id").limit(MAX_TABLE_RULES + 1).collect()
-    if len(rows) > MAX_TABLE_RULES:
-        raise ValueError(f"more than {MAX_TABLE_RULES} rules")
+    rows = rules.orderBy("rule_id").collect()
     for row in rows:
         check_pattern(row["pattern"])
     return tuple(Rule(r["rule_id"], "user", r["description"], r["category"], r["severity"], r["pattern"])
@@ -155,16 +151,20 @@ def merged_families(*families: dict[str, Rule]) -> list[tuple[str, Rule]]:
 
 
 def check_pattern(pattern: str) -> None:
-    """Raises ValueError for a pattern that does not compile, before any job starts."""
+    """Raises ValueError for a pattern that the engine cannot run, before any job starts.
+
+    The pattern is compiled by the engine itself: the optimizer folds this constant.
+    """
+    spark = SparkSession.active()
     try:
-        re.compile(pattern)
-    except re.error as error:
-        raise ValueError(f"Invalid regex pattern: {error}") from error
+        spark.sql("SELECT '' RLIKE :pattern", args={"pattern": text.regex(pattern)}).collect()
+    except PySparkException as error:
+        raise ValueError(f"Invalid regex pattern: {pattern}") from error
 
 
 def benign_longest_first() -> list[catalog.BenignRule]:
-    """Benign rules in the order they are tried (T5)."""
-    return sorted(catalog.BENIGN_RULES, key=lambda r: -len(r.pattern))
+    """Benign rules in the order they are tried, which the catalogue states (T5)."""
+    return sorted(catalog.BENIGN_RULES, key=lambda r: r.priority)
 
 
 def benign_rule(lines: DataFrame, column: str = "line", out: str = "benign") -> DataFrame:

@@ -169,14 +169,23 @@ def summarize(findings: DataFrame, name: str = "file") -> DataFrame:
     return out
 
 
-def page(findings: DataFrame, number: int, size: int = catalog.PAGE_SIZE,
-         most: int = catalog.MAX_DISPLAYED) -> DataFrame:
-    """One display page in file and line order; nothing beyond the display cap (T4)."""
+def page(findings: DataFrame, number: int, size: int = catalog.PAGE_SIZE, most: int | None = None) -> DataFrame:
+    """One display page in file and line order (T4); a display may pass the `most` rows it shows."""
     start = (number - 1) * size
-    length = max(0, min(size, most - start))
+    length = size if most is None else max(0, min(size, most - start))
     return findings.orderBy("source_file", "line_number").offset(start).limit(length)
 
 
+def next_page(findings: DataFrame, source_file: str | None = None, line_number: int = 0,
+              size: int = catalog.PAGE_SIZE) -> DataFrame:
+    """The page after a given finding; costs the same on every page (T4)."""
+    later = findings
+    if source_file is not None:
+        file, line = F.col("source_file"), F.col("line_number")
+        later = findings.filter((file > source_file) | ((file == source_file) & (line > line_number)))
+    return later.orderBy("source_file", "line_number").limit(size)
+
+
 def highest_first(findings: DataFrame) -> DataFrame:
     """Findings with indicators, highest severity first."""
     return findings.filter(F.size("indicators") > 0).orderBy(F.desc("severity"), "source_file", "line_number")

@@ -41,10 +41,17 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, block: Column,
 def ordinal(rows: DataFrame, out: str = "ordinal", block_lines: int = LINE_BLOCK) -> DataFrame:
     """1-based position within the file, by line number."""
     block = F.floor(F.col("line_number") / block_lines)
-    return running_sum(rows.withColumn(out, F.lit(1).cast("bigint")), ["source_file"], "line_number",
+    return running_sum(keyed_rows(rows).withColumn(out, F.lit(1).cast("bigint")), ["source_file"], "line_number",
                        block, [out])
 
 
+def keyed_rows(rows: DataFrame) -> DataFrame:
+    """The rows; one without a file or line number is an error, as it would be lost in every join."""
+    checked = {name: F.coalesce(name, F.raise_error(f"a row has no {name}").cast(rows.schema[name].dataType))
+               for name in ("source_file", "line_number")}
+    return rows.withColumns(checked)
+
+
 # -- keys -------------------------------------------------------------------
 
 def frequency_key(kind: Column, source_ip: Column, dest_ip: Column, process_name: Column) -> Column:
@@ -118,8 +125,11 @@ def correlation_points(events: DataFrame, *extra: str) -> DataFrame:
     pair = point(F.concat(F.lit("pair:"), c("source_ip"), F.lit(":"), c("dest_ip")), one, zero, one, zero)
     named = point(F.concat(F.lit("name:"), c("process_name")), one, zero, zero, one)
     process = point(F.concat(F.lit("name:"), c("process_name")), zero, one, one, one)
-    points = F.when(c("kind") == schemas.PROCESS, F.array(process)).when(
-        c("process_name") != "", F.array(pair, named)).otherwise(F.array(pair))
+    has_name = F.coalesce(c("process_name") != "", F.lit(False))
+    # An event without a name is correlated by no name: a process event then by nothing.
+    points = F.when((c("kind") == schemas.PROCESS) & has_name, F.array(process)).when(
+        (c("kind") == schemas.NETWORK) & has_name, F.array(pair, named)).when(
+        c("kind") == schemas.NETWORK, F.array(pair))
     known = events.filter(c("kind").isin(schemas.NETWORK, schemas.PROCESS) & c("event_time").isNotNull())
     return known.select("source_file", "line_number", "event_time", *extra, F.inline(points))
 

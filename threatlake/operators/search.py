@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.functions import times
+from threatlake.functions.text import is_plain_ascii
 from threatlake.operators.matching import check_pattern
 from threatlake.sources.logs import strip
 
@@ -31,8 +32,9 @@ class Criteria:
 
 def contains_text(text: Column, criteria: Criteria) -> Column:
     if criteria.use_regex:
-        flags = "(?ud)" if criteria.case_sensitive else "(?iud)"
-        return text.rlike(flags + criteria.pattern)
+        case = "" if criteria.case_sensitive else "i"
+        return F.when(is_plain_ascii(text), text.rlike(f"(?{case}ud){criteria.pattern}")).otherwise(
+            text.rlike(f"(?{case}Ud){criteria.pattern}"))
     if criteria.case_sensitive:
         return text.contains(criteria.pattern)
     return F.lower(text).contains(criteria.pattern.lower())

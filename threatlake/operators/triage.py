@@ -50,7 +50,7 @@ def refine(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     c = F.col
     parsed = verdicts.withColumn("_v", F.explode(F.array(parse_verdict(c("text"))))).select(*LINE_KEY, "_v")
-    joined = findings.join(parsed, LINE_KEY, "left")
+    joined = running.keyed_rows(findings).join(parsed, LINE_KEY, "left")
 
     def value(key: str) -> Column:
         return F.try_element_at("_v", F.lit(key))
@@ -125,7 +125,7 @@ def triage(findings: DataFrame, verdicts: DataFrame, details: DataFrame) -> Data
 
     real = parsed(verdicts, "_v").filter(
         F.lower(F.coalesce(F.try_element_at("_v", F.lit("IS_FALSE_POSITIVE")), F.lit("true"))) != "true")
-    severe = findings.filter(F.col("severity") >= 2).join(real.select(*LINE_KEY), LINE_KEY, "left_semi")
+    severe = running.keyed_rows(findings).filter(F.col("severity") >= 2).join(real.select(*LINE_KEY), LINE_KEY, "left_semi")
     joined = severe.join(parsed(details, "_d"), LINE_KEY)
     severity = F.coalesce(value("SEVERITY").try_cast("int"), F.col("severity"))
     return joined.select(
@@ -158,19 +158,21 @@ def evidence_bundles(findings: DataFrame, per_bundle: int = catalog.PAGE_SIZE,
     return grouped.withColumn("text", F.array_join(F.col("_texts")["text"], "\n")).drop("_texts")
 
 
-def short_evidence(findings: DataFrame, first: int = 5, length: int = 200) -> DataFrame:
-    """The first severe findings of each file, cut to `length` characters."""
+def short_evidence(findings: DataFrame, first: int, length: int | None = None) -> DataFrame:
+    """The `first` severe findings of each file, cut to `length` characters if given."""
     order = Window.partitionBy("source_file").orderBy("line_number")
     ranked = findings.filter("severity >= 2").select(
         "source_file", "line_number", "content", F.row_number().over(order).alias("n")).filter(F.col("n") <= first)
-    text = F.concat(F.lit("Finding "), F.col("n").cast("string"), F.lit(": "),
-                    F.left("content", F.lit(length)), F.lit("..."))
+    shown = F.col("content") if length is None else F.concat(F.left("content", F.lit(length)), F.lit("..."))
+    text = F.concat(F.lit("Finding "), F.col("n").cast("string"), F.lit(": "), shown)
     return ranked.groupBy("source_file").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("n", text.alias("t"))))["t"], "\n").alias("text"))
 
 
-def chat_context(text: Column, length: int = 1500) -> Column:
-    """Context text cut to its length limit."""
+def chat_context(text: Column, length: int | None = None) -> Column:
+    """Context text, cut to a length limit if given."""
+    if length is None:
+        return text
     return F.when(F.length(text) > length, F.concat(F.left(text, F.lit(length)), F.lit("...(truncated)"))).otherwise(text)
 
 

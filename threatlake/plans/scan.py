@@ -249,7 +249,7 @@ def scan(lines: DataFrame, default_year: int | None = None, context: bool = Fals
     again.  `context` adds the preceding lines to rule findings, `related` the
     first correlated events to dynamic ones.
     """
-    parsed = matching.best_rule(extract.parse_events(lines, default_year))
+    parsed = matching.best_rule(extract.parse_events(running.keyed_rows(lines), default_year))
     if land:
         parsed = session.land(parsed, "parsed")
     scored = score_events(parsed, suppress_below)

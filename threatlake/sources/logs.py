@@ -17,32 +17,24 @@ WHITE_SPACE = (
     "        　"
 )
 
-# Split tables up to this many rows are broadcast; larger ones are shuffled.
-MAX_BROADCAST_SPLITS = 500_000
-
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spreads an input of fewer splits than cores; a larger one is left as it is."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def drop_bad_bytes(text: Column) -> Column:
     """Bytes that are not UTF-8 are left out (S3)."""
     repaired = F.translate(F.make_valid_utf8(text), "�", "")
     return F.when(F.is_valid_utf8(text), text).otherwise(repaired)
 
 
-def clean_lines(raw: DataFrame, max_length: int = catalog.MAX_LINE_LENGTH) -> DataFrame:
-    """Drops empty and overlong lines, removes NULs, strips white space.
+def clean_lines(raw: DataFrame, max_length: int | None = None) -> DataFrame:
+    """Drops empty lines, removes NULs, strips white space (S2); no line is cut.
 
-    The limit counts the line feed, as the line is measured before stripping.
+    With `max_length` longer lines are dropped.  The limit counts the line feed, as
+    the line is measured before stripping.
     """
-    kept = raw.filter(F.length("line") + 1 <= max_length)
+    kept = raw if max_length is None else raw.filter(F.length("line") + 1 <= max_length)
     cleaned = kept.withColumn("line", strip(F.translate("line", "\x00", "")))
     return cleaned.filter(F.col("line") != "")
 
@@ -57,28 +49,26 @@ def number_lines(scan: DataFrame) -> DataFrame:
 
     Within one split rows are consecutive, so the distance to the split's first
     row id plus the lines of the file's earlier splits is the line number.  The
-    per-split table is broadcast only if its row bound is small.
+    table of splits is broadcast at every size: four numbers for each split of the
+    input, 50 MB for 100 TB in splits of 64 MB.  Files go by a hash of their path;
+    a clash, or a split that only one of the two scans knows, is an error.
     """
-    spark = scan.sparkSession
     rows = scan.select(
         scan["value"], F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
+        F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
     ).withColumn("_id", F.monotonically_increasing_id())
-    splits = rows.groupBy("source_file", "_start").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
-    before = Window.partitionBy("source_file").orderBy("_start").rowsBetween(
-        Window.unboundedPreceding, -1)
+    splits = rows.groupBy("_file", "_start").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"),
+        F.min("source_file").alias("_low"), F.max("source_file").alias("_high"))
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    clash = F.col("_low") != F.col("_high")
     splits = splits.select(
-        "source_file", "_start", "_first",
+        "_file", "_start", F.when(clash, F.raise_error("two paths of equal hash")).otherwise(F.col("_first")).alias("_first"),
         F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
-    # Every split is a file's only one or fills at least half a partition.
-    bound = len(scan.inputFiles()) + 2 * scan.rdd.getNumPartitions()
-    if bound <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    numbered = rows.join(splits, ["source_file", "_start"])
-    return numbered.select(
-        "source_file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_number"),
-        F.col("value").alias("line"))
+    numbered = rows.join(F.broadcast(splits), ["_file", "_start"], "left")
+    number = F.col("_id") - F.col("_first") + F.col("_before") + 1
+    known = F.when(number.isNull(), F.raise_error("a file was split differently by two scans")).otherwise(number)
+    return numbered.select("source_file", known.cast("bigint").alias("line_number"), F.col("value").alias("line"))
 
 
 def _as_raw_logs(scan: DataFrame, log_type: str) -> DataFrame:
@@ -94,25 +84,27 @@ def read_text(spark: SparkSession, path: str | list[str], log_type: str = "gener
 def explode_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """JSON documents to rows: an object gives one, an array one per element, others none.
 
-    Adds `item`, the JSON text of the element with its keys in their order.
+    Adds `item`, the JSON text of the element with its keys in their order, and
+    `item_number`, its place in the document from 1 on.
     """
     doc = F.btrim(F.col(text), F.lit(" \t\n\r"))
     wrapped = F.when(doc.startswith("{"), F.concat(F.lit("["), doc, F.lit("]"))).when(
         doc.startswith("["), doc)
     items = F.from_json(wrapped, "array<string>")
-    return documents.withColumn("item", F.explode(items)).filter("item is not null")
+    placed = documents.select("*", F.posexplode(items).alias("_place", "item")).filter("item is not null")
+    return placed.withColumn("item_number", (F.col("_place") + 1).cast("bigint")).drop("_place")
 
 
 def _documents(scan: DataFrame) -> DataFrame:
     docs = scan.select(F.col("_metadata.file_path").alias("source_file"),
                        drop_bad_bytes(F.col("value")).alias("text"))
     return explode_documents(docs).select(
-        "source_file", F.lit(None).cast("bigint").alias("line_number"), F.col("item").alias("line"),
+        "source_file", F.col("item_number").alias("line_number"), F.col("item").alias("line"),
         F.lit("volatility_json").alias("log_type"))
 
 
 def read_json_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """raw_logs from files that each hold one JSON document; no line numbers.
+    """raw_logs from files that each hold one JSON document; an item's number stands for the line's.
 
     A single document cannot be split, so it bounds one row; many files spread.
     """

@@ -44,8 +44,9 @@ def test_quality_counts(docs, texts):
     names = ["q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_repeat_words", "q_base_failed"]
     got = collections.Counter((r.doc_id, r.text, *(r[n] for n in names)) for r in found.collect())
     assert got == collections.Counter((i, t, *plain_counts(t)) for i, t in texts)
-    with pytest.raises(ValueError, match="kept"):
-        quality.assess(docs)
+    replaced = quality.assess(docs)  # the input has a column `kept` of its own
+    assert replaced.columns.count("kept") == 1 and dict(replaced.dtypes)["kept"] == "boolean"
+    assert quality.filter_quality(found).columns == found.columns
 
 
 def test_quality_bands(spark):

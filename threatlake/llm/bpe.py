@@ -151,12 +151,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     """Adds `ids` array<int>, the ids of every whole text, and if named `decoded`, their text.
 
     A map without a shuffle.  A null text counts as empty: no ids and an empty decoded text.
-    Repeated rows are encoded each.  `path` must be readable on every executor; the names of the
-    new columns must be new.
+    Repeated rows are encoded each.  `path` must be readable on every executor; input columns
+    with the names of the new ones are replaced.
     """
     new = [ids, *([decoded] if decoded else [])]
-    if set(new) & set(docs.columns):
-        raise ValueError(f"columns {sorted(set(new) & set(docs.columns))} exist")
+    docs = docs.drop(*new)
     kinds = ["array<int>", "string"]
     at, schema = docs.columns.index(text), docs.select("*", *(
         F.lit(None).cast(k).alias(n) for n, k in zip(new, kinds))).schema
@@ -174,7 +173,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds the text of every list of ids; null lists give null texts."""
+    """Adds the text of every list of ids; null lists give null texts; a column `decoded` is replaced."""
+    rows = rows.drop(decoded)
     at, schema = rows.columns.index(ids), rows.select("*", F.lit(None).cast("string").alias(decoded)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

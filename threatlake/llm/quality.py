@@ -143,12 +143,11 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     `base_failed`: fewer than 20 words, or over 30 % of the words in 8-word windows that repeat.
     `kept`: not failed, whole-text ratio inside the band of its length, and at most half of the
     bytes in chunks outside theirs.  A null text counts as empty and fails; repeated rows are
-    judged each; an input column with the name of a new one needs a `prefix` for the new ones.
+    judged each; an input column with the name of a new one is replaced, unless a `prefix`
+    sets the new ones apart.
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    clash = {prefix + n for n in names} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
+    docs = docs.drop(*(prefix + n for n in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,4 +164,7 @@ def assess(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
 
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that `assess` keeps, with the columns of `docs`."""
-    return assess(docs, text, prefix="_q_").filter("_q_kept").select(*docs.columns)
+    prefix = "_q_"
+    while any(name.startswith(prefix) for name in docs.columns):
+        prefix = "_" + prefix
+    return assess(docs, text, prefix).filter(f"{prefix}kept").select(*(F.col(f"`{n}`") for n in docs.columns))

@@ -228,10 +228,9 @@ def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, i
     One map: each block of about a MB of texts is indexed by the trigrams the rules ask for,
     postings are intersected, and candidates verified.  Matches are leftmost and do not overlap
     within a kind.  A null text counts as empty; a text without secrets has an empty array;
-    repeated rows are scanned each.  `into` must be a new column.
+    repeated rows are scanned each.  A column `into` of the input is replaced.
     """
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
+    docs = docs.drop(into)
     at, schema = docs.columns.index(text), docs.select("*", F.lit(None).cast(SPANS).alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

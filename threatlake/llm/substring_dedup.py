@@ -143,15 +143,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cou
 
     A run starts at any sentence and has at least RUN_SENTENCES sentences and RUN_WORDS words;
     runs are equal if their words are, A-Z in either case.  Of equal runs the one of the smallest
-    key stays, in a document its first.  `counts` names two new columns, sentences and removed
-    ones; `length` names a column of text lengths to renew where a text changed.
+    key stays, in a document its first.  `counts` names two columns to add or replace, sentences
+    and removed ones; `length` names a column of text lengths to renew where a text changed.
 
     A null text stays null and has no sentences.  A null key comes before all others.  Rows that
     share a key are one document: they don't remove each other's runs.  Texts with too few
     sentences or words for a run stay as they are.
     """
-    if counts and set(counts) & set(docs.columns):
-        raise ValueError(f"columns {sorted(set(counts) & set(docs.columns))} exist")
+    docs = docs.drop(*(counts or ()))
     spans = session.land(text_spans(docs, key, text), "spans")
     repeated = spans.groupBy("span").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = spans.join(repeated.select("span", "first"), "span").filter("doc > first").groupBy("doc").agg(

@@ -281,12 +281,11 @@ def _empty() -> Model:
 def score(docs: DataFrame, model: Model, limits: dict, text: str = "text", lang: str = "lang") -> DataFrame:
     """Adds score (0 to 1), predicted (1 from PREDICTED_FROM on), threshold and flagged by language.
 
-    A map over whole texts; the language only picks the threshold.  A null text counts as empty.
+    A map over whole texts; the language only picks the threshold, and a null one takes the
+    general one.  A null text counts as empty.  Input columns with the new names are replaced.
     """
     new = "score double, predicted int"
-    names = ["score", "predicted", "threshold", "flagged"]
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns {sorted(set(names) & set(docs.columns))} exist")
+    docs = docs.drop("score", "predicted", "threshold", "flagged")
     at, schema = docs.columns.index(text), docs.select("*", *(
         F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in new.split(", "))).schema
 

@@ -123,18 +123,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_py(), dtype=np.float64) for v in column])
 
 
-def _members(classes: DataFrame, tables: int, probes: int) -> DataFrame:
-    """(bucket, rep) for every bucket that a class enters."""
+def _with_keys(classes: DataFrame, tables: int, probes: int) -> DataFrame:
+    """Adds `keys`, every bucket that a class enters."""
+    schema = classes.select("*", F.lit(None).cast("array<bigint>").alias("keys")).schema
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(v.as_py()) for v in batch.column(2)])
+            vectors, labels = batch["vector"], batch["label"].to_numpy()
+            sizes = np.array([len(v.as_py()) for v in vectors])
+            keys = np.zeros((batch.num_rows, tables * (1 + probes)), dtype=np.int64)
             for size in np.unique(sizes).tolist():
-                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                keys = bucket_keys(unit(_matrix(part.column(2))), part.column(1).to_numpy(), tables, probes)
-                reps = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(reps)], names=["bucket", "rep"])
+                at = np.flatnonzero(sizes == size)
+                keys[at] = bucket_keys(unit(_matrix(vectors.take(pa.array(at)))), labels[at], tables, probes)
+            bounds = np.arange(batch.num_rows + 1, dtype=np.int32) * keys.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], names=schema.names)
 
-    return classes.select("rep", "label", "vector").mapInArrow(run, "bucket bigint, rep bigint")
+    return classes.mapInArrow(run, schema)
 
 
 def _forest(n: int, pairs: np.ndarray) -> list[int]:
@@ -166,21 +171,21 @@ def _share_key(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return table @ table.T > 0
 
 
-def _compare(rows: pa.Table, cosine: float, tables: int, probes: int) -> tuple[list[int], list[int], list[int]]:
+def _compare(rows: pa.Table, cosine: float) -> tuple[list[int], list[int], list[int]]:
     """(rep, links, root) of the members of one part of a bucket.
 
     A pair counts only in the smallest bucket that both members enter.
     """
     order = np.argsort(rows["rep"].to_numpy(), kind="stable")
     reps, copies = rows["rep"].to_numpy()[order], rows["copies"].to_numpy()[order]
-    chunk, labels = rows["chunk"].to_numpy()[order], rows["label"].to_numpy()[order]
+    chunk = rows["chunk"].to_numpy()[order]
     units = unit(_matrix(rows["vector"].combine_chunks())[order])
     close = np.triu(units @ units.T >= cosine, 1)
     if len(np.unique(chunk)) > 1:
         close &= chunk[:, None] != chunk[None, :]
     used = np.flatnonzero(close.any(axis=0) | close.any(axis=1))
     if len(used):
-        keys = bucket_keys(units[used], labels[used], tables, probes)
+        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(reps), -1)[order][used]
         earlier = _share_key(keys, keys < rows["bucket"][0].as_py())
         close[np.ix_(used, used)] &= ~earlier
     pairs = np.argwhere(close)
@@ -191,9 +196,9 @@ def _compare(rows: pa.Table, cosine: float, tables: int, probes: int) -> tuple[l
     return reps[hit].tolist(), links[hit].astype(np.int64).tolist(), roots[hit].tolist()
 
 
-def _linked(parts: DataFrame, cosine: float, tables: int, probes: int) -> DataFrame:
+def _linked(parts: DataFrame, cosine: float) -> DataFrame:
     """(rep, links, root) from the sorted parts of buckets, one part in memory at a time."""
-    names = ["bucket", "part", "chunk", "rep", "label", "copies", "vector"]
+    names = ["bucket", "part", "chunk", "rep", "copies", "vector", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -209,14 +214,14 @@ def _linked(parts: DataFrame, cosine: float, tables: int, probes: int) -> DataFr
             found: tuple[list, list, list] = ([], [], [])
             for a, b in zip([0, *starts], [*starts, batch.num_rows]):
                 if a in starts and held:
-                    for out, more in zip(found, _compare(pa.Table.from_batches(held), cosine, tables, probes)):
+                    for out, more in zip(found, _compare(pa.Table.from_batches(held), cosine)):
                         out += more
                     held = []
                 if a < b:
                     held.append(batch.slice(a, b - a))
             yield _links_batch(found)
         if held:
-            yield _links_batch(_compare(pa.Table.from_batches(held), cosine, tables, probes))
+            yield _links_batch(_compare(pa.Table.from_batches(held), cosine))
 
     return parts.select(*names).repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(
         run, "rep bigint, links bigint, root bigint")
@@ -244,7 +249,8 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", embedding: str = "emb
     classes = session.land(rows.filter("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.first("label").alias("label"), F.first("vector").alias("vector"),
         F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "classes")
-    members = session.land(_members(classes, tables, probes), "members")
+    hashed = session.land(_with_keys(classes.select("rep", "label", "copies", "vector"), tables, probes), "hashed")
+    members = hashed.select(F.explode("keys").alias("bucket"), "rep")
     shared = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), F.count(F.lit(1)).alias("n"))
     placed = members.join(shared.filter("n > 1"), "bucket").withColumn(
         "chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
@@ -252,7 +258,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", embedding: str = "emb
     parts = placed.select("bucket", "rep", "chunk", "chunks", F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other")).withColumn(
         "part", F.least("chunk", "other") * F.col("chunks") + F.greatest("chunk", "other"))
-    found = session.land(_linked(parts.join(classes.drop("digest", "id"), "rep"), cosine, tables, probes), "links")
+    found = session.land(_linked(parts.join(hashed, "rep"), cosine), "links")
     component = components(found.select("rep", "root"), "rep", "root")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     grouped = with_component(classes.select("digest", "id", "rep", "copies").join(links, "rep", "left"), "rep", component)

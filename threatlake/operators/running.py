@@ -173,23 +173,24 @@ def earliest_correlated(events: DataFrame, seconds: int = catalog.CORRELATION_SE
     detail_columns = ("source_ip", "dest_ip", "protocol", "bytes_transferred", "process_name", "pid", "user")
     wide = correlation_points(events, "kind", *detail_columns)
     keys = ["source_file", "key"]
+    # Each key has a time line for either kind; an event asks for one or both of them.
+    of_kind = wide.withColumn("key", F.concat("kind", F.lit("|"), "key"))
+    wanted = F.concat(
+        F.when(c("want_net") == 1, F.array(F.lit(schemas.NETWORK))).otherwise(F.array().cast("array<string>")),
+        F.when(c("want_proc") == 1, F.array(F.lit(schemas.PROCESS))).otherwise(F.array().cast("array<string>")))
+    asking = wide.select("source_file", "line_number", "event_time", "key", F.explode(wanted).alias("_kind")).select(
+        "source_file", "line_number", "event_time", F.concat("_kind", F.lit("|"), "key").alias("key"))
+    at_time = Window.partitionBy(*keys, "event_time").orderBy("line_number")
+    kept = of_kind.withColumn("_n", F.row_number().over(at_time)).filter(c("_n") <= first)
+    both = _first_of_kind(asking, kept, keys, seconds, first)
     # Process events come before network events of the same time.
-    order = [c("kind").desc(), c("line_number")]
-    shown = []
-    for kind, column in ((schemas.NETWORK, "want_net"), (schemas.PROCESS, "want_proc")):
-        of_kind = wide.filter(c("kind") == kind)
-        at_time = Window.partitionBy(*keys, "event_time").orderBy(*order)
-        kept = of_kind.withColumn("_n", F.row_number().over(at_time)).filter(c("_n") <= first)
-        shown.append(_first_of_kind(wide.filter(c(column) == 1), kept, keys, seconds, first, kind))
-    both = shown[0].unionByName(shown[1])
     by_event = Window.partitionBy("source_file", "line_number").orderBy(
         "related_time", c("type").desc(), "_related_line")
     ranked = both.withColumn("position", F.row_number().over(by_event)).filter(c("position") <= first)
     return ranked.drop("_related_line")
 
 
-def _first_of_kind(asking: DataFrame, kept: DataFrame, keys: list[str], seconds: int, first: int,
-                   kind: str) -> DataFrame:
+def _first_of_kind(asking: DataFrame, kept: DataFrame, keys: list[str], seconds: int, first: int) -> DataFrame:
     c = F.col
     block = F.floor(times.seconds_of(c("event_time")) / TIME_BLOCK)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
@@ -201,7 +202,7 @@ def _first_of_kind(asking: DataFrame, kept: DataFrame, keys: list[str], seconds:
     upto = running_sum(moves, keys, "event_time", block, ["n"])
     ranked = kept.join(upto, [*keys, "event_time"]).select(
         *keys, (c("n") - c("_here") + c("_n")).alias("rank"), c("event_time").alias("related_time"),
-        c("line_number").alias("_related_line"), *_details(kind))
+        c("line_number").alias("_related_line"), *_details())
     ask = asking.select(*keys, "line_number", "event_time")
     ask = ask.withColumn("_from", c("event_time") - F.expr(f"interval {seconds} seconds 1 microsecond"))
     begin = upto.select(*keys, c("event_time").alias("_from"), c("n").alias("_begin"))
@@ -211,7 +212,7 @@ def _first_of_kind(asking: DataFrame, kept: DataFrame, keys: list[str], seconds:
     return found.select("source_file", "line_number", "type", "related_time", "_related_line", "details")
 
 
-def _details(kind: str) -> list[Column]:
+def _details() -> list[Column]:
     """Type of a related event, and its details written as a dictionary."""
     def quoted(name: str) -> Column:
         return F.concat(F.lit(f"'{name}': '"), F.coalesce(F.col(name), F.lit("")), F.lit("'"))
@@ -219,12 +220,11 @@ def _details(kind: str) -> list[Column]:
     def plain(name: str, column: str) -> Column:
         return F.concat(F.lit(f"'{name}': "), F.coalesce(F.col(column).cast("string"), F.lit("None")))
 
-    if kind == schemas.PROCESS:
-        fields = [quoted("process_name"), plain("pid", "pid"), quoted("user")]
-    else:
-        fields = [quoted("source_ip"), quoted("dest_ip"), quoted("protocol"), plain("bytes", "bytes_transferred")]
-    return [F.lit("process" if kind == schemas.PROCESS else "network").alias("type"),
-            F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("details")]
+    process = [quoted("process_name"), plain("pid", "pid"), quoted("user")]
+    network = [quoted("source_ip"), quoted("dest_ip"), quoted("protocol"), plain("bytes", "bytes_transferred")]
+    is_process = F.col("kind") == schemas.PROCESS
+    body = F.when(is_process, F.concat_ws(", ", *process)).otherwise(F.concat_ws(", ", *network))
+    return [F.when(is_process, "process").otherwise("network").alias("type"), F.concat(F.lit("{"), body, F.lit("}")).alias("details")]
 
 
 # -- raw context ---------------------------------------------------------------

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from threatlake import catalog, schemas
 from threatlake.functions import times
 
-# Lines per block of a file, and seconds per block of a key's time line.
+# Lines per block of a file, and seconds per block of a key's time line: ten seconds hold at most ten
+# million distinct stamps, however busy the key.
 LINE_BLOCK = 250_000
-TIME_BLOCK = 60
+TIME_BLOCK = 10
 
 
 def running_sum(rows: DataFrame, keys: list[str], order: str, block: Column,

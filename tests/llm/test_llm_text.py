@@ -4,9 +4,11 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from threatlake.llm import bpe, quality, secret_scan, substring_dedup
+from threatlake.llm.textops import Hasher
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -185,3 +187,16 @@ def test_repeated_rows_and_null_keys_keep_their_text(spark):
     assert substring_dedup.remove_repeats(rows.limit(0)).count() == 0
 
 
+
+
+@pytest.mark.parametrize("limit", [1, 7, 64, 1000])
+def test_hashes_do_not_depend_on_how_much_is_unfolded(limit):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    cuts = np.sort(rng.choice(5000, 60, replace=False))
+    starts, ends = cuts[:-1], cuts[1:]
+    hasher = Hasher(lower=True)
+    whole = hasher.ranges(data, starts, ends)
+    assert (hasher.ranges(data, starts, ends, limit) == whole).all() and len(set(whole.tolist())) == len(whole)
+    again = hasher.ranges(data[cuts[5]: cuts[6]], np.array([0]), np.array([cuts[6] - cuts[5]]))
+    assert again[0] == whole[5]

@@ -65,14 +65,35 @@ class Hasher:
             self.up = _powers(_BASE, self.size)
             self.down = _powers(pow(_BASE, -1, 1 << 64), self.size)
 
-    def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, dtype=np.uint64)
+    def _values(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.letters[data] * self.up[: len(data)], dtype=np.uint64, out=sums[1:])
-        value = (sums[ends] - sums[starts]) * self.down[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(_STEP))
+        return (sums[ends] - sums[starts]) * self.down[starts]
+
+    def _long_value(self, data: np.ndarray, limit: int) -> int:
+        value = 0
+        for at in range(0, len(data), limit):
+            part = data[at: at + limit]
+            own = self._values(part, np.array([0]), np.array([len(part)]))[0]
+            value += int(own) * pow(_BASE, at, 1 << 64)
+        return value & ((1 << 64) - 1)
+
+    def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 4 * CHUNK_BYTES) -> np.ndarray:
+        """Hashes of data[starts[i]:ends[i]], both ascending; at most `limit` bytes are unfolded at once."""
+        values = np.zeros(len(starts), dtype=np.uint64)
+        first = 0
+        while first < len(starts):
+            begin = int(starts[first])
+            end = int(np.searchsorted(ends, begin + limit, side="right"))
+            if end > first:
+                part = data[begin: int(ends[end - 1])]
+                values[first:end] = self._values(part, starts[first:end] - begin, ends[first:end] - begin)
+            else:
+                end = first + 1
+                values[first] = self._long_value(data[begin: int(ends[first])], limit)
+            first = end
+        return mix(values + (ends - starts).astype(np.uint64) * np.uint64(_STEP))
 
 
 def is_word_byte(data: np.ndarray) -> np.ndarray:

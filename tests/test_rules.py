@@ -93,6 +93,29 @@ def test_user_rules_and_bad_patterns(spark):
         matching.rules_from_table(table.withColumn("pattern", F.lit("(")))
 
 
+def test_patterns_are_checked_by_the_engine_that_runs_them(spark):
+    for bad in ("(?P<a>the)", "(", "[z-a]", "a{2,1}"):
+        with pytest.raises(ValueError, match="Invalid regex"):
+            matching.check_pattern(bad)
+    for good in ("(?<a>the)", "(?<=a|bc)d", r"\p{IsGreek}+"):
+        matching.check_pattern(good)
+
+
+def test_unicode_white_space_counts_on_other_lines(spark):
+    rule = catalog.Rule(1, "user", "d", "C", 3, r"failed\s+login\b", ("failed",))
+    rows = ["failed login x", "failed\u00a0login é", "FAILED\u2003LOGIN.", "failedlogin"]
+    lines = spark.createDataFrame([(r,) for r in rows], "line string")
+    assert {r["line"] for r in lines.filter(matching.rule_condition(F.col("line"), rule)).collect()} == set(rows[:3])
+
+
+def test_benign_rules_are_tried_in_catalogue_order(spark):
+    cases = {"dns query db.internal dns response NXDOMAIN": "Internal DNS query", "dns query google.com db.local": "Common External DNS query",
+             "tcp syn ack 10.0.0.7": "Internal TCP handshake ACK", "https GET /a http GET /b 10.0.0.7": "Internal HTTPS request",
+             "arp who-has 10.0.0.1 arp reply 10.0.0.1": "Internal ARP request", "dhcp offer discover": "DHCP discover"}
+    lines = spark.createDataFrame([(x,) for x in cases], "line string")
+    assert {r["line"]: r["benign"]["description"] for r in matching.benign_rule(lines).collect()} == cases
+
+
 def test_many_rules_share_masks(spark):
     rules = tuple(catalog.Rule(i, "user", f"rule {i}", "C", 1 + i % 5, rf"\bw{i}\b") for i in range(130))
     lines = spark.createDataFrame([("w0 w61 w62 w129",), ("none",)], "line string")

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from threatlake import session
+from threatlake import catalog, session
 from threatlake.operators import matching
 from threatlake.plans import scan
 from threatlake.sources import logs, sinks
@@ -27,14 +27,11 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
     try:
         scan_df = spark.read.text(str(folder))
         assert scan_df.rdd.getNumPartitions() > 10
-        for limit in (logs.MAX_BROADCAST_SPLITS, 0):
-            logs.MAX_BROADCAST_SPLITS, kept = limit, logs.MAX_BROADCAST_SPLITS
-            try:
-                got = {(os.path.basename(r[0]), r[1], r[2]) for r in logs.read_text(spark, str(folder)).select(
-                    "source_file", "line_number", "line").collect()}
-            finally:
-                logs.MAX_BROADCAST_SPLITS = kept
-            assert got == want
+        numbered = logs.read_text(spark, str(folder)).select("source_file", "line_number", "line")
+        assert {(os.path.basename(r[0]), r[1], r[2]) for r in numbered.collect()} == want
+        # However many splits there are, no exchange carries text.
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x and "value" in x]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -52,7 +49,9 @@ def test_hygiene(lines):
     rows = [("a", 1, ""), ("a", 2, "  \t "), ("a", 3, "\x00\x00"), ("a", 4, " x\x00y "), ("a", 5, "z" * 2047),
             ("a", 6, "z" * 2048), ("a", 7, " ok ")]
     got = {r["line_number"]: r["line"] for r in logs.clean_lines(lines(rows)).collect()}
-    assert got == {4: "xy", 5: "z" * 2047, 7: "ok"}
+    assert got == {4: "xy", 5: "z" * 2047, 6: "z" * 2048, 7: "ok"}
+    limited = logs.clean_lines(lines(rows), catalog.MAX_LINE_LENGTH)
+    assert {r["line_number"] for r in limited.collect()} == {4, 5, 7}
 
 
 def test_bad_bytes_are_ignored(spark, tmp_path):
@@ -69,9 +68,9 @@ def test_json_documents(spark, tmp_path):
     (tmp_path / "number.json").write_text("17")
     (tmp_path / "broken.json").write_text("[1, 2")
     rows = logs.read_json_documents(spark, str(tmp_path)).collect()
-    got = sorted((os.path.basename(r["source_file"]), r["line"]) for r in rows)
-    assert got == [("array.json", "5"), ("array.json", "text"), ("array.json", '{"b":1,"a":"dns query blocked"}'),
-                   ("object.json", '{"z":1,"a":{"k":[1,2]}}')]
+    got = sorted((os.path.basename(r["source_file"]), r["line_number"], r["line"]) for r in rows)
+    assert got == [("array.json", 1, '{"b":1,"a":"dns query blocked"}'), ("array.json", 2, "5"), ("array.json", 3, "text"),
+                   ("object.json", 1, '{"z":1,"a":{"k":[1,2]}}')]
 
 
 def test_dispatch_by_extension_and_type(spark, tmp_path):

@@ -144,7 +144,9 @@ def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
 
 
 def _by_block(pieces: DataFrame, slots: DataFrame) -> DataFrame:
-    return pieces.alias("p").join(slots.alias("u"), (c("p.block") == c("u.block")) & c("p.source").eqNullSafe(c("u.source")))
+    # Slots are opened from few counts, so their size is underrated; they grow with the words.
+    return pieces.alias("p").join(
+        slots.hint("merge").alias("u"), (c("p.block") == c("u.block")) & c("p.source").eqNullSafe(c("u.source")))
 
 
 def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1,

@@ -112,6 +112,30 @@ def _(t: Tables) -> DataFrame:
     return alarms.large_transfers(t.parsed)
 
 
+def packet_events(t: Tables) -> DataFrame:
+    """A packet line for every event, parsed."""
+    users = t.table("events").select("event_id", "user_id")
+    lines = t.derived.select("event_id", "source_file", "line_number", "log_type", "log_ts").join(users, "event_id")
+    parts = [F.date_format("log_ts", "yyyy-MM-dd HH:mm:ss"), ".5 192.168.7.", c("user_id") % 4, ":50123 -> 10.0.0.", c("event_id") % 3,
+             ":80 [ACK] Seq=0 Win=1024 Len=", (c("user_id") % 50) * 1_000_000]
+    line = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return alarms.packet_events(extract.parse_packets(lines.withColumn("line", line)))
+
+
+@query("a13_packet_transfers", sql("raw", """
+SELECT '192.168.7.' || user_id % 4 AS source_ip, 50123 AS source_port, '10.0.0.' || event_id % 3 AS dest_ip, 80 AS dest_port, 'TCP' AS protocol,
+    CAST(sum((user_id % 50) * 1000000) AS BIGINT) AS bytes FROM raw GROUP BY ALL HAVING sum((user_id % 50) * 1000000) > 100 * 1024 * 1024"""))
+def _(t: Tables) -> DataFrame:
+    return alarms.large_transfers(packet_events(t))
+
+
+@query("a14_packet_rates", sql("raw", """
+SELECT '192.168.7.' || user_id % 4 AS source_ip, date_trunc('minute', log_ts) AS window_start, count(*) AS connections
+FROM raw GROUP BY ALL HAVING count(*) > 10"""))
+def _(t: Tables) -> DataFrame:
+    return alarms.per_minute_rates(packet_events(t))
+
+
 @query("a14_request_rates", sql("ev", f"""
 SELECT source_ip, {bucket(1)} AS window_start, count(*) AS connections FROM ev WHERE kind = 'NETWORK' GROUP BY ALL HAVING count(*) > 10"""))
 def _(t: Tables) -> DataFrame:

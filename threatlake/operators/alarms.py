@@ -96,6 +96,13 @@ def large_transfers(events: DataFrame, limit_mb: int = catalog.LIMIT_TRANSFER_MB
     return moved.filter(F.col("bytes") > limit_mb * 1024 * 1024)
 
 
+def packet_events(packets: DataFrame) -> DataFrame:
+    """Rows of a packet export as network events, so that A13 and A14 read them too."""
+    return packets.withColumns({
+        "kind": F.lit(schemas.NETWORK), "process_name": F.lit(""),
+        "bytes_transferred": F.coalesce("length", F.lit(0).cast("bigint"))})
+
+
 def per_minute_rates(events: DataFrame, limit: int = catalog.LIMIT_CONNECTIONS_PER_MINUTE) -> DataFrame:
     """Sources with more connections per minute than allowed."""
     known = events.filter((F.col("kind") == schemas.NETWORK) & F.col("event_time").isNotNull())

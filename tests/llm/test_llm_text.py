@@ -188,6 +188,38 @@ def test_repeated_rows_and_null_keys_keep_their_text(spark):
 
 
 
+def every_run_removed(rows):
+    """All runs of each text, not only the shortest; quadratic."""
+    split, places = {i: plain_sentences(t) for i, t in rows}, collections.defaultdict(list)
+    for i, sentences in split.items():
+        for a in range(len(sentences)):
+            for b in range(a, len(sentences)):
+                words, size = tuple(w for w, _ in sentences[a: b + 1]), sum(len(w) for w, _ in sentences[a: b + 1])
+                if size >= 20 or b > a and size >= 10:
+                    places[words].append((i, a, b))
+                elif b > a and b - a + 1 == len(sentences):
+                    places["whole", words].append((i, a, b))
+    gone = {(i, k) for at in places.values() for i, a, b in sorted(at)[1:] for k in range(a, b + 1)}
+    return {i: "".join(s for k, (_, s) in enumerate(x) if (i, k) not in gone) for i, x in split.items()}
+
+
+def test_every_run_of_sentences_is_removed(spark):
+    rng = random.Random(8)
+    def sentence(most=9):
+        return " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(1, most))) + rng.choice(".!?")
+    pool = [" ".join(sentence(rng.choice([2, 9, 30])) for _ in range(rng.randint(1, 7))) for _ in range(12)]
+    rows = [(i, " ".join([sentence(), rng.choice(pool), sentence(), *([rng.choice(pool)] if i % 3 else []), sentence()])) for i in range(40)]
+    copies = ["One two three four five six. Seven eight nine ten eleven. Twelve.", "Yes. No.",
+              "A b c d e f g h i j. K. L m. N!", "X y.\nZ", " ".join(f"v{i}" for i in range(20))]
+    rows += [(100 + 10 * k + n, t) for k, t in enumerate(copies) for n in range(3)]
+    long = " ".join(f"u{i}" for i in range(25)) + "."
+    rows += [(200, f"Some opening before. {long} And then it ends here"), (201, f"before. {long} And then it"), (202, "Yes. No. Maybe.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == every_run_removed(rows)
+    assert all(got[100 + 10 * k + n] == ("" if n else t) for k, t in enumerate(copies) for n in range(3))
+    assert got[201] == "before. And then it" and got[202] == "Yes. No. Maybe."
+
 
 @pytest.mark.parametrize("limit", [1, 7, 64, 1000])
 def test_hashes_do_not_depend_on_how_much_is_unfolded(limit):

@@ -13,27 +13,49 @@ from pyspark.sql import functions as F
 from threatlake import session
 from threatlake.llm.textops import Hasher, find_words, mix, text_chunks
 
-#: A run starts at any sentence and goes on until it has so many sentences and words.
-RUN_SENTENCES, RUN_WORDS = 2, 10
+#: A run has so many sentences and words, or so many words in however few sentences.
+RUN_SENTENCES, RUN_WORDS, LONG_WORDS = 2, 10, 20
 
 _BASE = 0x9E3779B97F4A7C15
 _NO_KEY = -(1 << 63)
 
 
 class Sentences(NamedTuple):
-    """Sentences of some texts in order: number of the text, byte ranges, and the run from each.
+    """Sentences of some texts in order, as number of the text and byte ranges that cover all of it; and their runs.
 
-    `run` is the number of sentences in the run that starts here, 0 if the text ends before it is
-    long enough; `spans` is the run's hash.  Ranges of a text cover all of it.
+    Runs are ordered by text, first sentence and size; `spans` are their hashes.
     """
 
     owner: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    run: np.ndarray
+    run_owner: np.ndarray
+    run_first: np.ndarray
+    run_size: np.ndarray
     spans: np.ndarray
 
 
+def _runs(first: np.ndarray, last: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last sentences of the runs to hash; `first` and `last` bound each sentence's words.
+
+    These are the shortest run from each sentence and the shortest run to each sentence.  They
+    cover what all runs cover: of a repeated run, a sentence either starts a run inside it, or is
+    in the shortest run to its last sentence.  A text too short for a run is one as a whole.
+    """
+    k = len(first)
+    at = np.arange(k)
+    opens = np.searchsorted(text, text)
+    closes = np.searchsorted(text, text, side="right") - 1
+    to = np.minimum(np.maximum(at + RUN_SENTENCES - 1, np.searchsorted(last, first + RUN_WORDS)),
+                    np.searchsorted(last, first + LONG_WORDS))
+    since = np.maximum(np.minimum(at - RUN_SENTENCES + 1, np.searchsorted(first, last - RUN_WORDS, side="right") - 1),
+                       np.searchsorted(first, last - LONG_WORDS, side="right") - 1)
+    forward, backward = to <= closes, since >= opens
+    short = (at == opens) & (closes - opens + 1 >= RUN_SENTENCES) & ~forward
+    pairs = np.concatenate([at[forward] * k + to[forward], since[backward] * k + at[backward], at[short] * k + closes[short]])
+    return np.divmod(np.unique(pairs), k)
+
+
 class Splitter:
     def __init__(self) -> None:
         self.hasher = Hasher(lower=True)
@@ -53,7 +75,7 @@ class Splitter:
         n = len(starts)
         if not n:
             empty = np.zeros(0, dtype=np.int64)
-            return Sentences(empty, empty, empty, empty, empty.astype(np.uint64))
+            return Sentences(*[empty] * 6, empty.astype(np.uint64))
         feeds = np.concatenate([[0], np.cumsum(data == 0x0A)])
         stop = np.isin(data[ends - 1], np.frombuffer(b".!?", dtype=np.uint8))
         stop[:-1] |= (owner[1:] != owner[:-1]) | (feeds[starts[1:]] > feeds[ends[:-1]])
@@ -68,35 +90,30 @@ class Splitter:
         closes = np.append(opens[1:], True)
         finish = np.where(closes, offsets[text + 1], finish)
 
-        k = len(first)
-        need = np.minimum(np.arange(k) + RUN_SENTENCES - 1, k - 1)
-        reach = np.searchsorted(last, np.maximum(last[need], first + RUN_WORDS))
-        inside = np.minimum(reach, k - 1)
-        whole = (reach < k) & (text[inside] == text) & (np.arange(k) + RUN_SENTENCES - 1 < k)
-        run = np.where(whole, inside - np.arange(k) + 1, 0)
+        run_first, run_last = _runs(first, last, text)
         self._powers(n + 1)
         words = self.hasher.ranges(data, starts, ends)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(words * self.up[:n], dtype=np.uint64, out=sums[1:])
-        stop_word = last[inside]
-        spans = mix((sums[stop_word] - sums[first]) * self.down[first] + (stop_word - first).astype(np.uint64))
-        return Sentences(text, begins, finish, run, spans)
+        word, stop_word = first[run_first], last[run_last]
+        spans = mix((sums[stop_word] - sums[word]) * self.down[word] + (stop_word - word).astype(np.uint64))
+        return Sentences(text, begins, finish, text[run_first], run_first, run_last - run_first + 1, spans)
 
 
-def _first_in_text(found: Sentences, at: np.ndarray) -> np.ndarray:
-    """Of the runs `at`, whether each is its text's first with that hash."""
-    order = np.lexsort((at, found.spans[at], found.owner[at]))
-    owner, spans = found.owner[at][order], found.spans[at][order]
-    new = np.ones(len(at), dtype=bool)
+def _first_in_text(found: Sentences) -> np.ndarray:
+    """Whether each run is its text's first with that hash."""
+    order = np.lexsort((np.arange(len(found.spans)), found.spans, found.run_owner))
+    owner, spans = found.run_owner[order], found.spans[order]
+    new = np.ones(len(order), dtype=bool)
     new[1:] = (owner[1:] != owner[:-1]) | (spans[1:] != spans[:-1])
-    out = np.zeros(len(at), dtype=bool)
+    out = np.zeros(len(order), dtype=bool)
     out[order] = new
     return out
 
 
 def _place(found: Sentences) -> np.ndarray:
-    """Position of each sentence in its text."""
-    return np.arange(len(found.owner)) - np.searchsorted(found.owner, found.owner)
+    """Position of each run among those of its text."""
+    return np.arange(len(found.run_owner)) - np.searchsorted(found.run_owner, found.run_owner)
 
 
 def _key(key: str) -> Column:
@@ -111,10 +128,9 @@ def text_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
             keys = batch.column(0).to_numpy()
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 found = splitter.sentences(data, offsets)
-                at = np.flatnonzero(found.run)
-                at = at[_first_in_text(found, at)]
+                at = np.flatnonzero(_first_in_text(found))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(found.spans[at].view(np.int64)), pa.array(keys[first:end][found.owner[at]]),
+                    pa.array(found.spans[at].view(np.int64)), pa.array(keys[first:end][found.run_owner[at]]),
                     pa.array(_place(found)[at].astype(np.int32))], names=["span", "doc", "place"])
 
     return docs.select(_key(key), text).mapInArrow(run, "span bigint, doc bigint, place int")
@@ -122,18 +138,17 @@ def text_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _remove(found: Sentences, later: list[tuple[int, np.ndarray, np.ndarray]], n: int) -> np.ndarray:
     """Which sentences are covered: by runs repeated in their text, and by the given (text, places, spans)."""
-    begins = np.searchsorted(found.owner, np.arange(n))
-    at = np.flatnonzero(found.run)
-    hit = [at[~_first_in_text(found, at)]]
+    begins = np.searchsorted(found.run_owner, np.arange(n + 1))
+    hit = [np.flatnonzero(~_first_in_text(found))]
     for i, places, spans in later:
         rows = begins[i] + places
-        good = rows < (begins[i + 1] if i + 1 < n else len(found.owner))
+        good = rows < begins[i + 1]
         rows, spans = rows[good], spans[good]
-        hit.append(rows[(found.spans[rows] == spans) & (found.run[rows] > 0)])
+        hit.append(rows[found.spans[rows] == spans])
     rows = np.concatenate(hit)
     cover = np.zeros(len(found.owner) + 1, dtype=np.int64)
-    np.add.at(cover, rows, 1)
-    np.add.at(cover, rows + found.run[rows], -1)
+    np.add.at(cover, found.run_first[rows], 1)
+    np.add.at(cover, found.run_first[rows] + found.run_size[rows], -1)
     return np.cumsum(cover)[:-1] > 0
 
 
@@ -141,14 +156,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", cou
                    length: str | None = None) -> DataFrame:
     """The rows of `docs` with every sentence removed that a repeated run covers, but for the first.
 
-    A run starts at any sentence and has at least RUN_SENTENCES sentences and RUN_WORDS words;
-    runs are equal if their words are, A-Z in either case.  Of equal runs the one of the smallest
+    A run is any stretch of whole sentences with at least RUN_SENTENCES sentences and RUN_WORDS
+    words, or with LONG_WORDS words, or a whole text of RUN_SENTENCES sentences.  Runs are equal
+    if their sentences have the same words, A-Z in either case.  Of equal runs the one of the smallest
     key stays, in a document its first.  `counts` names two columns to add or replace, sentences
     and removed ones; `length` names a column of text lengths to renew where a text changed.
 
     A null text stays null and has no sentences.  A null key comes before all others.  Rows that
-    share a key are one document: they don't remove each other's runs.  Texts with too few
-    sentences or words for a run stay as they are.
+    share a key are one document: they don't remove each other's runs.  Texts of
+    one sentence with fewer than LONG_WORDS words stay as they are.
     """
     docs = docs.drop(*(counts or ()))
     spans = session.land(text_spans(docs, key, text), "spans")

@@ -32,14 +32,21 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: A key to the END line before any other BEGIN; without one, to the end of its headers and base64 lines,
+#: the last of which may be short.  Line feeds may be spelt out, as in JSON.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:"
+    r"(?:[^-]|-(?!----(?:BEGIN |END [A-Z ]{0,20}PRIVATE KEY-----)))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nrt])++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+"
+    r"(?:(?:(?:\s|\\[nrt])++[A-Za-z0-9+/]{16,}+={0,2})++(?:(?:\s|\\[nrt])++[A-Za-z0-9+/]{1,15}+={0,2}(?=\s*\n|\s*\Z|\\[nr]|[\"']))?)?)")
 #: Formats of well-known credentials.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
-    Rule("url_login", r"://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._~!$&*+=-]{1,128}@"),
+    Rule("url_login", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$&*+=-]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

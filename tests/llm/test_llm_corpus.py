@@ -210,6 +210,35 @@ def test_toxicity(spark):
     assert again.scale == model.scale and (again.weights == model.weights).all()
 
 
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    """A rare language has few rows in the sample, and long texts none, but both have thresholds."""
+    monkeypatch.setattr(toxicity, "MAX_PER_LABEL", 60)
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_BYTES", 2_000)
+    rng = random.Random(7)
+    rows, marks = [], []
+    for i in range(3000):
+        lang = "xx" if i % 25 == 0 else "long" if i % 25 == 1 else "en"
+        toxic = rng.random() < 0.3
+        words = [f"w{rng.randrange(200)}" for _ in range(600 if lang == "long" else 20)]
+        # Mild words are toxic in English only as often as not, and in the rare language always.
+        mild = rng.random() < 0.5 if lang != "xx" else toxic
+        words[:4] = ["grumbo"] * 2 * (toxic and lang != "xx") + ["mildo"] * 2 * mild
+        rows.append((i, " ".join(words), lang))
+        marks.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model, limits = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    assert set(limits) == {None, "en", "xx", "long"}
+    found = {r.doc_id: r for r in toxicity.score(docs, model, limits).collect()}
+
+    def f1(lang, limit):
+        hits = [(found[i].score >= limit, y) for (i, _, own), (_, y) in zip(rows, marks) if own == lang]
+        return 2 * sum(a and y for a, y in hits) / max(sum(a for a, _ in hits) + sum(y for _, y in hits), 1)
+    for lang in ("en", "xx", "long"):
+        best = max(f1(lang, r.score) for r in found.values() if r.lang == lang)
+        assert f1(lang, limits[lang]) > best - 0.03
+    assert all(r.flagged == (r.score >= limits[r.lang]) for r in found.values())
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en")], "doc_id bigint, text string, lang string")
     model, limits = toxicity.fit(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))

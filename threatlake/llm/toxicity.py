@@ -9,13 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatlake.llm.textops import Hasher, find_words, text_chunks
 
 #: Labelled rows of each label to learn from, at most, and the longest text among them in bytes.
 MAX_PER_LABEL, MAX_TRAIN_BYTES = 2_500, 65_536
-#: One row in so many is kept from training to calibrate scores and thresholds.
+#: One row in so many is kept from training to calibrate scores.
 CALIBRATION_FOLD = 5
+#: Thresholds come from histograms of log odds within +-ODDS, so many bins to a unit; a language
+#: has its own from so many toxic rows on.
+ODDS, BINS_PER_UNIT, MIN_TOXIC = 16, 64, 10
 #: Size of an embedding, widths of the filters in words, filters of each width.
 SIZE, WIDTHS, FILTERS = 16, (1, 2, 3), 16
 #: Words and word beginnings of so many bytes have hashed embeddings, if so many rows hold them.
@@ -205,34 +209,48 @@ def train(texts: list[str], labels: list[int], calibrating: list[bool], prior: f
     return model._replace(scale=scale, shift=shift + float(moved))
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The threshold of the best F1; midway between neighbours, PREDICTED_FROM without toxic rows."""
-    if not y.any() or y.all():
+def odds_bins(scores: np.ndarray) -> np.ndarray:
+    odds = np.log(np.maximum(scores, 1e-300)) - np.log(np.maximum(1 - scores, 1e-300))
+    return np.floor(np.clip(odds, -ODDS, ODDS) * BINS_PER_UNIT).astype(np.int32)
+
+
+def best_threshold(bins: np.ndarray, toxic: np.ndarray, other: np.ndarray) -> float:
+    """The threshold of the best F1 among bins with these weights of toxic and other rows.
+
+    It is midway between neighbouring bins with rows; PREDICTED_FROM without rows of both labels.
+    """
+    if not toxic.any() or not other.any():
         return PREDICTED_FROM
-    order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum((y * weight)[order])
-    f1 = 2 * hits / (np.cumsum(weight[order]) + (y * weight).sum())
-    last = np.append(s[1:] != s[:-1], True)  # ties stand or fall together
-    i = int(np.argmax(np.where(last, f1, -1.0)))
-    return float((s[i] + (s[i + 1] if i + 1 < len(s) else 0.0)) / 2)
+    bins, at = np.unique(bins, return_inverse=True)
+    toxic, other = np.bincount(at, toxic)[::-1], np.bincount(at, other)[::-1]
+    hits = np.cumsum(toxic)
+    i = len(bins) - 1 - int(np.argmax(2 * hits / (hits + np.cumsum(other) + hits[-1])))
+    low = 1 / (1 + np.exp(-bins[i] / BINS_PER_UNIT))
+    return float((low + (1 / (1 + np.exp(-(bins[i - 1] + 1) / BINS_PER_UNIT)) if i else 0.0)) / 2)
 
 
-def thresholds(model: Model, texts: list[str], labels: list[int], langs: list, calibrating: list[bool],
-               prior: float) -> dict:
-    """A threshold for each language on the calibration rows, and under None for all others."""
-    held = np.flatnonzero(calibrating)
-    if not len(held):
+def thresholds(histogram: list[tuple]) -> dict:
+    """A threshold for each language, and under None for all others.
+
+    The histogram has rows of (language, bin, label, labelled rows, those of them not trained on).
+    The latter stand for all rows of their language and label.
+    """
+    if not histogram:
         return {None: PREDICTED_FROM}
-    y = np.array(labels, dtype=np.float64)[held]
-    scores = np.array([probability(model, outputs(model, t))[0] for t in _tokens_of_texts([texts[i] for i in held])])
-    sample = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    weight = np.where(y > 0, prior / sample, (1 - prior) / (1 - sample))
-    out = {None: best_threshold(scores, y, weight)}
-    own = np.array([str(langs[i]) if langs[i] is not None else "" for i in held])
-    for lang in np.unique(own):
-        at = own == lang
-        if lang and y[at].sum() >= 10:
-            out[str(lang)] = best_threshold(scores[at], y[at], weight[at])
+    langs, bins, labels, rows, unseen = (np.array(c, dtype=t) for c, t in zip(zip(*histogram), (object, int, int, float, float)))
+    names = np.array([x or "" for x in langs], dtype=str)
+    weight, own = np.zeros(len(rows)), {}
+    for name in np.unique(names):
+        for y in (0, 1):
+            at = (names == name) & (labels == y)
+            weight[at] = unseen[at] * (rows[at].sum() / max(unseen[at].sum(), 1.0))
+        own[str(name)] = names == name
+    toxic, other = np.where(labels == 1, weight, 0.0), np.where(labels == 0, weight, 0.0)
+    seen = weight > 0
+    out = {None: best_threshold(bins[seen], toxic[seen], other[seen])}
+    for name, at in own.items():
+        if name and unseen[at & (labels == 1)].sum() >= MIN_TOXIC:
+            out[name] = best_threshold(bins[at & seen], toxic[at & seen], other[at & seen])
     return out
 
 
@@ -242,33 +260,56 @@ def fold(key: Column, folds: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
         label: str = "toxic", learn: Column | None = None) -> tuple[Model, dict]:
-    """A model and thresholds from at most MAX_PER_LABEL rows of each label.
-
-    The rows come first by a hash of their key among the labelled ones where `learn` holds; ids
-    are chosen first, so only chosen texts reach the driver, each of at most MAX_TRAIN_BYTES
-    bytes.  Rows with a null label or key are left out; a key labelled twice takes the larger.
+    """A model from at most MAX_PER_LABEL rows of each label, and thresholds from all labelled rows.
+
+    The rows to train on come first by a hash of their key among the labelled ones where `learn`
+    holds; ids are chosen first, so only chosen texts reach the driver, each of at most
+    MAX_TRAIN_BYTES bytes.  All rows where `learn` holds are then scored where they are, and
+    those not trained on, long ones too, set the thresholds; a histogram for each language
+    reaches the driver.  Rows with a null label or key are left out; a key labelled twice takes
+    the larger.
     """
     learn = F.lit(True) if learn is None else learn
     marked = labels.select(F.col(key).alias("id"), F.col(label).alias("y")).filter(
         "id is not null and y is not null").groupBy("id").agg(F.max(F.col("y").cast("int")).alias("y"))
     sizes = docs.select(F.col(key).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")).filter(learn)
-    usable = marked.join(sizes.filter(F.col("bytes") <= MAX_TRAIN_BYTES).select("id").distinct(), "id")
-    counts = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).filter("y in (0, 1)").collect()}
+    usable = marked.filter("y in (0, 1)").join(sizes.groupBy("id").agg(F.min("bytes").alias("bytes")), "id")
+    counts = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    chosen = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(MAX_PER_LABEL) for y in (0, 1)]
+    short = usable.filter(F.col("bytes") <= MAX_TRAIN_BYTES).select("id", "y")
+    chosen = [short.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(MAX_PER_LABEL) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])
     texts = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang"))
     # At most 2 * MAX_PER_LABEL ids.
     rows = texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(F.broadcast(ids), "id").withColumn(
         "calibrating", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CALIBRATION_FOLD)) == 0).dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: str(r.id))
-    columns = [[r[i] for r in rows] for i in range(5)]
-    _, words, langs, y, calibrating = columns
     if not rows:
         return _empty(), {None: PREDICTED_FROM}
-    model = train(words, y, calibrating, prior)
-    return model, thresholds(model, words, y, langs, calibrating, prior)
+    model = train([r.text for r in rows], [r.y for r in rows], [r.calibrating for r in rows], prior)
+    trained = docs.sparkSession.createDataFrame(
+        [(r.id,) for r in rows if not r.calibrating], T.StructType([T.StructField("id", marked.schema["id"].dataType)]))
+    scored = _binned(texts.filter(learn), model).join(marked.filter("y in (0, 1)"), "id").join(
+        F.broadcast(trained.withColumn("trained", F.lit(1))), "id", "left")
+    histogram = scored.groupBy("lang", "bin", "y").agg(F.count(F.lit(1)), F.count_if(F.col("trained").isNull()))
+    return model, thresholds([tuple(r) for r in histogram.collect()])
+
+
+def _binned(texts: DataFrame, model: Model) -> DataFrame:
+    """(id, lang, bin) of the scores of (id, text, lang)."""
+    texts = texts.select("id", F.col("lang").cast("string").alias("lang"), "text")
+    schema = texts.select("id", "lang", F.lit(None).cast("int").alias("bin")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(lower=True)
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(2), 1 << 19):
+                bins = odds_bins(probability(model, outputs(model, tokens_of(data, offsets, hasher))))
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bins)], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
 
 
 def _empty() -> Model:

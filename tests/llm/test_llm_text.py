@@ -169,23 +169,25 @@ def plain_sentences(text):
     return sentences
 
 
-def plain_removal(rows):
-    runs = collections.defaultdict(list)
-    split = {i: plain_sentences(t) for i, t in rows}
+def plain_runs_gone(split):
+    """(doc, sentence) of every non-first place of a run; all runs are hashed, not only the shortest; quadratic."""
+    places = collections.defaultdict(list)
     for i, sentences in split.items():
         for a in range(len(sentences)):
-            words = ()
             for b in range(a, len(sentences)):
-                words += sentences[b][0]
-                if b - a + 1 >= 2 and len(words) >= 10:
-                    runs[words].append((i, a, b))
-                    break
-    gone = collections.defaultdict(set)
-    for places in runs.values():
-        for i, a, b in sorted(places)[1:]:
-            gone[i].update(range(a, b + 1))
-    return {i: ("".join(s for k, (_, s) in enumerate(split[i]) if k not in gone[i]) if gone[i] else t, len(split[i]), len(gone[i]))
-            for i, t in rows}
+                words, size = tuple(w for w, _ in sentences[a: b + 1]), sum(len(w) for w, _ in sentences[a: b + 1])
+                if size >= 20 or b > a and size >= 10:
+                    places[words].append((i, a, b))
+                elif b > a and b - a + 1 == len(sentences):
+                    places["whole", words].append((i, a, b))
+    return {(i, k) for at in places.values() for i, a, b in sorted(at)[1:] for k in range(a, b + 1)}
+
+
+def plain_removal(rows):
+    split = {i: plain_sentences(t) for i, t in rows}
+    gone = plain_runs_gone(split)
+    kept = {i: [s for k, (_, s) in enumerate(x) if (i, k) not in gone] for i, x in split.items()}
+    return {i: ("".join(kept[i]) if len(kept[i]) < len(split[i]) else t, len(split[i]), len(split[i]) - len(kept[i])) for i, t in rows}
 
 
 def test_repeated_passages(spark, texts):
@@ -207,26 +209,11 @@ def test_repeated_rows_and_null_keys_keep_their_text(spark):
     text = "One two three four five six. Seven eight nine ten eleven. Twelve."
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, None)], "doc_id bigint, text string")
     got = collections.Counter((r.doc_id, r.text) for r in substring_dedup.remove_repeats(rows).collect())
-    assert got == {(1, text): 2, (2, "Twelve."): 1, (None, None): 1}
+    assert got == {(1, text): 2, (2, ""): 1, (None, None): 1}
     assert substring_dedup.remove_repeats(rows.limit(0)).count() == 0
 
 
 
-def every_run_removed(rows):
-    """All runs of each text, not only the shortest; quadratic."""
-    split, places = {i: plain_sentences(t) for i, t in rows}, collections.defaultdict(list)
-    for i, sentences in split.items():
-        for a in range(len(sentences)):
-            for b in range(a, len(sentences)):
-                words, size = tuple(w for w, _ in sentences[a: b + 1]), sum(len(w) for w, _ in sentences[a: b + 1])
-                if size >= 20 or b > a and size >= 10:
-                    places[words].append((i, a, b))
-                elif b > a and b - a + 1 == len(sentences):
-                    places["whole", words].append((i, a, b))
-    gone = {(i, k) for at in places.values() for i, a, b in sorted(at)[1:] for k in range(a, b + 1)}
-    return {i: "".join(s for k, (_, s) in enumerate(x) if (i, k) not in gone) for i, x in split.items()}
-
-
 def test_every_run_of_sentences_is_removed(spark):
     rng = random.Random(8)
     def sentence(most=9):
@@ -240,7 +227,7 @@ def test_every_run_of_sentences_is_removed(spark):
     rows += [(200, f"Some opening before. {long} And then it ends here"), (201, f"before. {long} And then it"), (202, "Yes. No. Maybe.")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
-    assert got == every_run_removed(rows)
+    assert got == {i: t for i, (t, _, _) in plain_removal(rows).items()}
     assert all(got[100 + 10 * k + n] == ("" if n else t) for k, t in enumerate(copies) for n in range(3))
     assert got[201] == "before. And then it" and got[202] == "Yes. No. Maybe."
 

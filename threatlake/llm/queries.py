@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatlake import session
-from threatlake.llm import bpe, embedding_dedup, language_model, minhash, mixing, quality, secret_scan, substring_dedup, toxicity, warc
+from threatlake.llm import (bpe, embedding_dedup, exact_dedup, filter_audit, importance, language_model, minhash, mixing, quality, secret_scan,
+                            substring_dedup, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,71 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, limits = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=toxicity.fold(F.col("id"), 4) != 2)
     return toxicity.score(docs, model, limits).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted", "lang", "threshold", "flagged")
+
+
+@_query("op13_heavy_hitters")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_heavy_hitters"] = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)"""
+
+
+@_query("op11_radix_resampling")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: CRC-32 is spelt out byte by byte, once for each distinct word.
+ORACLES["op11_radix_resampling"] = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8),
+        lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS tab),
+texts AS (SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark),
+words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+per_word AS (SELECT word, count(doc_id) AS s, count(*) - count(doc_id) AS t FROM words GROUP BY word),
+hashed AS (SELECT word, s, t, xor(list_reduce([4294967295] || list_transform(range(length(hex(word)) // 2),
+        lambda i: CAST('0x' || substr(hex(word), 2 * i + 1, 2) AS BIGINT)),
+        lambda v, b: xor(v // 256, tab[xor(v, b) % 256 + 1])), 4294967295) % 10000 AS bucket FROM per_word, crc),
+buckets AS (SELECT bucket, CAST(floor(1000 * ln((CAST(sum(t) AS DOUBLE) + 1) * (sum(sum(s)) OVER () + 10000)
+    / ((CAST(sum(s) AS DOUBLE) + 1) * (sum(sum(t)) OVER () + 10000)))) AS BIGINT) AS gain FROM hashed GROUP BY bucket),
+weighed AS (SELECT doc_id, count(*) AS n, sum(gain) AS total FROM words JOIN hashed USING (word) JOIN buckets USING (bucket)
+    WHERE doc_id IS NOT NULL GROUP BY doc_id),
+scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(floor(total / n), 0) AS BIGINT) AS weight,
+    CAST(CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) AS DOUBLE) AS h FROM documents d LEFT JOIN weighed w ON d.doc_id = w.doc_id),
+final AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+numbered AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+    count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM final)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM numbered"""
+
+
+@_query("op12_retraction_audit")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_retraction_audit"] = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+fails AS (SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f FROM w),
+cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+    FROM fails LEFT JOIN labels USING (doc_id) GROUP BY part, f),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT list_aggregate(list_transform(o, lambda i: 'ABCDE'[i]), 'string_agg', '') AS filter_order, i AS step, o[i] AS letter, o[1:i - 1] AS before
+    FROM orders, letters),
+met AS (SELECT *, f[letter] AS fails, len(list_filter(before, lambda j: f[j])) > 0 AS earlier, len(list_filter(f, lambda x: x)) AS all_fails
+    FROM cells, steps),
+sums AS (SELECT part, filter_order, step, letter, sum(n) FILTER (NOT fails AND NOT earlier) AS kept, sum(n) FILTER (fails AND NOT earlier) AS removed,
+    sum(n) FILTER (fails AND earlier) AS redundant, sum(n) FILTER (fails AND all_fails = 1) AS unique_fails,
+    sum(good) FILTER (fails AND NOT earlier) AS good_lost, sum(toxic) FILTER (fails AND NOT earlier) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+    CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+    CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM sums"""

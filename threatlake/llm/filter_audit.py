@@ -22,7 +22,14 @@ GOOD, TOXIC = 1 << len(FILTERS), 2 << len(FILTERS)
 
 #: Groups of texts in each state partition.  Texts are apart in the state; a group shares only its calls.
 GROUPS_PER_PARTITION = 16
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store: no space set aside for each partition's logs, changes instead of snapshots after each
+#: micro-batch, no count of all rows kept beside them.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 MASKED = "grp int, digest string, missing int, id bigint, part string, mask int, n bigint"
 CHANGES = "part string, mask int, n bigint"
@@ -145,7 +152,8 @@ def counter_changes(spark: SparkSession, path: str, labels: DataFrame, key: str
     own = session.prepare(spark.newSession())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.shuffle.partitions", partitions)
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in STATE_SETTINGS.items():
+        own.conf.set(name, value)
     stream = own.readStream.schema(spark.read.parquet(path).schema).option(
         "maxFilesPerTrigger", files_per_batch or spark.sparkContext.defaultParallelism).parquet(_file_or_folder(path))
     rows = masked(stream, marks_of(labels, key), GROUPS_PER_PARTITION * partitions, key, text, part)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.oracle_base import benign_case, q, sql, values
 from checks.registry import query
+from checks.streams import DNS_EVENTS, dns_line
 from checks.scores import _TYPED
 from checks.tables import YEAR, Tables
 from threatlake import catalog
@@ -150,17 +151,13 @@ def _(t: Tables) -> DataFrame:
     return alarms.service_rates(t.parsed)
 
 
-@query("a14_dns_rates", sql("raw", """
-SELECT source_ip, date_trunc('minute', log_ts) AS window_start, count(*) AS queries
-FROM (SELECT *, '192.168.7.' || user_id % 4 AS source_ip FROM raw) GROUP BY ALL HAVING count(*) > 4"""))
+@query("a14_dns_rates", sql("raw", f"""
+WITH {DNS_EVENTS}
+SELECT source_ip, date_trunc('minute', event_time) AS window_start, count(*) AS queries FROM dns WHERE dest_port = 53 AND protocol = 'UDP'
+GROUP BY ALL HAVING count(*) > 3"""))
 def _(t: Tables) -> DataFrame:
-    # A DNS query line for every event, as the firewall writes it.
-    users = t.table("events").select("event_id", "user_id")
-    lines = t.derived.select("event_id", "source_file", "line_number", "log_type", "log_ts").join(users, "event_id")
-    line = F.concat(
-        F.date_format("log_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" EventID=5156 Application Name: C:\\Windows\\System32\\svchost.exe Source Address: 192.168.7."),
-        (c("user_id") % 4).cast("string"), F.lit(" Source Port: 50123 Dest Address: 8.8.8.8 Dest Port: 53 Protocol: 17"))
-    return alarms.dns_rates(extract.parse_events(lines.withColumn("line", line), YEAR), 4)
+    lines = t.derived.withColumn("line", dns_line(c("event_id"), c("log_ts")))
+    return alarms.dns_rates(extract.parse_events(lines, YEAR), 3)
 
 
 @query("a15_process_connections", sql("ev", f"""

@@ -31,8 +31,13 @@ def values(rows: list[tuple]) -> str:
     return "(VALUES " + ",".join("(" + ",".join(one(v) for v in r) + ")" for r in rows) + ")"
 
 
+def plain_space(column: str) -> str:
+    """The white space beyond ASCII of the derived log as blanks: RE2 knows no other."""
+    return f"translate({column}, chr(160) || chr(8195), '  ')"
+
+
 def rx(pattern: str, column: str = "line") -> str:
-    return f"regexp_matches({column}, {q('(?i)' + pattern)})"
+    return f"regexp_matches({plain_space(column)}, {q('(?i)' + pattern)})"
 
 
 def _derived() -> str:
@@ -124,7 +129,7 @@ def rule_sql(rule: catalog.Rule, column: str = "line") -> str:
     marker = catalog._NOT_INTERNAL
     if rule.pattern.endswith(marker):
         head = rule.pattern[: -len(marker)]
-        ip = f"regexp_extract({column}, {q('(?i)' + head + '(' + _IP + ')')}, 1)"
+        ip = f"regexp_extract({plain_space(column)}, {q('(?i)' + head + '(' + _IP + ')')}, 1)"
         return f"({ip} <> '' AND NOT regexp_matches({ip}, {q('^' + INTERNAL)}))"
     cond = rx(rule.pattern, column)
     if rule.min_tokens:
@@ -154,7 +159,7 @@ def benign_sql(rule: catalog.BenignRule) -> str:
         return f"({rx('tcp.*syn')} AND NOT {rx(INTERNAL)})"
     if "(?!" in rule.pattern:
         word = rule.pattern.split(".*")[0]
-        path = f"regexp_extract(line, {q('(?i)' + word + r'.*(?:GET|POST)\s+/(.*)')}, 1)"
+        path = f"regexp_extract({plain_space('line')}, {q('(?i)' + word + r'.*(?:GET|POST)\s+/(.*)')}, 1)"
         return f"({rx(rule.pattern.replace('(?!admin|login|wp-admin)', ''))} AND NOT regexp_matches({path}, '(?i)^(admin|login|wp-admin)'))"
     return rx(rule.pattern)
 
@@ -202,7 +207,7 @@ def _scored() -> str:
     services = values([(s.service, port, s.protocol, s.internal_only, s.risk_factor)
                        for s in catalog.SERVICES for port in s.ports])
     factors = catalog.FREQUENCY_FACTORS
-    command_hits = [f"regexp_matches(coalesce(command_line, ''), {q('(?i)' + r.pattern)})" for r in catalog.COMMAND_RULES]
+    command_hits = [rx(r.pattern, "coalesce(command_line, '')") for r in catalog.COMMAND_RULES]
     weights = [r.weight for r in catalog.COMMAND_RULES]
     hit_list = "list_filter([" + ",".join(
         f"CASE WHEN {c} THEN CAST({w} AS DOUBLE) END" for c, w in zip(command_hits, weights, strict=True)) + "], lambda x: x IS NOT NULL)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.oracle_base import json_sql, rx, sql, values
+from checks.oracle_base import json_sql, plain_space, rx, sql, values
 from checks.registry import query
 from checks.tables import YEAR, Tables
 from threatlake import catalog
@@ -113,11 +113,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("q13_suspicious_process_names", sql("ev", f"""
-SELECT n AS process_name, count(*) AS events FROM (SELECT CASE WHEN "user" LIKE 'u%' THEN 'unknown-' || process_name ELSE process_name END AS n
-    FROM ev WHERE kind = 'PROCESS') WHERE {' OR '.join(rx(p, 'n') for p in catalog.SUSPICIOUS_PROCESS_PATTERNS)} GROUP BY ALL"""))
+SELECT n AS process_name, count(*) AS events FROM (SELECT CASE WHEN "user" LIKE 'u%' THEN 'unknown-né' || process_name ELSE process_name END AS n
+    FROM ev WHERE kind = 'PROCESS') WHERE {' OR '.join(rx(p, "replace(n, 'é', 'e')") for p in catalog.SUSPICIOUS_PROCESS_PATTERNS)} GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
     named = t.parsed.filter("kind = 'PROCESS'").select(F.when(
-        c("user").startswith("u"), F.concat(F.lit("unknown-"), c("process_name"))).otherwise(c("process_name")).alias("process_name"))
+        c("user").startswith("u"), F.concat(F.lit("unknown-né"), c("process_name"))).otherwise(c("process_name")).alias("process_name"))
     return named.filter(lookups.suspicious_process(c("process_name"))).groupBy("process_name").agg(
         F.count(F.lit(1)).alias("events"))
 
@@ -151,7 +151,7 @@ _USER_RULES = [(901, "Failed password", "AUTH", 3, r"failed\s+password"), (902,
 
 @query("j1_rule_table", sql("raw", f"""
 SELECT source_file, line_number, rule_id, severity FROM raw JOIN {values([(r[0], r[3], '(?i)' + r[4]) for r in _USER_RULES])} r(rule_id, severity, pattern)
-ON regexp_matches(line, pattern)"""))
+ON regexp_matches({plain_space("line")}, pattern)"""))
 def _(t: Tables) -> DataFrame:
     listed = t.spark.createDataFrame(_USER_RULES, "rule_id int, description string, category string, severity int, pattern string")
     rules = matching.rules_from_table(listed)

@@ -8,28 +8,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.oracle_base import sql
+from checks.oracle_base import sql, values
 from checks.registry import query
+from checks.sources_events import chunk_of, written_lines
 from checks.tables import YEAR, Tables
+from threatlake import catalog, session
+from threatlake.operators import running, triage
 from threatlake.sources import carrier
 from threatlake.streaming import streams
 
 c = F.col
 
 
-def line_stream(t: Tables) -> DataFrame:
-    schema = t.table("events").schema
-    rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    return carrier.derive_lines(rows).select("source_file", "line_number", "line", "log_type")
+LINE = ("source_file", "line_number", "line", "log_type")
 
 
-def event_stream(t: Tables) -> DataFrame:
-    return streams.events(line_stream(t), YEAR)
+def derived_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
+    """The events table as a stream of lines, in a session of its own."""
+    own = streams.own_session(t.spark, rocksdb=rocksdb)
+    rows = own.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return carrier.derive_lines(rows)
 
 
-def run_closed(t: Tables, label: str, make) -> DataFrame:
+def line_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
+    return derived_stream(t, rocksdb).select(*LINE)
+
+
+def run_closed(t: Tables, label: str, make, lines: DataFrame | None = None) -> DataFrame:
     """Runs `make` of the events to the end of the input and closes it."""
-    lines, close = streams.closable(line_stream(t))
+    lines, close = streams.closable(line_stream(t) if lines is None else lines)
     return streams.run_available(make(streams.events(lines, YEAR)), label, close=close)
 
 
@@ -82,13 +89,8 @@ WITH gaps AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION B
 spans AS (SELECT *, sum(anew) OVER (PARTITION BY source_file, freq_key, freq_source ORDER BY event_time, line_number) AS span FROM gaps)
 SELECT source_file, line_number, row_number() OVER (PARTITION BY source_file, freq_key, freq_source, span ORDER BY event_time, line_number) AS frequency FROM spans"""))
 def _(t: Tables) -> DataFrame:
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(name)
-    t.spark.conf.set(name, streams.ROCKSDB)
-    try:
-        counted = streams.run_available(streams.running_counters(event_stream(t)), "r3")
-    finally:
-        t.spark.conf.set(name, before)
+    events = streams.events(line_stream(t, rocksdb=True), YEAR)
+    counted = streams.run_available(streams.running_counters(events), "r3")
     return counted.select("source_file", "line_number", "frequency")
 
 
@@ -119,11 +121,78 @@ def _(t: Tables) -> DataFrame:
     return run_closed(t, "r6", streams.network_with_process)
 
 
+@query("r4_stream_deviation", sql("ev", """
+WITH n AS (SELECT date_trunc('hour', event_time) AS hour, CASE kind WHEN 'NETWORK' THEN 'network_' || protocol || '_' || dest_port ELSE 'process_' || process_name END AS event_type,
+    CASE kind WHEN 'NETWORK' THEN source_ip ELSE "user" END AS event_source, count(*) AS events FROM ev WHERE kind <> 'GENERIC' GROUP BY ALL),
+b AS (SELECT hour + INTERVAL 1 HOUR AS hour, event_type, sum(events) / count(*) AS baseline FROM n GROUP BY ALL),
+d AS (SELECT n.*, baseline, (events - baseline) / baseline AS deviation FROM n LEFT JOIN b ON n.hour = b.hour AND n.event_type = b.event_type)
+SELECT hour, event_type, event_source, events, round(baseline, 6) AS baseline, CAST(CASE WHEN baseline IS NULL THEN CASE WHEN events > 10 THEN 5 ELSE 0 END
+    WHEN deviation <= 0.1 THEN 0 WHEN deviation <= 0.5 THEN 2 WHEN deviation <= 1 THEN 3 WHEN deviation <= 2 THEN 4 ELSE 5 END AS DOUBLE) AS score FROM d"""))
+def _(t: Tables) -> DataFrame:
+    return run_closed(t, "r4d", streams.stream_deviation).withColumn("baseline", F.round("baseline", 6))
+
+
+#: Connections to a name server, a third of them over TCP and a third to another port.
+DNS_EVENTS = """
+dns AS (SELECT log_ts AS event_time, 'NETWORK' AS kind, '192.168.7.' || event_id % 4 AS source_ip, 50123 AS source_port, '8.8.8.8' AS dest_ip,
+    CASE WHEN event_id % 3 = 2 THEN 443 ELSE 53 END AS dest_port, CASE WHEN event_id % 3 = 1 THEN 'TCP' ELSE 'UDP' END AS protocol,
+    CAST(0 AS BIGINT) AS bytes_transferred, 'Allowed' AS status FROM raw)"""
+
+
+def dns_line(event_id: F.Column, time: F.Column) -> F.Column:
+    parts = [F.date_format(time, "yyyy-MM-dd HH:mm:ss"), F.lit(" EventID=5156 Application Name: C:\\Windows\\System32\\svchost.exe Source Address: 192.168.7."),
+             (event_id % 4).cast("string"), F.lit(" Source Port: 50123 Dest Address: 8.8.8.8 Dest Port: "),
+             F.when(event_id % 3 == 2, "443").otherwise("53"), F.lit(" Protocol: "), F.when(event_id % 3 == 1, "6").otherwise("17")]
+    return F.concat(*parts)
+
+
+def _grouped(alarm: str, source: str, detail: str, width: str, value: str, least: str, where: str, rows: str = "net") -> str:
+    return (f"SELECT '{alarm}' AS alarm, {source} AS source_ip, {detail} AS detail, time_bucket(INTERVAL {width}, event_time, TIMESTAMP '1970-01-01') AS window_start, "
+            f"CAST({value} AS BIGINT) AS value FROM {rows} WHERE {where} GROUP BY ALL HAVING {value} >= {least}")
+
+
+_SERVICES = values([(s.service, p, s.protocol, s.per_minute_limit) for s in catalog.SERVICES for p in s.ports])
+_LIMITS = streams.AlarmLimits(scanned_ports=3, transfer_mb=20, dns_queries=3)
+
+
 @query("r7_threshold_alarms", sql("ev", f"""
-SELECT 'failed_logins' AS alarm, source_ip, time_bucket(INTERVAL 5 MINUTES, event_time, TIMESTAMP '1970-01-01') AS window_start, count(*) AS value
-FROM ev WHERE status = 'Failed'
-GROUP BY ALL HAVING count(*) > 5
-UNION ALL SELECT 'connection_rate', source_ip, date_trunc('minute', event_time), count(*) FROM ev
-WHERE kind = 'NETWORK' GROUP BY ALL HAVING count(*) > 10"""))
+WITH {DNS_EVENTS},
+net AS (SELECT event_time, kind, source_ip, source_port, dest_ip, dest_port, protocol, bytes_transferred, status FROM ev WHERE kind = 'NETWORK'
+    UNION ALL BY NAME SELECT * FROM dns),
+served AS (SELECT * FROM net JOIN {_SERVICES} s(service, port, proto, lim) ON dest_port = port AND upper(protocol) = proto)
+""" + " UNION ALL ".join([
+    _grouped("failed_logins", "source_ip", "NULL", "5 MINUTES", "count(*)", "6", "status = 'Failed'"),
+    _grouped("port_scan", "source_ip", "NULL", "5 MINUTES", "count(DISTINCT dest_port)", "3", "true"),
+    _grouped("connection_rate", "source_ip", "NULL", "1 MINUTE", "count(*)", "11", "true"),
+    _grouped("dns_rate", "source_ip", "NULL", "1 MINUTE", "count(*)", "4", "dest_port = 53 AND upper(protocol) = 'UDP'"),
+    _grouped("service_rate", "NULL", "service", "1 MINUTE", "count(*)", "any_value(lim) + 1", "true", "served"),
+    _grouped("large_transfer", "source_ip", "source_ip || ':' || source_port || ' -> ' || dest_ip || ':' || dest_port || ' ' || protocol", "1 HOUR",
+             "sum(bytes_transferred)", "20 * 1024 * 1024 + 1", "true")])))
+def _(t: Tables) -> DataFrame:
+    rows = derived_stream(t)
+    dns = rows.select(F.lit("dns.log").alias("source_file"), "line_number", dns_line(c("event_id"), c("log_ts")).alias("line"), "log_type")
+    return run_closed(t, "r7", lambda events: streams.threshold_alarms(events, _LIMITS), rows.select(*LINE).union(dns))
+
+
+@query("r1_stream_bundles", _stateless_sql().replace("SELECT source_file, line_number, CAST(CASE WHEN wins", """, numbered AS (
+    SELECT (line_number - 1) // 1000 AS chunk, row_number() OVER (PARTITION BY (line_number - 1) // 1000 ORDER BY line_number) AS ordinal, """
+    "CAST(CASE WHEN wins", 1).replace("'rule' END AS verdict_source FROM both_sides", """'rule' END AS verdict_source FROM both_sides)
+SELECT 'bundle' AS kind, chunk, (ordinal - 1) // 50 AS position, count(*) AS value FROM numbered GROUP BY ALL
+UNION ALL SELECT 'finding', chunk, ordinal, severity FROM numbered
+UNION ALL SELECT 'refined', chunk, ordinal, ordinal % 6 FROM numbered WHERE ordinal % 3 <> 0"""))
 def _(t: Tables) -> DataFrame:
-    return run_closed(t, "r7", streams.threshold_alarms)
+    own = streams.own_session(t.spark)
+    own.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # so that each file has several splits
+    found = streams.run_available(streams.findings(streams.read_text_stream(own, written_lines(t)), YEAR), "r1b")
+    placed = session.land(running.ordinal(found.select("source_file", "line_number", "severity"), "position"), "r1b-ordinals")
+    says = F.concat(F.lit("IS_FALSE_POSITIVE: "), F.when(c("position") % 3 == 0, "true").otherwise("false"),
+                    F.lit("\nCONFIDENCE: 0.9\nREVISED_SEVERITY: "), (c("position") % 6).cast("string"))
+    verdicts = placed.select("source_file", "line_number", F.lit("false_positive").alias("kind"), says.alias("text"))
+    refined = triage.refine(found, verdicts).join(placed.drop("severity"), ["source_file", "line_number"])
+
+    def rows(kind: str, df: DataFrame, position: str, value: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), chunk_of(c("source_file")), c(position).cast("bigint").alias("position"),
+                         c(value).cast("bigint").alias("value"))
+
+    return rows("bundle", triage.evidence_bundles(found), "bundle", "findings").unionByName(
+        rows("finding", placed, "position", "severity")).unionByName(rows("refined", refined, "position", "revised_severity"))

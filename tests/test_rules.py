@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatlake import catalog
-from threatlake.functions import text
+from threatlake.functions import scoring, text
 from threatlake.operators import matching
 from threatlake.sources import carrier
 
@@ -134,3 +134,33 @@ def test_later_family_replaces_equal_keys():
 
 def test_masks_run_in_generated_code():
     assert text.regex("a").startswith("(?iud)")
+
+
+ACCENTED = "né {} ü"
+
+
+@pytest.mark.parametrize("space", [" ", "\u00a0", "\u2003"])
+def test_white_space_beyond_ascii_hides_nothing(spark, space):
+    rows = [(1, f"http GET{space}/x 10.0.0.1", f"net{space}user", f"unknown{space}tmp.exe"), (2, "nothing", "dir", "a.exe")]
+    for wrap in ("{}", ACCENTED):
+        df = spark.createDataFrame([(i, wrap.format(line), wrap.format(cmd), name) for i, line, cmd, name in rows],
+                                   "line_number int, line string, cmd string, name string")
+        got = matching.benign_rule(df).select(
+            "line_number", "benign.description", scoring.command_risk(scoring.command_hits(F.col("cmd"))).alias("risk"),
+            scoring.simple_process_risk(F.col("name"), F.col("cmd")).alias("simple")).orderBy("line_number").collect()
+        assert [tuple(r) for r in got] == [(1, "Internal HTTP request", 3.5, 2.0), (2, None, 1.0, 0.0)]
+
+
+def test_case_folding_beyond_ascii_passes_the_gate(spark):
+    # The long s folds to s but is its own lower case, so no literal search may stand before the regex.
+    df = spark.createDataFrame([("\u017fmb negotiate 10.0.0.7",)], "line string")
+    assert matching.benign_rule(df).first().benign.description == "Internal SMB negotiation"
+
+
+def test_exported_patterns_find_what_the_rules_find(spark):
+    from threatlake.sources import sinks
+    lines = ["SCAN the port", "1 22 333 4444 55555", "Wrong login", "authentication failure", "nothing 1 2 3 4"]
+    exported = {r.description: re.compile(r.pattern) for r in sinks.exported_rules(spark).collect()}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_number int, line string")
+    got = {r.line_number: {i.description for i in r.indicators} for r in matching.all_indicators(df).collect()}
+    assert got == {i: {d for d, p in exported.items() if p.search(x)} for i, x in enumerate(lines)}

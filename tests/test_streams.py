@@ -1,5 +1,7 @@
 """Streams: batch equality, late rows, expiring counters."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,13 +30,37 @@ def test_stream_of_files_equals_batch(spark, tmp_path):
     assert len(got) == 3
 
 
+def test_a_stream_has_settings_of_its_own(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name), spark.conf.get("spark.sql.shuffle.partitions")
+    own = streams.own_session(spark, 3, rocksdb=True)
+    assert own.conf.get(name) == streams.ROCKSDB and own.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert before == (spark.conf.get(name), spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.shared_folder(own) == session.shared_folder(spark)
+
+
+@pytest.mark.parametrize("split", ["100", "1000", "1m"])
+def test_streamed_lines_have_numbers_in_their_order(spark, tmp_path, split):
+    rnd = random.Random(2)
+    want = {}
+    for name in ("a.log", "b.log", "c.log"):
+        want[name] = [rnd.choice(["", "x", "é" * rnd.randrange(90)]) + f"#{i}" if rnd.random() < 0.8 else "" for i in range(400)]
+        write(spark, tmp_path, name, want[name])
+    own = streams.own_session(spark)
+    for key, value in (("files.maxPartitionBytes", split), ("files.openCostInBytes", split), ("execution.arrow.maxRecordsPerBatch", "7")):
+        own.conf.set(f"spark.sql.{key}", value)
+    found = {}
+    for r in streams.run_available(streams.read_text_stream(own, str(tmp_path)), "n").collect():
+        found.setdefault(r.source_file.rsplit("/", 1)[-1], []).append((r.line_number, r.line))
+    assert {name: [line for _, line in sorted(rows)] for name, rows in found.items()} == want
+    assert all(len({n for n, _ in rows}) == len(rows) for rows in found.values())
+    if split == "1m":
+        assert sorted(n for n, _ in found["a.log"]) == list(range(1, 401))
+
+
 @pytest.fixture
 def rocksdb(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, streams.ROCKSDB)
-    yield
-    spark.conf.set(name, before)
+    return streams.own_session(spark, 8, rocksdb=True)
 
 
 def test_counters_continue_and_expire(spark, tmp_path, rocksdb):
@@ -42,7 +68,7 @@ def test_counters_continue_and_expire(spark, tmp_path, rocksdb):
     for i, clocks in enumerate((["03:00:00", "03:10:00"], ["03:20:00"], ["06:00:00"], ["06:01:00"])):
         write(spark, tmp_path, f"{i}.log", [ssh(c) for c in clocks])
         # One file per run; the folder name stands for the log's name.
-        lines = streams.read_text_stream(spark, str(tmp_path)).withColumn("source_file", F.lit("f"))
+        lines = streams.read_text_stream(rocksdb, str(tmp_path)).withColumn("source_file", F.lit("f"))
         query = streams.running_counters(streams.events(lines, 2024)).writeStream.format("parquet").outputMode(
             "append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -74,11 +100,10 @@ def test_counters_do_not_depend_on_arrival_or_chunks(spark, tmp_path, rocksdb, m
         write(spark, tmp_path, f"{i}.log", rows[i::3])
     found = []
     for rows_at_once, chunk in ((7, 5), (10_000, 100_000)):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+        rocksdb.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
         monkeypatch.setattr(streams._Counter, "CHUNK", chunk)
-        lines = streams.read_text_stream(spark, str(tmp_path)).withColumn("source_file", F.lit("f"))
+        lines = streams.read_text_stream(rocksdb, str(tmp_path)).withColumn("source_file", F.lit("f"))
         timed = streams.events(lines, 2024).withColumn("line_number", F.unix_timestamp("event_time"))
         counted = streams.run_available(streams.running_counters(timed), "t")
         found.append([r["frequency"] for r in counted.orderBy("line_number").collect()])
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found[0] == found[1] == list(range(1, 151))

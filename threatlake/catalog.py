@@ -21,6 +21,8 @@ class Rule(NamedTuple):
     ``hints`` are lower-case literals of which at least one occurs in every
     matching line; they gate the regex.  ``min_tokens`` is an alternative
     condition: the line also matches when it holds that many short numbers.
+    ``published`` is the original text where ``pattern`` differs from it by more
+    than the flag in front.
     """
 
     rule_id: int
@@ -34,6 +36,12 @@ class Rule(NamedTuple):
     source: str = "default"
     as_written_live: bool = True
     min_tokens: int | None = None
+    published: str = ""
+
+    @property
+    def text(self) -> str:
+        """The pattern as it is published and exported; `pattern` is the form the engine runs."""
+        return self.published or f"(?i){self.pattern}"
 
 
 class BenignRule(NamedTuple):
@@ -43,6 +51,7 @@ class BenignRule(NamedTuple):
     multiplier: float
     as_written_live: bool
     priority: int
+    hints: tuple[str, ...]  # as for Rule
 
 
 class CommandRule(NamedTuple):
@@ -164,10 +173,14 @@ ROOT_RULES: tuple[Rule, ...] = (
 # --------------------------------------------------------------------------
 SCAN_RULES: tuple[Rule, ...] = (
     Rule(1, "scan", "Port scan detected", "RECON", 4,
-         r"(?:scan|probe|discover).*port", ("port",), min_tokens=5),
+         # The second arm backtracks without bound, so it is a count of short numbers here.
+         r"(?:scan|probe|discover).*port", ("port",), min_tokens=5,
+         published=r"(?i)(scan|probe|discover).*port|(?:\b\d{1,5}\b.*){5,}"),
     Rule(2, "scan", "Potential brute force attempt", "ATTACK", 4,
          r"(?:failed|invalid|wrong).*(?:login|password|authentication)|authentication\s+failure",
-         ("failed", "invalid", "wrong", "authentication")),
+         ("failed", "invalid", "wrong", "authentication"),
+         # The group is not captured here.
+         published=r"(?i)(failed|invalid|wrong).*(?:login|password|authentication)|authentication\s+failure"),
     Rule(3, "scan", "Suspicious outbound connection", "MALWARE", 3,
          r"(?:outbound|external).*(?:connection|traffic).*(?:unknown|suspicious|malicious)",
          ("connection", "traffic")),
@@ -246,25 +259,25 @@ THREAT_RULES: tuple[Rule, ...] = (
 # Benign traffic, with the place in which each rule is tried.
 # --------------------------------------------------------------------------
 BENIGN_RULES: tuple[BenignRule, ...] = (
-    BenignRule("Internal DNS query", r"dns.*query.*(?:\.local|\.internal)", 500, 0.1, False, 10),
+    BenignRule("Internal DNS query", r"dns.*query.*(?:\.local|\.internal)", 500, 0.1, False, 10, ("dns",)),
     BenignRule("Common External DNS query",
-               r"dns.*query.*(?:google\.com|microsoft\.com|windowsupdate\.com)", 200, 0.3, False, 9),
-    BenignRule("Failed DNS response", r"dns.*response.*(?:NXDOMAIN|SERVFAIL)", 100, 0.7, True, 11),
-    BenignRule("Internal ARP request", r"arp.*who-has.*" + INTERNAL_PREFIX, 1000, 0.1, False, 5),
-    BenignRule("Internal ARP reply", r"arp.*reply.*" + INTERNAL_PREFIX, 1000, 0.1, False, 6),
-    BenignRule("DHCP discover", r"dhcp.*discover", 50, 0.2, True, 12),
-    BenignRule("DHCP offer", r"dhcp.*offer", 50, 0.2, True, 13),
-    BenignRule("Internal TCP SYN", r"tcp.*syn.*" + INTERNAL_PREFIX, 1000, 0.2, False, 7),
+               r"dns.*query.*(?:google\.com|microsoft\.com|windowsupdate\.com)", 200, 0.3, False, 9, ("dns",)),
+    BenignRule("Failed DNS response", r"dns.*response.*(?:NXDOMAIN|SERVFAIL)", 100, 0.7, True, 11, ("dns",)),
+    BenignRule("Internal ARP request", r"arp.*who-has.*" + INTERNAL_PREFIX, 1000, 0.1, False, 5, ("arp",)),
+    BenignRule("Internal ARP reply", r"arp.*reply.*" + INTERNAL_PREFIX, 1000, 0.1, False, 6, ("arp",)),
+    BenignRule("DHCP discover", r"dhcp.*discover", 50, 0.2, True, 12, ("dhcp",)),
+    BenignRule("DHCP offer", r"dhcp.*offer", 50, 0.2, True, 13, ("dhcp",)),
+    BenignRule("Internal TCP SYN", r"tcp.*syn.*" + INTERNAL_PREFIX, 1000, 0.2, False, 7, ("tcp",)),
     BenignRule("Internal TCP handshake ACK",
-               r"tcp.*(?:syn-ack|ack).*" + INTERNAL_PREFIX, 1000, 0.2, False, 3),
+               r"tcp.*(?:syn-ack|ack).*" + INTERNAL_PREFIX, 1000, 0.2, False, 3, ("tcp",)),
     BenignRule("External TCP SYN",
-               r"^(?!.*" + INTERNAL_PREFIX + r").*tcp.*syn", 150, 0.6, True, 8),
+               r"^(?!.*" + INTERNAL_PREFIX + r").*tcp.*syn", 150, 0.6, True, 8, ("tcp",)),
     BenignRule("Internal HTTP request",
-               r"http.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False, 2),
+               r"http.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False, 2, ("http",)),
     BenignRule("Internal HTTPS request",
-               r"https.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False, 1),
-    BenignRule("NTP client", r"ntp.*client", 50, 0.2, True, 14),
-    BenignRule("Internal SMB negotiation", r"smb.*negotiate.*" + INTERNAL_PREFIX, 100, 0.4, False, 4),
+               r"https.*(?:GET|POST)\s+/(?!admin|login|wp-admin).*" + INTERNAL_PREFIX, 500, 0.3, False, 1, ("https",)),
+    BenignRule("NTP client", r"ntp.*client", 50, 0.2, True, 14, ("ntp",)),
+    BenignRule("Internal SMB negotiation", r"smb.*negotiate.*" + INTERNAL_PREFIX, 100, 0.4, False, 4, ("smb",)),
 )
 BENIGN_HIGH_FREQUENCY_FACTOR = 1.5
 BENIGN_SUPPRESS_BELOW = 1.5

@@ -107,7 +107,7 @@ def trust_reasons(base: Column, description: Column, path: Column, path_ok: Colu
 def command_hits(command: Column) -> Column:
     """One boolean per command rule, in catalogue order."""
     given = F.coalesce(command, F.lit(""))
-    return F.array(*[given.rlike(text.regex(r.pattern)) for r in catalog.COMMAND_RULES])
+    return text.by_alphabet(given, lambda form: F.array(*[given.rlike(form(r.pattern)) for r in catalog.COMMAND_RULES]))
 
 
 def command_risk(hits: Column) -> Column:
@@ -284,8 +284,8 @@ def context_text(head: list[Column], reasons: Column, correlated: Column, relate
 
 def simple_process_risk(name: Column, command: Column) -> Column:
     """0.2 for a benign name, else by name and arguments."""
-    odd_name = F.when(name.rlike(text.regex(catalog.SUSPICIOUS_NAME)), 2.0).otherwise(0.0)
-    odd_args = F.when(F.coalesce(command, F.lit("")).rlike(text.regex(catalog.SUSPICIOUS_ARGS)), 1.5).otherwise(0.0)
+    odd_name = F.when(text.matches(name, catalog.SUSPICIOUS_NAME), 2.0).otherwise(0.0)
+    odd_args = F.when(text.matches(F.coalesce(command, F.lit("")), catalog.SUSPICIOUS_ARGS), 1.5).otherwise(0.0)
     return F.when(F.lower(name).isin(*catalog.BENIGN_PROCESSES), 0.2).otherwise(odd_name + odd_args)
 
 

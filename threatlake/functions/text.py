@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,19 @@ def unicode_regex(pattern: str) -> str:
     return catalog.UNICODE_FLAGS + pattern
 
 
+def by_alphabet(column: Column, make: Callable[[Callable[[str], str]], Column]) -> Column:
+    """`make` of the ASCII patterns for plain values, of the Unicode ones for all others.
+
+    `make` takes the function that turns a pattern into a regex.  White space, digits and word
+    characters beyond ASCII count as such, so no-break spaces do not hide a match.
+    """
+    return F.when(is_plain_ascii(column), make(regex)).otherwise(make(unicode_regex))
+
+
+def matches(column: Column, pattern: str) -> Column:
+    return by_alphabet(column, lambda form: column.rlike(form(pattern)))
+
+
 def non_empty(value: Column) -> Column:
     return F.coalesce(value != "", F.lit(False))
 

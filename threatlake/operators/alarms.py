@@ -122,9 +122,14 @@ def service_rates(events: DataFrame) -> DataFrame:
         "service", "per_minute_limit", _start(), "requests")
 
 
+def is_dns_query() -> Column:
+    """Whether a connection goes to the DNS service."""
+    return (F.col("dest_port") == 53) & (F.upper("protocol") == "UDP")
+
+
 def dns_rates(events: DataFrame, limit: int = catalog.LIMIT_DNS_PER_MINUTE) -> DataFrame:
-    """Sources with more DNS queries (port 53) per minute than allowed."""
-    known = events.filter((F.col("dest_port") == 53) & F.col("event_time").isNotNull())
+    """Sources with more DNS queries (port 53 over UDP, as the service table has it) per minute than allowed."""
+    known = events.filter(is_dns_query() & F.col("event_time").isNotNull())
     return known.groupBy("source_ip", _windowed("1 minute").alias("w")).agg(
         F.count(F.lit(1)).alias("queries")).filter(F.col("queries") > limit).select(
         "source_ip", _start(), "queries")

@@ -93,7 +93,7 @@ def suspicious_process(name: Column) -> Column:
     """Process-name patterns of the network rule set (Q13)."""
     cond = F.lit(False)
     for pattern in catalog.SUSPICIOUS_PROCESS_PATTERNS:
-        cond = cond | name.rlike(text.regex(pattern))
+        cond = cond | text.matches(name, pattern)
     return F.coalesce(cond, F.lit(False))
 
 

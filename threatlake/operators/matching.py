@@ -7,6 +7,8 @@ A literal gate in front of each regex rejects most lines by a byte search.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,14 +171,20 @@ def benign_longest_first() -> list[catalog.BenignRule]:
 
 def benign_rule(lines: DataFrame, column: str = "line", out: str = "benign") -> DataFrame:
     """Adds the first matching benign rule (description, max_freq, multiplier) or NULL."""
-    hit = None
-    for rule in benign_longest_first():
-        value = F.struct(F.lit(rule.description).alias("description"),
-                         F.lit(rule.max_freq).alias("max_freq"),
-                         F.lit(rule.multiplier).alias("multiplier"))
-        cond = F.col(column).rlike(text.regex(rule.pattern))
-        hit = F.when(cond, value) if hit is None else hit.when(cond, value)
-    return text.computed_once(lines, out, hit)
+    def first_hit(form: Callable[[str], str]) -> Column:
+        hit = None
+        for rule in benign_longest_first():
+            value = F.struct(F.lit(rule.description).alias("description"),
+                             F.lit(rule.max_freq).alias("max_freq"),
+                             F.lit(rule.multiplier).alias("multiplier"))
+            cond = text.has_any(F.col("_low"), rule.hints) & F.col(column).rlike(form(rule.pattern))
+            # Case folding beyond ASCII knows more letters than `lower`: no gate there.
+            cond = cond if form is text.regex else F.col(column).rlike(form(rule.pattern))
+            hit = F.when(cond, value) if hit is None else hit.when(cond, value)
+        return hit
+
+    staged = lines.withColumn("_low", F.lower(column))
+    return text.computed_once(staged, out, text.by_alphabet(F.col(column), first_hit)).drop("_low")
 
 
 def benign_verdict(frequency: Column, benign: Column) -> tuple[Column, Column]:

@@ -156,6 +156,26 @@ def _heads(is_net: Column) -> Column:
     return F.when(is_net, network).otherwise(process)
 
 
+def _with_reasons(scored: DataFrame, is_net: Column) -> DataFrame:
+    c = F.col
+    df = scored.withColumn("mitigation_reason", F.when(c("mitigated"), F.when(
+        is_net, scoring.network_mitigation_reason(c("connection_risk"), c("trust"), c("unmitigated_risk"))).otherwise(
+        scoring.process_mitigation_reason(c("trust"), c("command_risk"), c("unmitigated_risk")))))
+    return df.withColumn("reasons", _contributors(is_net))
+
+
+def _of_rule(rule: Column) -> tuple[Column, Column]:
+    """Indicators and risk factors of a rule's verdict."""
+    indicator = F.array(F.struct(
+        F.lit("PatternMatch").alias("type"), rule["category"].alias("category"),
+        rule["description"].alias("description"), rule["severity"].alias("severity"))).cast(schemas.INDICATORS)
+    factor = F.array(F.struct(
+        F.lit("PatternMatch").alias("name"), rule["category"].alias("category"),
+        rule["description"].alias("description"), rule["severity"].cast("double").alias("score"),
+        F.lit(None).cast("map<string,string>").alias("context"))).cast(schemas.RISK_FACTORS)
+    return indicator, factor
+
+
 def dynamic_findings(scored: DataFrame, least: int = 2, related: DataFrame | None = None) -> DataFrame:
     """Findings of scored events: indicators, risk factors and context.
 
@@ -165,10 +185,7 @@ def dynamic_findings(scored: DataFrame, least: int = 2, related: DataFrame | Non
     c = F.col
     is_net = c("kind") == schemas.NETWORK
     df = text.keep_where(scored, ~c("suppressed") & (c("dynamic_severity") >= least))
-    df = df.withColumn("mitigation_reason", F.when(c("mitigated"), F.when(
-        is_net, scoring.network_mitigation_reason(c("connection_risk"), c("trust"), c("unmitigated_risk"))).otherwise(
-        scoring.process_mitigation_reason(c("trust"), c("command_risk"), c("unmitigated_risk")))))
-    df = df.withColumn("reasons", _contributors(is_net))
+    df = _with_reasons(df, is_net)
     listed = None
     if related is not None:
         # At most five short rows per event.
@@ -199,13 +216,7 @@ def choose_verdicts(rule_lines: DataFrame, dynamic: DataFrame) -> DataFrame:
     both = ruled.join(dynamic, LINE_KEY, "full_outer")
     wins = prefers_dynamic(c("severity"), c("rule"))
     rule = c("rule")
-    indicator = F.array(F.struct(
-        F.lit("PatternMatch").alias("type"), rule["category"].alias("category"),
-        rule["description"].alias("description"), rule["severity"].alias("severity"))).cast(schemas.INDICATORS)
-    factor = F.array(F.struct(
-        F.lit("PatternMatch").alias("name"), rule["category"].alias("category"),
-        rule["description"].alias("description"), rule["severity"].cast("double").alias("score"),
-        F.lit(None).cast("map<string,string>").alias("context"))).cast(schemas.RISK_FACTORS)
+    indicator, factor = _of_rule(rule)
     return both.withColumn("_wins", wins).select(
         *LINE_KEY, F.coalesce("line", "_line").alias("content"),
         F.when(c("_wins"), c("severity")).otherwise(rule["severity"]).alias("severity"),
@@ -219,7 +230,7 @@ def choose_verdicts(rule_lines: DataFrame, dynamic: DataFrame) -> DataFrame:
 
 
 def stateless_findings(lines: DataFrame, default_year: int | None = None) -> DataFrame:
-    """Findings from each line alone: rules, and scores of an event seen once.
+    """Findings from each line alone, with all their columns: rules, and scores of an event seen once.
 
     No shuffle and no state, so it also runs on a stream.
     """
@@ -231,11 +242,18 @@ def stateless_findings(lines: DataFrame, default_year: int | None = None) -> Dat
     scored = scored.withColumn("_dynamic", F.when(known, c("dynamic_severity")))
     wins = prefers_dynamic(c("_dynamic"), c("rule"))
     kept = text.keep_where(scored.withColumn("_wins", wins), c("_wins") | c("rule").isNotNull())
+    is_net = c("kind") == schemas.NETWORK
+    kept = _with_reasons(kept, is_net)
+    indicator, factor = _of_rule(c("rule"))
+    context = F.concat(F.array_join(_heads(is_net), "\n"), scoring.context_text([F.lit("")], c("reasons"), c("correlated"), None))
     return kept.select(
         *LINE_KEY, c("line").alias("content"), "event_time", "kind",
         F.when(c("_wins"), c("_dynamic")).otherwise(c("rule")["severity"]).alias("severity"),
         F.when(c("_wins"), c("risk")).alias("risk"),
         F.when(~c("_wins"), c("rule")["category"]).alias("category"),
+        F.when(c("_wins"), scoring.indicators_of(c("reasons"), ~is_net)).otherwise(indicator).alias("indicators"),
+        F.when(c("_wins"), _risk_factors(is_net)).otherwise(factor).alias("risk_factors"),
+        F.when(c("_wins"), context).alias("context"), c("correlated").alias("event_count"),
         F.when(c("_wins"), "dynamic").otherwise("rule").alias("verdict_source"))
 
 

@@ -32,8 +32,8 @@ def assess_events(events: DataFrame) -> DataFrame:
     df = df.withColumns({
         "network_risk": F.when(is_net, scoring.simple_network_risk(
             c("uncommon_port"), c("high_rate"), c("after_hours"))),
-        "_odd_name": ~c("_benign") & c("process_name").rlike(text.regex(catalog.SUSPICIOUS_NAME)),
-        "_odd_args": ~c("_benign") & F.coalesce("command_line", F.lit("")).rlike(text.regex(catalog.SUSPICIOUS_ARGS)),
+        "_odd_name": ~c("_benign") & text.matches(c("process_name"), catalog.SUSPICIOUS_NAME),
+        "_odd_args": ~c("_benign") & text.matches(F.coalesce("command_line", F.lit("")), catalog.SUSPICIOUS_ARGS),
     })
     df = df.withColumn("total", F.coalesce("process_risk", F.lit(0.0)) + F.coalesce("network_risk", F.lit(0.0)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,9 @@ SETTINGS = {
 START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+_single_process: dict[str, str] = {}
+
+
 def builder(app_name: str = "threatlake") -> SparkSession.Builder:
     out = SparkSession.builder.appName(app_name)
     for key, value in {**SETTINGS, **START_SETTINGS}.items():
@@ -38,14 +42,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can write: `spark.checkpoint.dir`.
 
-    Only a local session may go without the setting; it then gets a temporary folder.
+    Only a program whose executors are threads of its own, as in tests, may go without the
+    setting; all its sessions then share one temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="threatlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _single_process:
+            _single_process[application] = tempfile.mkdtemp(prefix="threatlake-")
+        folder = _single_process[application]
     return folder
 
 

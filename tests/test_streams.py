@@ -60,13 +60,13 @@ def test_streamed_lines_have_numbers_in_their_order(spark, tmp_path, split):
 
 @pytest.fixture
 def rocksdb(spark):
-    return streams.own_session(spark, 8, rocksdb=True)
+    return streams.own_session(spark, 2, rocksdb=True)
 
 
 def test_counters_continue_and_expire(spark, tmp_path, rocksdb):
     out, state = session.new_folder(spark, "out"), session.new_folder(spark, "state")
-    for i, clocks in enumerate((["03:00:00", "03:10:00"], ["03:20:00"], ["06:00:00"], ["06:01:00"])):
-        write(spark, tmp_path, f"{i}.log", [ssh(c) for c in clocks])
+    for i, clocks in enumerate((["03:00:00", "03:10:00"], ["03:20:00"], ["06:00:00"], ["06:01:00"], ["23:00:00"])):
+        write(spark, tmp_path, f"{i}.log", [ssh(c) for c in clocks])  # the last one closes the blocks before it
         # One file per run; the folder name stands for the log's name.
         lines = streams.read_text_stream(rocksdb, str(tmp_path)).withColumn("source_file", F.lit("f"))
         query = streams.running_counters(streams.events(lines, 2024)).writeStream.format("parquet").outputMode(
@@ -92,18 +92,39 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert counts["03:05"] == 1 and max(counts.values()) == 1
 
 
-def test_counters_do_not_depend_on_arrival_or_chunks(spark, tmp_path, rocksdb, monkeypatch):
-    """One busy key, its rows out of order and over several files; any chunk size gives the same counts."""
-    rows = [ssh(f"03:{i // 60:02d}:{i % 60:02d}") for i in range(150)]
-    rows = rows[::-1][::2] + rows[::-1][1::2]
-    for i in range(3):
-        write(spark, tmp_path, f"{i}.log", rows[i::3])
+def test_counters_do_not_depend_on_arrival(spark, tmp_path, rocksdb):
+    """One busy key, its rows out of order and over several files, and a pause of over an hour."""
+    rows = [ssh(f"03:{i // 60:02d}:{i % 60:02d}") for i in range(0, 240)] + [ssh(f"04:{i:02d}:01") for i in range(4, 7)] + [ssh("04:04:01")]
     found = []
-    for rows_at_once, chunk in ((7, 5), (10_000, 100_000)):
-        rocksdb.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
-        monkeypatch.setattr(streams._Counter, "CHUNK", chunk)
-        lines = streams.read_text_stream(rocksdb, str(tmp_path)).withColumn("source_file", F.lit("f"))
-        timed = streams.events(lines, 2024).withColumn("line_number", F.unix_timestamp("event_time"))
-        counted = streams.run_available(streams.running_counters(timed), "t")
-        found.append([r["frequency"] for r in counted.orderBy("line_number").collect()])
-    assert found[0] == found[1] == list(range(1, 151))
+    for seed in range(2):
+        folder = tmp_path / str(seed)
+        folder.mkdir()
+        random.Random(seed).shuffle(rows)
+        for i in range(3):
+            write(spark, folder, f"{i}.log", rows[i::3])
+        lines, close = streams.closable(streams.read_text_stream(rocksdb, str(folder)).withColumn("source_file", F.lit("f")))
+        timed = streams.events(lines, 2024)
+        numbered = timed.withColumn("line_number", F.unix_timestamp("event_time"))
+        counted = streams.run_available(streams.running_counters(numbered), "t", close=close)
+        found.append([r["frequency"] for r in counted.orderBy("line_number", "frequency").collect()])
+    assert found[0] == found[1] == [*range(1, 241), 1, 2, 3, 4]
+
+
+def test_a_busy_key_reaches_the_counter_as_blocks(spark):
+    import pandas as pd
+    end = pd.to_datetime(["2024-01-01 00:00:10", "2024-01-01 00:00:20", "2024-01-01 02:00:10"])
+    us = [int(t.timestamp() * 1e6) for t in end]
+    chunk = pd.DataFrame({"block_end": end, "events": [2_000_000, 5, 7], "first_us": us, "last_us": us})
+
+    class Handle:
+        def deleteTimer(self, at): pass
+        def registerTimer(self, at): self.at = at
+
+    class Value:
+        def exists(self): return False
+        def update(self, value): self.value = value
+
+    counter = streams._Counter()
+    counter._handle, counter._count = Handle(), Value()
+    out, = counter.handleInputRows(("f", "k", "s"), iter([chunk.iloc[[2]], chunk.iloc[[0, 1]]]), None)
+    assert out["base"].tolist() == [0, 2_000_000, 0] and counter._count.value == (7, us[2])

@@ -29,6 +29,16 @@ DELAY = "5 minutes"
 LIFETIME_MS = 3_600_000
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Changes instead of snapshots after each micro-batch, no count of all rows beside them, no space set aside.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
 def own_session(spark: SparkSession, state_partitions: int | None = None, rocksdb: bool = False) -> SparkSession:
     """A session for streams, so that their settings are not the caller's.
 
@@ -38,7 +48,8 @@ def own_session(spark: SparkSession, state_partitions: int | None = None, rocksd
     own = session.prepare(spark.newSession())
     own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
     if rocksdb:
-        own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        for name, value in STATE_SETTINGS.items():
+            own.conf.set(name, value)
     return own
 
 
@@ -103,44 +114,30 @@ def retained(stream: DataFrame) -> DataFrame:
 
 
 class _Counter(StatefulProcessor):
-    """Counts a key's events; the count is forgotten an hour after its last event.
+    """How many events of a key come before each of its closed time blocks; forgotten an hour after the last.
 
-    A batch's rows of a key are counted in time order, however they arrive: two
-    numbers of each are held and sorted, 16 bytes a row, and counts leave in chunks.
+    Sees one row for each block, however many events the block has, and keeps two numbers.
     """
 
-    CHUNK = 100_000
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._count = handle.getValueState("count", "n bigint, last_ms bigint")
+        self._count = handle.getValueState("count", "n bigint, last_us bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n, last = self._count.get() if self._count.exists() else (0, 0)
+        n, last = self._count.get() if self._count.exists() else (0, None)
         before = last
-        parts = [(chunk["event_time"].to_numpy().astype("datetime64[us]").astype("int64"),
-                  chunk["line_number"].to_numpy()) for chunk in rows]
-        micros, numbers = (np.concatenate([p[i] for p in parts]) for i in range(2))
-        order = np.lexsort((numbers, micros))
-        for at in range(0, len(order), self.CHUNK):
-            some = order[at: at + self.CHUNK]
-            ms = micros[some] // 1000
-            previous = np.maximum.accumulate(np.concatenate([[last], ms[:-1]]))
-            anew = (ms - previous > LIFETIME_MS) & (previous > 0)
-            position = np.arange(1, len(ms) + 1)
-            # Rows before the first new start continue the stored count.
-            base = np.maximum.accumulate(np.where(anew, position - 1, -1))
-            frequency = np.where(base >= 0, position - base, position + n)
-            yield pd.DataFrame({
-                "source_file": key[0], "freq_key": key[1], "freq_source": key[2],
-                "line_number": numbers[some], "frequency": frequency,
-            })
-            n, last = int(frequency[-1]), max(last, int(ms[-1]))
+        blocks = pd.concat(list(rows)).sort_values("block_end")
+        bases = []
+        for events, first_us, last_us in blocks[["events", "first_us", "last_us"]].itertuples(index=False, name=None):
+            if last is not None and first_us - last > LIFETIME_MS * 1000:
+                n = 0
+            bases.append(n)
+            n, last = n + int(events), int(last_us)
         self._count.update((n, last))
-        if last > before:
-            if before:
-                self._handle.deleteTimer(before + LIFETIME_MS)
-            self._handle.registerTimer(last + LIFETIME_MS)
+        if before is not None:
+            self._handle.deleteTimer(before // 1000 + LIFETIME_MS)
+        self._handle.registerTimer(last // 1000 + LIFETIME_MS)
+        yield pd.DataFrame({"k_file": key[0], "k_key": key[1], "k_source": key[2], "k_end": blocks["block_end"].to_numpy(), "base": bases})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self._count.clear()
@@ -153,21 +150,38 @@ class _Counter(StatefulProcessor):
 # The counter travels with its code: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-COUNTER_SCHEMA = ("source_file string, freq_key string, freq_source string, line_number bigint, frequency bigint")
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BASES = "k_file string, k_key string, k_source string, k_end timestamp, base bigint"
+
 
 
 def running_counters(stream: DataFrame) -> DataFrame:
     """Running count of each event's key, forgotten after an hour without one.
 
-    Needs the RocksDB state store: set
-    `spark.sql.streaming.stateStore.providerClass` to `ROCKSDB`.
+    A key's events are cut into blocks of ten seconds of event time, counted before they are
+    shuffled.  Once the watermark closes a block, the counter of its key gives the number of
+    events before it, and a join on the block adds that to each event's place inside.  So only
+    the events of ten seconds meet in one row, a busy key weighs on the counter by its blocks, and
+    the result does not depend on the order of arrival.  A missing part of a key counts as empty.
+
+    Needs the RocksDB state store: `own_session(spark, rocksdb=True)`.
     """
+    c = F.col
+    keys = ["source_file", "freq_key", "freq_source"]
     keyed = running.with_frequency_key(stream).select(
-        "source_file", "freq_key", "freq_source", "line_number", "event_time")
-    return keyed.groupBy("source_file", "freq_key", "freq_source").transformWithStateInPandas(
-        statefulProcessor=_Counter(), outputStructType=COUNTER_SCHEMA, outputMode="Append",
-        timeMode="EventTime")
+        "source_file", *[F.coalesce(k, F.lit("")).alias(k) for k in keys[1:]], "line_number", "event_time")
+    block = F.window("event_time", f"{running.TIME_BLOCK} seconds")
+    blocks = keyed.groupBy(block.alias("w"), *keys).agg(
+        F.count(F.lit(1)).alias("events"), F.min(F.unix_micros("event_time")).alias("first_us"), F.max(F.unix_micros("event_time")).alias("last_us"))
+    bases = blocks.select(*keys, F.window_time("w").alias("block_end"), "events", "first_us", "last_us").groupBy(
+        *keys).transformWithStateInPandas(statefulProcessor=_Counter(), outputStructType=BASES, outputMode="Append",
+                                          timeMode="EventTime", eventTimeColumnName="k_end")
+    # The places inside a block: its events in the order of their times.
+    places = keyed.groupBy(block.alias("w"), *keys).agg(F.array_sort(F.collect_list(F.struct("event_time", "line_number"))).alias("rows"))
+    places = places.select(*keys, F.window_time("w").alias("block_end"), "rows")
+    joined = places.join(bases, (c("source_file") == c("k_file")) & (c("freq_key") == c("k_key")) & (
+        c("freq_source") == c("k_source")) & (c("block_end") == c("k_end")))
+    return joined.select(*keys, "base", F.posexplode(c("rows")["line_number"]).alias("_place", "line_number")).select(
+        *keys, "line_number", (c("base") + c("_place") + 1).alias("frequency"))
 
 
 def hourly_baseline(stream: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from checks.oracle_base import benign_case, q, sql, values
 from checks.registry import query
-from checks.streams import DNS_EVENTS, dns_line
 from checks.scores import _TYPED
+from checks.sources_events import NUMBERED, chunk_of, written_lines
+from checks.streams import DNS_EVENTS, dns_line
 from checks.tables import YEAR, Tables
-from threatlake import catalog
+from threatlake import catalog, session
 from threatlake.operators import alarms, extract, lookups, matching, report, running
-from threatlake.sources import reference
+from threatlake.sources import logs, reference
 
 c = F.col
 KEY = "source_file, line_number"
@@ -184,6 +185,20 @@ def _(t: Tables) -> DataFrame:
     return ruled.join(before, ["source_file", "line_number"])
 
 
+@query("w1_split_context", sql("root_hits", f"""
+WITH n AS ({NUMBERED}), b AS (SELECT chunk, line_number, event_id, coalesce(array_to_string(list(line) OVER (PARTITION BY chunk ORDER BY line_number
+    ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), chr(10)), '') AS previous FROM n)
+SELECT chunk, line_number, previous FROM b WHERE event_id + 1 IN (SELECT line_number FROM root_hits)"""))
+def _(t: Tables) -> DataFrame:
+    # Text files in several splits each: their lines stay where they are read.
+    spark = t.spark.newSession()
+    session.prepare(spark).conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    lines = logs.clean_lines(logs.read_text(spark, written_lines(t)))
+    ruled = session.land(matching.best_rule(lines), "ruled")
+    found = running.preceding_lines(ruled, c("rule").isNotNull())
+    return found.select(chunk_of(c("source_file")), "line_number", F.array_join("previous", "\n").alias("previous"))
+
+
 @query("w2_running_frequency", sql("scored", f"SELECT {KEY}, frequency FROM dyn"))
 def _(t: Tables) -> DataFrame:
     return running.running_frequency(t.parsed)

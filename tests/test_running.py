@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from threatlake import session
 from threatlake.operators import alarms, extract, report, running, triage
 from threatlake.plans import scan
 
@@ -105,6 +106,37 @@ def test_preceding_lines(spark, block):
     assert got == want
 
 
+def contexts(rows, before=5):
+    """(file, number, line, wanted) rows in order, brute force."""
+    return {(f, n): [r[2] for r in rows[:i] if r[0] == f][-before:] for i, (f, n, _, w) in enumerate(rows) if w}
+
+
+@pytest.mark.parametrize("parts, at_once", [(1, 10_000), (3, 7), (11, 64)])
+def test_context_of_ordered_tables_leaves_the_lines_where_they_are(spark, monkeypatch, parts, at_once):
+    rnd = random.Random(6)
+    rows = [(f, n, f"{f}{n}", rnd.random() < 0.1) for f in ("a", "b", "c") for n in range(1, 900) if rnd.random() < 0.6 and not 300 < n < 1400 + len(f)]
+    rows += [("d", n, f"d{n}", True) for n in (1, 2, 5000, 5001, 9000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "source_file string, line_number bigint, line string, wanted boolean")
+    df = session.land(df, "ordered")
+    monkeypatch.setattr(running, "_within_blocks", None)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, at_once)
+    try:
+        got = running.preceding_lines(df, F.col("wanted"))
+        found = {(r["source_file"], r["line_number"]): r["previous"] for r in got.collect()}
+    finally:
+        spark.conf.unset(name)
+    assert found == contexts(rows) and got.columns == [*df.columns, "previous"]
+
+
+def test_context_of_lines_dealt_out_in_any_way(spark, monkeypatch):
+    rows = [("a", n, f"a{n}", n % 9 == 0) for n in range(1, 2000)]
+    df = session.land(spark.createDataFrame(rows, "source_file string, line_number bigint, line string, wanted boolean").repartition(4), "dealt")
+    monkeypatch.setattr(running, "_within_stretches", None)
+    found = {(r["source_file"], r["line_number"]): r["previous"] for r in running.preceding_lines(df, F.col("wanted")).collect()}
+    assert found == contexts(rows)
+
+
 def test_ordinals_and_bundles(spark):
     rows = [(f, n * 7, "text", 3, [("t", "C", f"d{n}", 3)]) for f in ("a", "b") for n in range(1, 124)]
     df = spark.createDataFrame(rows, "source_file string, line_number bigint, content string, severity int, "

@@ -7,16 +7,27 @@ crosses between blocks.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatlake import catalog, schemas
+from threatlake import catalog, schemas, session
 from threatlake.functions import times
 
 # Lines per block of a file, and seconds per block of a key's time line: ten seconds hold at most ten
 # million distinct stamps, however busy the key.
 LINE_BLOCK = 250_000
 TIME_BLOCK = 10
+# A wider gap in a file's line numbers begins a new stretch of lines; it matters for the cost only.
+STRETCH_GAP = 1_000
+
+# Functions for the workers travel with their code: they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def running_sum(rows: DataFrame, keys: list[str], order: str, block: Column,
@@ -234,6 +245,128 @@ def preceding_lines(lines: DataFrame, wanted: Column, before: int = 5,
                     block_lines: int = LINE_BLOCK) -> DataFrame:
     """For the `wanted` lines, adds `previous`: up to `before` preceding lines of the file.
 
+    Where each task holds stretches of files in order, as scans of text and of tables written by
+    such scans do, no line is shuffled but the last ones of each stretch and the wanted ones
+    within `before` lines of its begin.  That is tested on the bounds of the stretches.  Lines
+    that were dealt out in any other way are put together by blocks of their numbers.
+    """
+    placed = keyed_rows(lines).select("*", wanted.alias("_wanted"))
+    bounds = session.land(placed.select("source_file", "line_number").mapInArrow(_stretches(0), STRETCHES), "stretches")
+    count, total = bounds.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Very many short stretches are no order worth testing.
+    if count * 20 <= total and _overlapping(bounds).isEmpty():
+        return _within_stretches(placed, before)
+    return _within_blocks(lines, wanted, before, block_lines)
+
+
+def _overlapping(bounds: DataFrame) -> DataFrame:
+    """Stretches that begin before an earlier one of their file ends; a row for each stretch is ordered, none for lines."""
+    earlier = Window.partitionBy("source_file").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    return bounds.select("first", F.max("last").over(earlier).alias("_reached")).filter("first <= _reached")
+
+
+STRETCHES = "source_file string, first bigint, last bigint, n bigint, tail array<string>"
+
+
+class _Stretch:
+    """Cuts a task's rows into stretches: lines of one file with rising numbers and no wide gap."""
+
+    def __init__(self) -> None:
+        self.file, self.number, self.first = None, None, None
+
+    def cut(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where stretches begin in a batch, the number each row's stretch began with, and the numbers."""
+        numbers = batch.column(batch.schema.get_field_index("line_number")).to_numpy(zero_copy_only=False)
+        files = batch.column(batch.schema.get_field_index("source_file")).dictionary_encode()
+        codes = files.indices.to_numpy(zero_copy_only=False)
+        step = np.diff(numbers)
+        fresh = np.concatenate([[True], (codes[1:] != codes[:-1]) | (step <= 0) | (step > STRETCH_GAP)])
+        name = files.dictionary[int(codes[0])].as_py()
+        goes_on = name == self.file and 0 < numbers[0] - self.number <= STRETCH_GAP
+        fresh[0] = not goes_on
+        first = np.where(fresh, numbers, 0)
+        if goes_on:
+            first[0] = self.first
+        begins = np.flatnonzero(fresh | (np.arange(len(fresh)) == 0))
+        first = np.repeat(first[begins], np.diff(np.append(begins, len(first))))
+        self.file, self.number, self.first = files.dictionary[int(codes[-1])].as_py(), int(numbers[-1]), int(first[-1])
+        return np.flatnonzero(fresh), first, numbers
+
+
+def _stretches(before: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The stretches of a task, with their last `before` lines; see STRETCHES."""
+    names = ["source_file", "first", "last", "n", "tail"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, open_row = _Stretch(), None
+        for batch in batches:
+            if not len(batch):
+                continue
+            begins, first, numbers = stretch.cut(batch)
+            files, texts = batch.column(0), batch.column(2) if before else None
+            edges = np.unique(np.concatenate([[0], begins, [len(batch)]])).tolist()
+            fresh, done = set(begins.tolist()), []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if open_row is not None and a in fresh:
+                    done.append(open_row)
+                    open_row = None
+                n, kept = (open_row[3], open_row[4]) if open_row else (0, [])
+                own = texts.slice(max(a, b - before), b - max(a, b - before)).to_pylist() if before else []
+                open_row = (files[b - 1].as_py(), int(first[b - 1]), int(numbers[b - 1]), n + b - a, (kept + own)[-before:] if before else [])
+            yield _batch(done, names, types)
+        if open_row is not None:
+            yield _batch([open_row], names, types)
+
+    return run
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def _with_local(before: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The wanted rows with `_first`, the begin of their stretch, and `_local`, the lines before them in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, held = _Stretch(), []
+        for batch in batches:
+            if not len(batch):
+                continue
+            begins, first, _ = stretch.cut(batch)
+            texts = held + batch.column(batch.schema.get_field_index("line")).to_pylist()
+            begin = np.zeros(len(batch), dtype=np.int64) - len(held)  # where each row's stretch begins
+            begin[begins] = begins
+            begin = np.maximum.accumulate(begin)
+            rows = np.flatnonzero(batch.column(batch.schema.get_field_index("_wanted")).fill_null(False).to_numpy(zero_copy_only=False))
+            local = [texts[max(begin[i], i - before) + len(held): i + len(held)] for i in rows]
+            kept = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(first[rows]), pa.array(local, pa.list_(pa.string()))], [*kept.schema.names, "_first", "_local"])
+            held = texts[max(begin[-1] + len(held), len(texts) - before):]
+
+    return run
+
+
+def _within_stretches(placed: DataFrame, before: int) -> DataFrame:
+    c = F.col
+    tails = session.land(placed.select("source_file", "line_number", "line").mapInArrow(_stretches(before), STRETCHES), "tails")
+    # Every stretch has a line, so `before` of them are enough.
+    earlier = Window.partitionBy("source_file").orderBy("first").rowsBetween(-before, -1)
+    carry = tails.select(c("source_file").alias("_file"), c("first").alias("_begin"),
+                         F.flatten(F.collect_list("tail").over(earlier)).alias("_carry"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
+    found = session.land(placed.mapInArrow(_with_local(before), f"{kept}, _first bigint, _local array<string>"), "wanted")
+    whole = found.filter(F.size("_local") >= before).withColumn("previous", c("_local"))
+    short = found.filter(F.size("_local") < before).join(carry, (c("source_file") == c("_file")) & (c("_first") == c("_begin")))
+    merged = F.concat(c("_carry"), c("_local"))
+    short = short.withColumn("previous", F.slice(merged, F.greatest(F.size(merged) - before + 1, F.lit(1)), before))
+    drop = ("_wanted", "_first", "_local", "_file", "_begin", "_carry")
+    return whole.drop(*drop).unionByName(short.drop(*drop))
+
+
+def _within_blocks(lines: DataFrame, wanted: Column, before: int, block_lines: int) -> DataFrame:
+    """`preceding_lines` of lines in any order.
+
     Inside a block a row frame does it.  The first lines of a block also need the
     tail of the blocks before: each block passes on its last `before` lines.
     """

@@ -101,6 +101,14 @@ def _(t: Tables) -> DataFrame:
     return alarms.port_scans(t.packets, "60 minutes", 3)
 
 
+@query("a11_scorer_port_scans", sql("packets", f"""
+SELECT source_ip, {bucket(600)} AS window_start, count(DISTINCT dest_port) AS ports, count(*) AS connections
+FROM (SELECT source_file, event_time, source_ip, CAST(dest_port + line_number % 5 AS INTEGER) AS dest_port FROM packets) GROUP BY ALL HAVING count(DISTINCT dest_port) >= 10"""))
+def _(t: Tables) -> DataFrame:
+    spread = t.packets.withColumn("dest_port", (c("dest_port") + c("line_number") % 5).cast("int"))
+    return alarms.port_scans(spread, "600 minutes", catalog.SCORER_PORT_SCAN_LIMIT)
+
+
 @query("a12_failed_logins", sql("ev", f"""
 SELECT source_ip, {bucket(60)} AS window_start, count(*) AS failures FROM ev WHERE status = 'Failed' GROUP BY ALL HAVING count(*) > 5"""))
 def _(t: Tables) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.oracle_base import json_sql, plain_space, rx, sql, values
 from checks.registry import query
 from checks.tables import YEAR, Tables
-from threatlake import catalog
+from threatlake import catalog, session
 from threatlake.functions import net
 from threatlake.operators import lookups, matching, running, search, triage
 from threatlake.plans import scan
@@ -267,6 +267,31 @@ def _(t: Tables) -> DataFrame:
                          net.in_networks(net.ipv4_number(c("source_ip")), catalog.INTERNAL_NETWORKS).alias("is_internal"))
 
 
+#: Blocks of both families, nested ones, a single address, one that cannot be read.
+_BLOCKS = ("10.0.0.0/8", "10.0.0.0/30", "192.168.0.0/16", "45.67.0.2", "0.0.0.0/0", "fe80::/10", "2001:db8::/32", "2001:db8:0:3::/64",
+           "2001:db8:0:3::a/128", "::/0", "bad/8")
+
+
+@query("j9_longest_network", sql("", """
+WITH a AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '10.0.0.' || event_id % 7 WHEN 1 THEN '192.168.' || event_id % 9 || '.1' WHEN 2 THEN '45.67.0.' || event_id % 4
+    WHEN 3 THEN '2001:db8:0:' || event_id % 4 || '::' || ['a', 'b'][event_id % 2 + 1] WHEN 4 THEN 'fe80::' || event_id % 9 ELSE ['x', '2002::1', '300.1.1.1'][event_id % 5 % 3 + 1] END AS ip FROM events)
+SELECT event_id, ip, CASE WHEN starts_with(ip, '10.0.0.') THEN CASE WHEN CAST(split_part(ip, '.', 4) AS INTEGER) < 4 THEN '10.0.0.0/30' ELSE '10.0.0.0/8' END
+    WHEN starts_with(ip, '192.168.') THEN '192.168.0.0/16' WHEN ip = '45.67.0.2' THEN '45.67.0.2' WHEN starts_with(ip, '45.') THEN '0.0.0.0/0'
+    WHEN ip = '2001:db8:0:3::a' THEN '2001:db8:0:3::a/128' WHEN starts_with(ip, '2001:db8:0:3:') THEN '2001:db8:0:3::/64'
+    WHEN starts_with(ip, '2001:db8:') THEN '2001:db8::/32' WHEN starts_with(ip, 'fe80') THEN 'fe80::/10' WHEN ip = '2002::1' THEN '::/0' END AS network FROM a"""))
+def _(t: Tables) -> DataFrame:
+    e = c("event_id")
+
+    def joined(*parts) -> F.Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    ip = (F.when(e % 6 == 0, joined("10.0.0.", e % 7)).when(e % 6 == 1, joined("192.168.", e % 9, ".1")).when(e % 6 == 2, joined("45.67.0.", e % 4))
+          .when(e % 6 == 3, joined("2001:db8:0:", e % 4, "::", F.when(e % 2 == 0, "a").otherwise("b"))).when(e % 6 == 4, joined("fe80::", e % 9))
+          .otherwise(F.element_at(F.array(*map(F.lit, ("x", "2002::1", "300.1.1.1"))), (e % 5 % 3 + 1).cast("int"))))
+    addresses = t.spread(t.table("events")).select("event_id", ip.alias("ip"))
+    return lookups.with_longest_network(addresses, "ip", t.spark.createDataFrame([(b,) for b in _BLOCKS], "network string"))
+
+
 @query("j10_verdict_choice", sql("findings", "SELECT source_file, line_number, severity, verdict_source, round(CASE WHEN wins THEN risk END, 6) AS risk FROM findings"))
 def _(t: Tables) -> DataFrame:
     return t.findings.select("source_file", "line_number", "severity", "verdict_source", F.round("risk", 6).alias("risk"))
@@ -348,6 +373,23 @@ def _(t: Tables) -> DataFrame:
     return hits.unionByName(misses)
 
 
+@query("j13_stored_summaries", sql("findings", f"""WITH {_BUNDLES}
+SELECT md5(text || ':200') AS cache_key, 'run ' || CASE WHEN bundle % 3 = 0 THEN 2 ELSE 1 END || ' of ' || source_file AS summary, true AS hit FROM bundles"""))
+def _(t: Tables) -> DataFrame:
+    """Misses of a first run are hits of the next one; a second store replaces some of them."""
+    path = session.new_folder(t.spark, "cache")
+    prompts = triage.evidence_bundles(t.findings).withColumnRenamed("text", "prompt")
+
+    def summaries(run: int, rows: DataFrame) -> DataFrame:
+        return rows.select(triage.cache_key(c("prompt"), 200).alias("cache_key"), F.concat(F.lit(f"run {run} of "), c("source_file")).alias("summary"))
+
+    for run, rows in ((1, triage.cache_misses(prompts, triage.stored_summaries(t.spark, path))), (2, prompts.filter("bundle % 3 = 0"))):
+        triage.save_summaries(summaries(run, rows), path)
+    store = triage.stored_summaries(t.spark, path)
+    hits = triage.cache_hits(prompts, store).select("cache_key", "summary", F.lit(True).alias("hit"))
+    return hits.unionByName(triage.cache_misses(prompts, store).select("cache_key", F.lit(None).cast("string").alias("summary"), F.lit(False).alias("hit")))
+
+
 @query("a16_evidence_bundles", sql("findings", f"WITH {_BUNDLES} SELECT source_file, bundle, findings, text FROM bundles"))
 def _(t: Tables) -> DataFrame:
     return triage.evidence_bundles(t.findings)

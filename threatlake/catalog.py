@@ -430,8 +430,6 @@ SEVERITY_MULTIPLIERS = {
 # Text handling and reports.
 # --------------------------------------------------------------------------
 MAX_LINE_LENGTH = 2048
-DOCUMENT_CONTENT_LENGTH = 1000
-DISPLAY_CONTENT_LENGTH = 400
 EXAMPLE_CONTENT_LENGTH = 120
 PAGE_SIZE, MAX_DISPLAYED = 50, 1000
 MODE_PREFIXES = {

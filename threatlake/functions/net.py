@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake import catalog
+from threatlake.functions import text
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IPV4 = r"^" + _OCTET + r"(?:\." + _OCTET + r"){3}$"
@@ -113,6 +114,21 @@ def with_location(df: DataFrame, ip: str, out: str) -> DataFrame:
     return df.withColumn(out, location).drop("_digits", "_mapped")
 
 
+def with_address_bits(df: DataFrame, ip: str, out: str = "_address") -> DataFrame:
+    """Adds an address of either family as a text of 32 or 128 binary digits, or NULL."""
+    c = F.col
+
+    def binary(number: Column, width: int) -> Column:
+        return F.lpad(F.bin(number.cast("bigint")), width, "0")
+
+    digits = _with_ipv6_digits(df, ip)
+    # Eight groups are cut from the digits: without this step each would parse the address anew.
+    df = text.computed_once(digits, "_digits", c("_digits"))
+    groups = [binary(F.conv(F.substring("_digits", 1 + 4 * i, 4), 16, 10), 16) for i in range(8)]
+    return df.withColumn(out, F.when(c("_digits").isNotNull(), F.concat(*groups)).otherwise(
+        binary(ipv4_number(c(ip)), 32))).drop("_digits")
+
+
 def protocol_name(number: Column) -> Column:
     """IP protocol number (text) to its name; other numbers stay as they are."""
     out = number

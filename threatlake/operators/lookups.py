@@ -47,6 +47,29 @@ def with_network(events: DataFrame, column: str, networks: tuple[str, ...] = cat
     return staged.withColumn(out, found).drop("_n")
 
 
+def with_longest_network(events: DataFrame, column: str, networks: DataFrame, out: str = "network") -> DataFrame:
+    """Adds the narrowest block of a CIDR table (network) that holds the address, or NULL.
+
+    Blocks and addresses are IPv4 or IPv6; the families do not meet, nor do an address and a block
+    that cannot be read.  A block is keyed by its length and its leading binary digits, a distinct
+    address by as many leading digits for every length that the table has for its family: at most
+    162 rows, broadcast.  Equality joins only, for tables of any size.
+    """
+    c = F.col
+    parts = networks.select(c("network"), F.substring_index("network", "/", 1).alias("_at"), F.when(
+        c("network").contains("/"), F.substring_index("network", "/", -1).try_cast("int")).alias("_length"), c("network").contains("/").alias("_cut"))
+    blocks = net.with_address_bits(parts, "_at").withColumn("_width", F.length("_address")).withColumn(
+        "_length", F.when(c("_cut"), c("_length")).otherwise(c("_width"))).filter("_length between 0 and _width")
+    blocks = blocks.select("_width", "_length", F.expr("left(_address, _length)").alias("_prefix"), "network")
+    blocks = blocks.groupBy("_width", "_length", "_prefix").agg(F.min("network").alias("_network"))
+    addresses = net.with_address_bits(events.select(c(column).alias("_ip")).distinct(), "_ip").filter("_address is not null")
+    levels = blocks.select("_width", "_length").distinct()
+    keys = addresses.withColumn("_width", F.length("_address")).join(F.broadcast(levels), "_width").select(
+        "_ip", "_width", "_length", F.expr("left(_address, _length)").alias("_prefix"))
+    found = keys.join(blocks, ["_width", "_length", "_prefix"]).groupBy("_ip").agg(F.max_by("_network", "_length").alias(out))
+    return events.drop(out).join(found, c(column) == c("_ip"), "left").drop("_ip")
+
+
 def with_network_of_table(events: DataFrame, column: str, networks: DataFrame) -> DataFrame:
     """As `with_network` for a table of CIDR blocks (network, lo, hi) of any size: one row per match.
 

@@ -6,10 +6,11 @@ kind, text with `KEY: value` lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatlake import catalog
+from threatlake import catalog, session
 from threatlake.functions import times
 from threatlake.operators import running
 
@@ -186,6 +187,42 @@ def cache_key(prompt: Column, max_tokens: int) -> Column:
     return F.md5(F.concat(prompt, F.lit(f":{max_tokens}")))
 
 
+#: Parts of a stored cache; a run of new summaries rewrites the parts that their keys fall into.
+CACHE_PARTS = 256
+
+
+def save_summaries(summaries: DataFrame, path: str) -> None:
+    """Stores (cache_key, summary) rows: new keys are added, known ones replaced.
+
+    The store is partitioned by a hash of the key.  Only the partitions of new keys are read,
+    merged and replaced, each as a whole when the write commits; a reader or a failed run never
+    sees a part of one.  Of several new rows for a key the greatest summary stays.
+    """
+    spark = summaries.sparkSession
+    fresh = session.land(summaries.filter("cache_key is not null").groupBy("cache_key").agg(F.max("summary").alias("summary")).select(
+        "cache_key", "summary", _part_of(F.col("cache_key"))), "summaries")
+    old = stored_summaries(spark, path)
+    touched = F.broadcast(fresh.select("part").distinct())  # CACHE_PARTS rows at most
+    left = old.join(touched, "part", "left_semi").join(fresh.select("cache_key"), "cache_key", "left_anti")
+    merged = session.land(fresh.unionByName(left.select(*fresh.columns)), "merged")
+    merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def _part_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(CACHE_PARTS)).cast("int").alias("part")
+
+
+def stored_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """(cache_key, summary, part) of a store; one that was never written to is empty."""
+    schema = "cache_key string, summary string, part int"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def cache_misses(prompts: DataFrame, cache: DataFrame, max_tokens: int = 200) -> DataFrame:
     """Distinct prompts without a stored summary."""
     keyed = prompts.withColumn("cache_key", cache_key(F.col("prompt"), max_tokens))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threatlake.llm import components, embedding_dedup, language_model, minhash, mixing, toxicity, warc
 
@@ -329,6 +330,31 @@ def test_archive(spark, least):
         assert len([x for x in fields]) == len(set(fields)) and b"X" not in fields
 
 
+@pytest.mark.parametrize("store", ["payloads", "headers"])
+def test_damaged_archives_are_errors(spark, store):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "u", "<p>a</p>"), (3, "u", "x" * 300_000)], "page_id bigint, url string, html string")
+    archive = warc.new_archive(spark)
+    warc.write(df, archive)
+    rows = spark.read.parquet(getattr(archive, store))
+    bad = f"{getattr(archive, store)}-damaged"
+    if store == "payloads":
+        rows.withColumn("payload", F.concat("payload", F.lit(" ").cast("binary"))).write.parquet(bad)
+        damaged = archive._replace(payloads=bad)
+    else:
+        header = F.encode(F.regexp_replace(F.decode("header", "utf-8"), "Content-Length: \\d", "Content-Length: 7"), "utf-8")
+        rows.withColumn("header", header).write.parquet(bad)
+        damaged = archive._replace(headers=bad)
+    with pytest.raises(Exception, match="damaged record"):
+        warc.index(spark, damaged).collect()
+    assert warc.index(spark, archive).count() == 3
+
+
+def test_an_archive_of_no_pages(spark):
+    archive = warc.new_archive(spark)
+    warc.write(spark.createDataFrame([], "page_id bigint, url string, html string"), archive)
+    assert warc.index(spark, archive).count() == warc.read(spark, archive).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline

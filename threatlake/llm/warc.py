@@ -105,35 +105,49 @@ def write(pages: DataFrame, archive: Archive, key: str = "page_id", url: str = "
 def read(spark: SparkSession, archive: Archive) -> DataFrame:
     """(page, address, header, record): every record put together again, to the byte.
 
-    A response is its header, its payload and two line ends; a revisit has no payload.
+    A response is its header, its payload and two line ends; a revisit has no payload, so only
+    responses are joined with the payloads, one for each payload that is not a short one.
     """
     headers, payloads = spark.read.parquet(archive.headers), spark.read.parquet(archive.payloads)
     ends = F.encode(F.lit(_LINE * 2), "utf-8")
-    body = F.when(c("response"), c("payload")).otherwise(F.encode(F.lit(""), "utf-8"))
-    return headers.join(payloads, "address").select("page", "address", "header", F.concat("header", body, ends).alias("record"))
+    missing = F.raise_error(F.concat(F.lit("no payload "), c("address"))).cast("binary")
+    full = headers.filter("response").join(payloads, "address", "left").select(
+        "page", "address", "header", F.concat("header", F.coalesce("payload", missing), ends).alias("record"))
+    bare = headers.filter("not response").select("page", "address", "header", F.concat("header", ends).alias("record"))
+    return full.unionByName(bare)
 
 
 def index(spark: SparkSession, archive: Archive) -> DataFrame:
-    """(page, payload_bytes, payload_digest, record_type, refers_to) read from the stored bytes.
+    """(page, payload_bytes, payload_digest, record_type, refers_to) read from the rebuilt records.
 
-    Sizes and digests are taken from the stored payloads before the join, so no payload moves,
-    and checked against the address and the record's header; a mismatch is an error.
+    Every record of `read` is taken apart: its two Content-Length fields must give its size, and a
+    response's payload, cut out of the record, must have the digest of the header and the address.
+    Size and digest of a revisit are those of the responses at its address.  A damaged record is
+    an error.  Only these narrow facts are joined after that.
     """
-    payloads = spark.read.parquet(archive.payloads)
-    facts = payloads.select(
-        "address", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        base32_sha1(c("payload")).alias("payload_digest"), (F.sha2("payload", 256) == c("address")).alias("sound"))
-    text = F.decode("header", "utf-8")
-
-    def field(name: str) -> Column:
-        return F.nullif(F.regexp_extract(text, f"\\r\\n{name}: ([^\\r]*)", 1), F.lit(""))
-
-    parsed = spark.read.parquet(archive.headers).select(
+    text, blank = F.decode("header", "utf-8"), _LINE * 2
+
+    def field(name: str, lines: Column = text) -> Column:
+        return F.nullif(F.regexp_extract(lines, f"(?:^|\\r\\n){name}: ([^\\r]*)", 1), F.lit(""))
+
+    response = field("WARC-Type") == "response"
+    http = F.substring_index(text, blank, -2)
+    size = F.octet_length("record") - F.octet_length("header") - 4
+    block = F.octet_length("record") - F.octet_length(F.substring_index(text, blank, 1)) - 8
+    framed = (field("Content-Length").cast("int") == block) & (
+        size == F.when(response, field("Content-Length", http).cast("int")).otherwise(0))
+    payload = F.expr("substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - 4)")
+    parts = session.land(read(spark, archive).select(
         field("X-Page-ID").cast("bigint").alias("page"), "address", field("WARC-Type").alias("record_type"),
-        field("WARC-Payload-Digest").alias("named"), field("X-Refers-To-Page").cast("bigint").alias("refers_to"))
-    joined = parsed.join(facts, "address", "left")
-    good = c("sound") & (c("named") == F.concat(F.lit("sha1:"), c("payload_digest")))
-    checked = F.when(good, c("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), c("address"))))
+        field("WARC-Payload-Digest").alias("named"), field("X-Refers-To-Page").cast("bigint").alias("refers_to"),
+        framed.alias("framed"), F.when(response, size.cast("bigint")).alias("size"),
+        F.when(response, base32_sha1(payload)).alias("digest"),
+        F.when(response, F.sha2(payload, 256) == c("address")).alias("sound")), "parts")
+    facts = parts.filter("record_type = 'response'").groupBy("address").agg(
+        F.max("size").alias("payload_bytes"), F.max("digest").alias("payload_digest"), F.bool_and("sound").alias("sound"))
+    joined = parts.drop("sound").join(facts, "address", "left")
+    good = c("framed") & c("sound") & (c("named") == F.concat(F.lit("sha1:"), c("payload_digest")))
+    checked = F.when(good, c("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record at "), c("address"))))
     return joined.select("page", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 

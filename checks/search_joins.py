@@ -10,7 +10,7 @@ from checks.registry import query
 from checks.tables import YEAR, Tables
 from threatlake import catalog, session
 from threatlake.functions import net
-from threatlake.operators import lookups, matching, running, search, triage
+from threatlake.operators import lookups, matching, rule_tables, running, search, triage
 from threatlake.plans import scan
 from threatlake.sources import carrier, reference
 
@@ -159,6 +159,25 @@ def _(t: Tables) -> DataFrame:
     return hits.join(F.broadcast(listed.select("rule_id", "severity")), "rule_id").select("source_file", "line_number", "rule_id", "severity")
 
 
+#: Rules for each user of the events: as many as users times this.
+_PER_USER = 67
+
+
+@query("j1_many_rules", sql("raw", f"""
+SELECT source_file, line_number, e.user_id * {_PER_USER} + g.n AS rule_id, CAST(g.n % 5 + 1 AS INTEGER) AS severity
+FROM raw JOIN events e ON raw.event_id = e.event_id, range({_PER_USER}) g(n)
+WHERE contains(line, 'u' || e.user_id || ' from ') AND regexp_matches(line,
+    '(?i)FOR U' || e.user_id || ' from ' || CASE WHEN g.n % 2 = 0 THEN '45\\.67\\.0\\.' ELSE '192\\.168\\.1\\.' END || g.n // 2 || ' port \\d+')"""))
+def _(t: Tables) -> DataFrame:
+    users = t.table("events").select("user_id").distinct()
+    k, user = c("k"), c("user_id")
+    rules = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(_PER_USER - 1))).alias("k")).select(
+        (user * _PER_USER + k).alias("rule_id"), (k % 5 + 1).alias("severity"), F.concat(
+            F.lit("FOR U"), user.cast("string"), F.lit(" from "), F.when(k % 2 == 0, "45\\.67\\.0\\.").otherwise("192\\.168\\.1\\."),
+            F.floor(k / 2).cast("string"), F.lit(" port \\d+")).alias("pattern"))
+    return rule_tables.table_hits(t.lines, rules).select("source_file", "line_number", "rule_id", "severity")
+
+
 @query("j2_all_indicators", sql("ff", "SELECT source_file, line_number, severity, categories, descriptions FROM ff"))
 def _(t: Tables) -> DataFrame:
     return t.file_findings.select("source_file", "line_number", "severity",

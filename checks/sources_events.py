@@ -13,7 +13,8 @@ from threatlake import catalog, session
 from threatlake.functions import events as ev
 from threatlake.functions import net, text, times
 from threatlake.operators import extract, matching, report, triage
-from threatlake.sources import carrier, logs, reference, sinks
+from threatlake.sources import carrier, json_arrays, logs, reference, sinks
+from threatlake.streaming import streams
 
 CHUNK = 1000
 c = F.col
@@ -77,6 +78,22 @@ def _(t: Tables) -> DataFrame:
     return items.select("document", "item_number", parsed.alias("v")).select("document", "item_number", "v.*")
 
 
+@query("s4_split_arrays", sql("raw", f"SELECT event_id // {2 * CHUNK} AS document, event_id % {2 * CHUNK} + 1 AS item_number, event_id, line FROM raw"))
+def _(t: Tables) -> DataFrame:
+    path = session.new_folder(t.spark, "json")
+    rows = t.derived.select("event_id", F.floor(c("event_id") / (2 * CHUNK)).alias("document"),
+                            F.to_json(F.struct("event_id", "line")).alias("item"))
+    arrays = rows.groupBy("document").agg(F.array_sort(F.collect_list(F.struct("event_id", "item")))["item"].alias("items"))
+    arrays.select("document", F.concat(F.lit("["), F.array_join("items", ",\n  "), F.lit("]")).alias("text")).write.partitionBy(
+        "document").text(path)
+    own = streams.own_session(t.spark)
+    own.conf.set("spark.sql.files.maxPartitionBytes", "32k")  # so that each document has several splits
+    parsed = F.from_json("line", "event_id bigint, line string")
+    items = json_arrays.read_json_arrays(own, path).select(
+        F.regexp_extract("source_file", r"document=(\d+)", 1).cast("bigint").alias("document"), c("line_number").alias("item_number"), parsed.alias("v"))
+    return items.select("document", "item_number", "v.*")
+
+
 @query("s5_json_lines", sql("raw", "SELECT line_number, json_valid(line) AS is_json FROM raw"))
 def _(t: Tables) -> DataFrame:
     return t.lines.select("line_number", F.try_parse_json("line").isNotNull().alias("is_json"))

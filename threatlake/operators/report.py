@@ -83,21 +83,6 @@ def examples(findings: DataFrame, levels: tuple[int, ...] = (5, 4), n: int = 3)
         "severity", "position", "source_file", "line_number", line.alias("example"))
 
 
-def summary_counts(findings: DataFrame) -> DataFrame:
-    """One row of totals that the recommendations depend on.
-
-    Whether external logins failed is read from the risk factor's description.
-    """
-    factors = F.col("risk_factors")
-    external = F.array_contains(factors["description"], "Failed authentication - external")
-    command = F.exists(factors, lambda f: (f["name"] == "CommandLineRisk") & (f["score"] >= 4.0))
-    return findings.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col("severity") == s).alias(f"severity_{s}") for s in (5, 4, 3, 2, 1)],
-        F.count_if(is_mitigated(factors)).alias("mitigated"),
-        F.coalesce(F.bool_or(external | command), F.lit(False)).alias("urgent_factors"))
-
-
 # The recommendation texts.
 HIGH = ("- **High Priority:** Investigate Severity 4 and 5 findings immediately. Focus on external "
         "sources, low-trust processes, and command-line anomalies mentioned in context.")
@@ -113,7 +98,7 @@ NONE = ("- No high or medium priority threats detected based on current analysis
 
 
 def recommendations(counts: DataFrame) -> DataFrame:
-    """Adds the recommendation texts to `summary_counts`."""
+    """Adds the recommendation texts to the row of totals."""
     c = F.col
     severe = (c("severity_5") > 0) | (c("severity_4") > 0)
     urgent = severe | c("urgent_factors")
@@ -129,44 +114,80 @@ def recommendations(counts: DataFrame) -> DataFrame:
     ], "array<string>"), "\n"))
 
 
+def _counted(findings: DataFrame) -> DataFrame:
+    """(section, key, findings): all that the summary counts, by one grouping of the findings.
+
+    Section 0 has the totals, the others are numbered as in `summarize`.
+    """
+    factors = F.col("risk_factors")
+    external = F.array_contains(factors["description"], "Failed authentication - external")
+    command = F.exists(factors, lambda f: (f["name"] == "CommandLineRisk") & (f["score"] >= 4.0))
+    first = F.try_element_at("indicators", F.lit(1))["category"]
+
+    def entry(section: int, key: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), key.alias("key"))
+
+    kind = "array<struct<section:int,key:string>>"
+    listed = F.transform(factors, lambda f: entry(6, F.concat(f["category"], F.lit(":"), f["name"])))
+    keys = F.concat(text.collect_when([
+        (F.lit(True), entry(0, F.lit("total"))), (F.lit(True), entry(3, F.col("severity").cast("string"))),
+        (is_mitigated(factors), entry(0, F.lit("mitigated"))), (external | command, entry(0, F.lit("urgent"))),
+        (F.size("indicators") > 0, entry(5, first))], kind), F.coalesce(listed, F.array().cast(kind)))
+    return findings.select(F.explode(keys).alias("k")).groupBy("k.section", "k.key").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def _ranked_row(counted: DataFrame, most: int = 5) -> DataFrame:
+    """One row: the totals, and `rows`, the severities and the first keys of each section.
+
+    Whether external logins failed is read from the risk factor's description.
+    """
+    c = F.col
+    order = Window.partitionBy("section").orderBy(F.desc("findings"), "key")
+    ranked = counted.withColumn("place", F.row_number().over(order)).filter((c("section") < 5) | (c("place") <= most))
+
+    def total(section: int, key: str) -> Column:
+        return F.coalesce(F.sum(F.when((c("section") == section) & (c("key") == key), c("findings"))), F.lit(0))
+
+    return ranked.agg(
+        total(0, "total").alias("total"), *[total(3, str(s)).alias(f"severity_{s}") for s in (5, 4, 3, 2, 1)],
+        total(0, "mitigated").alias("mitigated"), (total(0, "urgent") > 0).alias("urgent_factors"),
+        F.array_sort(F.collect_list(F.struct("section", "place", "key", "findings"))).alias("rows"))
+
+
 def summarize(findings: DataFrame, name: str = "file") -> DataFrame:
     """Executive summary as rows (section, position, text), to be read in that order.
 
-    Every section is an aggregate or a top-k of fixed size.
+    All counts come from one grouping; only the examples, three lines of each high severity,
+    are a second read.  What is gathered has a fixed size: totals, severities, five keys a section.
     """
     c = F.col
-    counts = recommendations(summary_counts(findings))
+    one = recommendations(_ranked_row(_counted(findings)))
+
+    def line(section: int, position: Column, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), position.cast("int").alias("position"), value.alias("text"))
 
-    def lines(section: int, df: DataFrame, position: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), position.cast("int").alias("position"), value.alias("text"))
+    def said(before: str, x: Column, middle: str) -> Column:
+        return F.concat(F.lit(before), x["key"], F.lit(middle), x["findings"].cast("string"), F.lit(" findings"))
 
-    def ranked(df: DataFrame, *order: Column) -> Column:
-        return F.row_number().over(Window.orderBy(*order))
+    def section(number: int) -> Column:
+        return F.filter("rows", lambda x: x["section"] == number)
 
     total = F.concat(F.lit(f"Executive Summary: Processed {name}. Found "), c("total").cast("string"),
                      F.lit(" notable findings (Severity >= 2)."))
     note = F.concat(F.lit("NOTE: "), c("mitigated").cast("string"), F.lit(
         " finding(s) had their risk score reduced due to baseline/whitelisting factors."))
-    severity = F.concat(F.lit("- Severity "), c("severity").cast("string"), F.lit(": "),
-                        c("findings").cast("string"), F.lit(" findings"))
-    category = F.concat(F.lit("- "), c("category"), F.lit(": "), c("findings").cast("string"), F.lit(" findings"))
-    factor = F.concat(F.lit("- "), c("factor"), F.lit(": Contributed to "), c("findings").cast("string"),
-                      F.lit(" findings"))
-    tops, factors, shown = top_categories(findings), top_risk_factors(findings), examples(findings)
-    parts = [
-        lines(1, counts.filter("total > 0"), F.lit(1), total),
-        lines(2, counts.filter("mitigated > 0"), F.lit(1), note),
-        lines(3, by_severity(findings), 10 - c("severity"), severity),
-        lines(4, shown, (10 - c("severity")) * 10 + c("position"), c("example")),
-        lines(5, tops, ranked(tops, F.desc("findings"), c("category")), category),
-        lines(6, factors, ranked(factors, F.desc("findings"), c("factor")), factor),
-        lines(7, counts.filter("total > 0"), F.lit(1), c("recommendations")),
-        lines(1, counts.filter("total = 0"), F.lit(1), F.lit("No findings to summarize.")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    any_found, first = c("total") > 0, F.lit(1)
+    factors = F.filter(section(6), lambda x: ~F.coalesce(x["key"].contains("RiskMitigation"), F.lit(False)))
+    parts = F.concat(
+        F.array(line(1, first, F.when(any_found, total).otherwise("No findings to summarize."))),
+        text.collect_when([(c("mitigated") > 0, line(2, first, note)), (any_found, line(7, first, c("recommendations")))],
+                          "array<struct<section:int,position:int,text:string>>"),
+        F.transform(section(3), lambda x: line(3, 10 - x["key"].cast("int"), said("- Severity ", x, ": "))),
+        F.transform(section(5), lambda x, i: line(5, i + 1, said("- ", x, ": "))),
+        F.transform(factors, lambda x, i: line(6, i + 1, said("- ", x, ": Contributed to "))))
+    shown = examples(findings).select(
+        F.lit(4).alias("section"), ((10 - c("severity")) * 10 + c("position")).cast("int").alias("position"), c("example").alias("text"))
+    return one.select(F.inline(parts)).unionByName(shown)
 
 
 def page(findings: DataFrame, number: int, size: int = catalog.PAGE_SIZE, most: int | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from threatlake import session
 from threatlake.llm.textops import Hasher, mix, text_chunks, words_of
 
 #: Longest n-gram.
-ORDER = 2
+ORDER = 3
 #: Tokens in a block, tokens scored at once, and n-grams that a shard adds up at once, roughly.
 BLOCK_TOKENS = 1_500_000
 SEGMENT_TOKENS = 150_000

@@ -84,6 +84,15 @@ def _(t: Tables) -> DataFrame:
     return run_closed(t, "r2", streams.retained)
 
 
+@query("r2_retained_events", sql("ev", """
+WITH k AS (SELECT source_file, coalesce(CASE kind WHEN 'NETWORK' THEN 'pair:' || source_ip || ':' || dest_ip ELSE 'name:' || process_name END, '') AS key,
+    event_time, count(*) AS events FROM ev WHERE kind <> 'GENERIC' AND event_time IS NOT NULL GROUP BY ALL)
+SELECT source_file, key, event_time, events, CAST(sum(events) OVER w AS BIGINT) AS retained, min(event_time) OVER w AS oldest FROM k
+WINDOW w AS (PARTITION BY source_file, key ORDER BY event_time RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW)"""))
+def _(t: Tables) -> DataFrame:
+    return run_closed(t, "r2e", streams.retained_events, line_stream(t, rocksdb=True))
+
+
 @query("r3_expiring_counters", sql("scored", """
 WITH gaps AS (SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY source_file, freq_key, freq_source ORDER BY event_time, line_number)
     > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS anew FROM known),

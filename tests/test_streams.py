@@ -92,6 +92,28 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert counts["03:05"] == 1 and max(counts.values()) == 1
 
 
+def test_retention_to_the_second(spark, tmp_path, rocksdb):
+    """Counts go over batches, drop an event 300 seconds after it, and leave out late rows, which are counted."""
+    out, state = session.new_folder(spark, "out"), session.new_folder(spark, "state")
+    late = 0
+    batches = [["03:00:01", "03:00:00", "03:00:01"], ["03:05:00", "03:05:01", "03:05:02"], ["03:10:01", "03:10:03"], ["06:00:00"],
+               ["03:10:04"], ["06:05:01"], ["12:00:00"]]
+    for i, clocks in enumerate(batches):
+        write(spark, tmp_path, f"{i}.log", [ssh(c) for c in clocks])
+        lines = streams.read_text_stream(rocksdb, str(tmp_path)).withColumn("source_file", F.lit("f"))
+        query = streams.retained_events(streams.events(lines, 2024)).writeStream.format("parquet").outputMode("append").option(
+            "path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        late += streams.late_rows(query).agg(F.sum("late_rows")).first()[0]
+    got = [(r.event_time.strftime("%H:%M:%S"), r.events, r.retained, r.oldest.strftime("%H:%M:%S"))
+           for r in spark.read.parquet(out).orderBy("event_time").collect()]
+    assert got == [
+        ("03:00:00", 1, 1, "03:00:00"), ("03:00:01", 2, 3, "03:00:00"), ("03:05:00", 1, 4, "03:00:00"), ("03:05:01", 1, 4, "03:00:01"),
+        ("03:05:02", 1, 3, "03:05:00"), ("03:10:01", 1, 3, "03:05:01"), ("03:10:03", 1, 2, "03:10:01"), ("06:00:00", 1, 1, "06:00:00"),
+        ("06:05:01", 1, 1, "06:05:01")]
+    assert late == 1
+
+
 def test_counters_do_not_depend_on_arrival(spark, tmp_path, rocksdb):
     """One busy key, its rows out of order and over several files, and a pause of over an hour."""
     rows = [ssh(f"03:{i // 60:02d}:{i % 60:02d}") for i in range(0, 240)] + [ssh(f"04:{i:02d}:01") for i in range(4, 7)] + [ssh("04:04:01")]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from threatlake import catalog, schemas, session
 from threatlake.functions import scoring
@@ -27,6 +27,8 @@ from threatlake.sources import logs
 
 DELAY = "5 minutes"
 LIFETIME_MS = 3_600_000
+RETAINED_MS = catalog.CORRELATION_SECONDS * 1000
+SECOND_MS = 1000
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -102,17 +104,83 @@ def events(lines: DataFrame, default_year: int | None = None, delay: str = DELAY
     return known.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", delay)
 
 
-def retained(stream: DataFrame) -> DataFrame:
-    """Events per address pair or process in the last 300 seconds, each minute (R2)."""
+def _retention_key() -> Column:
     pair = F.concat(F.lit("pair:"), F.col("source_ip"), F.lit(":"), F.col("dest_ip"))
     name = F.concat(F.lit("name:"), F.col("process_name"))
-    key = F.when(F.col("kind") == schemas.NETWORK, pair).otherwise(name)
+    return F.when(F.col("kind") == schemas.NETWORK, pair).otherwise(name)
+
+
+def retained(stream: DataFrame) -> DataFrame:
+    """Events per address pair or process in the last 300 seconds, each minute (R2)."""
     window = F.window("event_time", f"{catalog.CORRELATION_SECONDS} seconds", "1 minute")
-    return stream.groupBy(window.alias("w"), "source_file", key.alias("key")).agg(
+    return stream.groupBy(window.alias("w"), "source_file", _retention_key().alias("key")).agg(
         F.count(F.lit(1)).alias("events")).select(
         F.col("w")["end"].alias("window_end"), "source_file", "key", "events")
 
 
+def late_rows(query: StreamingQuery) -> DataFrame:
+    """(batch_id, watermark, late_rows): what each batch that is still reported dropped as late, zeros included (R2)."""
+    rows = [(int(p["batchId"]), (p["eventTime"] or {}).get("watermark"),
+             sum(int(op["numRowsDroppedByWatermark"]) for op in p["stateOperators"])) for p in query.recentProgress]
+    return SparkSession.active().createDataFrame(rows, "batch_id bigint, watermark string, late_rows bigint")
+
+
+class _Retained(StatefulProcessor):
+    """How many events of a key are at most 300 seconds older than each of its closed times, and the oldest of them.
+
+    Sees one row for each time, however many events it has, and keeps the times of 300 seconds.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._times = handle.getListState("times", "us bigint, n bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        old = list(self._times.get()) if self._times.exists() else []
+        new = pd.concat(list(rows)).sort_values("us")
+        us = np.array([t for t, _ in old] + new["us"].tolist(), dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum([n for _, n in old] + new["events"].tolist())]).astype(np.int64)
+        first = np.searchsorted(us, us - RETAINED_MS * 1000)
+        kept = range(int(first[-1]), len(us))
+        self._times.put([(int(us[i]), int(total[i + 1] - total[i])) for i in kept])
+        if old:
+            self._handle.deleteTimer(old[-1][0] // 1000 + RETAINED_MS + SECOND_MS)
+        # The next times can begin a second before the watermark.
+        self._handle.registerTimer(int(us[-1]) // 1000 + RETAINED_MS + SECOND_MS)
+        own = slice(len(old), None)
+        yield pd.DataFrame({
+            "source_file": key[0], "key": key[1], "block_end": new["block_end"].to_numpy(), "us": us[own], "events": new["events"].to_numpy(),
+            "retained": (total[1:] - total[first])[own], "oldest_us": us[first][own]})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self._times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def retained_events(stream: DataFrame) -> DataFrame:
+    """(source_file, key, event_time, events, retained, oldest): what is retained at each event (R2).
+
+    Events of an address pair or a process stay for 300 seconds after their own time, to the
+    microsecond; events of one time see the same ones.  They are counted by time before the
+    shuffle, so a busy key weighs by its distinct times; state expires by a timer.  Late rows are
+    dropped and counted by `late_rows`.  A key with a missing part is empty.
+
+    Needs the RocksDB state store: `own_session(spark, rocksdb=True)`.
+    """
+    c = F.col
+    times = stream.select("source_file", F.coalesce(_retention_key(), F.lit("")).alias("key"), "event_time").groupBy(
+        F.window("event_time", "1 second").alias("w"), "source_file", "key", F.unix_micros("event_time").alias("us")).agg(
+        F.count(F.lit(1)).alias("events"))
+    found = times.select("source_file", "key", F.window_time("w").alias("block_end"), "us", "events").groupBy(
+        "source_file", "key").transformWithStateInPandas(
+        statefulProcessor=_Retained(), outputStructType=RETAINED, outputMode="Append", timeMode="EventTime", eventTimeColumnName="block_end")
+    return found.select("source_file", "key", F.timestamp_micros("us").alias("event_time"), "events", "retained",
+                        F.timestamp_micros("oldest_us").alias("oldest"))
+
+
 class _Counter(StatefulProcessor):
     """How many events of a key come before each of its closed time blocks; forgotten an hour after the last.
 
@@ -150,6 +218,7 @@ class _Counter(StatefulProcessor):
 # The counter travels with its code: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+RETAINED = "source_file string, key string, block_end timestamp, us bigint, events bigint, retained bigint, oldest_us bigint"
 BASES = "k_file string, k_key string, k_source string, k_end timestamp, base bigint"
 
 

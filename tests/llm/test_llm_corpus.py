@@ -187,6 +187,90 @@ def test_language_model_of_no_rows(spark):
     assert (row.n_known, row.train_tokens, row.base_score, row.score) == (0, 0, 0.0, 0.0)
 
 
+def small_network():
+    """A network of random weights and the tokens of some texts, words and beginnings unknown to it among them."""
+    rng = np.random.default_rng(5)
+    texts = ["one two three two one", "", "unknown", "three four onerous five two six seven one", "four"]
+    tokens = toxicity._joined(toxicity._tokens_of_texts(texts))
+    seen = np.unique(np.concatenate([tokens.words, tokens.prefixes]))
+    known = seen[seen > 1][::2]
+    size, n = toxicity.SIZE, toxicity.FILTERS
+    embeddings = np.vstack([rng.normal(size=(len(known), size)), np.zeros((1, size))]).astype(np.float32)
+    filters = [rng.normal(size=(w, size, n)).astype(np.float32) * 0.3 for w in toxicity.WIDTHS]
+    biases = [rng.normal(size=n).astype(np.float32) * 0.1 for _ in toxicity.WIDTHS]
+    weights = rng.normal(size=n * len(filters)).astype(np.float32) * 0.3
+    return toxicity.Model(known, embeddings, filters, biases, weights, 0.2, 1.0, 0.0), tokens
+
+
+def plain_outputs(model, tokens):
+    """The network word by word in double precision."""
+    rows = {int(h): model.embeddings[i].astype(float) for i, h in enumerate(model.known)}
+    zero, out = np.zeros(toxicity.SIZE), []
+    for a, b in zip(tokens.starts, [*tokens.starts[1:], len(tokens.words)]):
+        x = [rows.get(int(w), zero) + rows.get(int(p), zero) for w, p in zip(tokens.words[a:b], tokens.prefixes[a:b])]
+        pooled = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for at in range(b - a):
+                    if tokens.words[a + at] != 0:
+                        best = max(best, model.biases[k][f] + sum(x[at + j] @ model.filters[k][j][:, f] for j in range(width)))
+                pooled.append(best)
+        out.append(np.dot(pooled, model.weights) + model.bias)
+    return np.array(out)
+
+
+def test_toxicity_forward_pass():
+    model, tokens = small_network()
+    assert np.allclose(toxicity.outputs(model, tokens), plain_outputs(model, tokens), atol=1e-4)
+
+
+def test_toxicity_gradient_step():
+    """What one step accumulates and moves is the slope of the mean log loss, by differences on the plain network."""
+    model, tokens = small_network()
+    y = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    copy = model._replace(embeddings=model.embeddings.copy(), filters=[f.copy() for f in model.filters],
+                          biases=[b.copy() for b in model.biases], weights=model.weights.copy())
+    sums = {"e": np.full_like(model.embeddings, 1e-8)}
+    bias = toxicity._step(copy, tokens, y, sums)
+
+    def loss(changed):
+        z = plain_outputs(changed, tokens)
+        return np.mean(np.log1p(np.exp(z)) - y * z)
+
+    def differs(name, before, after, total, replace):
+        rng = np.random.default_rng(1)
+        for _ in range(12):
+            at = tuple(rng.integers(n) for n in before.shape)
+            if name == "e" and at[0] == len(model.known):
+                continue
+            slope = (after[at] - before[at]) * -np.sqrt(total[at]) / toxicity.RATE
+            steps = []
+            for d in (1e-4, -1e-4):
+                moved = before.astype(float)
+                moved[at] += d
+                steps.append(loss(replace(moved)))
+            assert abs((steps[0] - steps[1]) / 2e-4 - slope) < 2e-3, (name, at)
+
+    differs("w", model.weights, copy.weights, sums["w"], lambda v: model._replace(weights=v))
+    differs("e", model.embeddings, copy.embeddings, sums["e"], lambda v: model._replace(embeddings=v))
+    for k in range(len(toxicity.WIDTHS)):
+        differs(f"f{k}", model.filters[k], copy.filters[k], sums[f"f{k}"], lambda v: model._replace(
+            filters=[*model.filters[:k], v, *model.filters[k + 1:]]))
+        differs(f"b{k}", model.biases[k], copy.biases[k], sums[f"b{k}"], lambda v: model._replace(
+            biases=[*model.biases[:k], v, *model.biases[k + 1:]]))
+    slope = (loss(model._replace(bias=model.bias + 1e-4)) - loss(model._replace(bias=model.bias - 1e-4))) / 2e-4
+    assert abs((bias - model.bias) * -np.sqrt(sums["bias"]) / toxicity.RATE - slope) < 1e-3
+
+
+def test_toxicity_learns_from_a_fixed_text_of_a_repeated_id(spark):
+    rows = [(i, f"{'bad' if i % 2 else 'good'} word{i % 7} {'x' * (j % 3)}", "en") for i in range(80) for j in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(order, "doc_id bigint, text string, lang string").repartition(n), labels)[0]
+              for order, n in ((rows, 2), (rows[::-1], 5))]
+    assert (models[0].known == models[1].known).all() and (models[0].weights == models[1].weights).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["grumbo", "zeklit", "varnox"]

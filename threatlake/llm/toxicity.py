@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     MAX_TRAIN_BYTES bytes.  All rows where `learn` holds are then scored where they are, and
     those not trained on, long ones too, set the thresholds; a histogram for each language
     reaches the driver.  Rows with a null label or key are left out; a key labelled twice takes
-    the larger.
+    the larger.  Of the short texts of one key the smallest is learnt from.
     """
     learn = F.lit(True) if learn is None else learn
     marked = labels.select(F.col(key).alias("id"), F.col(label).alias("y")).filter(
@@ -283,7 +283,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.col(lang).alias("lang"))
     # At most 2 * MAX_PER_LABEL ids.
     rows = texts.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(F.broadcast(ids), "id").withColumn(
-        "calibrating", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CALIBRATION_FOLD)) == 0).dropDuplicates(["id"]).collect()
+        "calibrating", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CALIBRATION_FOLD)) == 0).groupBy("id", "y", "calibrating").agg(
+        F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: str(r.id))
     if not rows:
         return _empty(), {None: PREDICTED_FROM}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.oracle_base import json_sql, plain_space, rx, sql, values
@@ -10,7 +10,7 @@ from checks.registry import query
 from checks.tables import YEAR, Tables
 from threatlake import catalog, session
 from threatlake.functions import net
-from threatlake.operators import lookups, matching, rule_tables, running, search, triage
+from threatlake.operators import lookups, matching, rule_tables, running, search, search_index, triage
 from threatlake.plans import scan
 from threatlake.sources import carrier, reference
 
@@ -57,6 +57,30 @@ def _(t: Tables) -> DataFrame:
     return search.search_findings(t.file_findings, "malicious").select("source_file", "line_number", "severity")
 
 
+def _indexed(t: Tables, table: DataFrame, criteria: search.Criteria | str, text: Column | str = "line") -> DataFrame:
+    """The rows of the files that can hold a match, of the table landed with its index."""
+    folder = session.new_folder(t.spark, "indexed")
+    search_index.land_indexed(table, folder, text)
+    return search_index.candidates(t.spark, folder, criteria)
+
+
+@query("q1_indexed_search", sql("doc_lines", "SELECT doc_id, pos, line FROM doc_lines WHERE contains(lower(line), 'tionhation')"))
+def _(t: Tables) -> DataFrame:
+    return search.search(_indexed(t, t.document_lines, "TionHation"), "TionHation").select(*DOC)
+
+
+@query("q3_indexed_search", sql("raw", r"SELECT source_file, line_number, line FROM raw WHERE regexp_matches(line, '(?i)for u17 from [\d.]+ port \d+')"))
+def _(t: Tables) -> DataFrame:
+    criteria = search.Criteria(r"FOR u17 from [\d.]+ port \d+", use_regex=True)
+    return search.search(_indexed(t, t.lines, criteria), criteria).select("source_file", "line_number", "line")
+
+
+@query("q6_indexed_findings", sql("ff", "SELECT source_file, line_number, severity FROM ff WHERE contains(lower(content), 'u17 from')"))
+def _(t: Tables) -> DataFrame:
+    rows = _indexed(t, t.file_findings, "U17 from", F.to_json(F.struct("*")))
+    return search.search_findings(rows, "U17 from").select("source_file", "line_number", "severity")
+
+
 @query("q7_indicator_description", sql("ff", "SELECT source_file, line_number, severity FROM ff WHERE contains(lower(descriptions), 'brute force')"))
 def _(t: Tables) -> DataFrame:
     return search.with_indicator_text(t.file_findings, "Brute Force").select("source_file", "line_number", "severity")

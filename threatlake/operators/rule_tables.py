@@ -33,7 +33,7 @@ _REPEAT = re.compile(r"(?:[?*]|\+|\{(\d+)(?:,\d*)?\})[?+]?")
 #: Constructs that change how the rest is read, or stand for a letter.
 _UNREAD = re.compile(r"\(\?[a-z]*x|\\[QExucpPN0k]")
 #: The letters beyond ASCII that match an ASCII letter when case is ignored.
-_FOLDED = ("\u017f\u0131\u0130\u212a", "siik")
+FOLDED = ("\u017f\u0131\u0130\u212a", "siik")
 
 
 def mandatory_literals(pattern: str, least: int = LEAST_LITERAL) -> list[str]:
@@ -136,7 +136,7 @@ def table_hits(lines: DataFrame, rules: DataFrame, pass_bytes: int = PASS_BYTES)
     spark, n = lines.sparkSession, _passes(rules, pass_bytes)
     kept = lines.drop(*[name for name in rules.columns if name != "line"])
     rules = rules.drop("line")
-    folded = F.lower(F.translate("line", *_FOLDED))
+    folded = F.lower(F.translate("line", *FOLDED))
     staged = kept.withColumn("_folded", folded)
     out = None
     for k in range(n):

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,35 @@ def test_vectors(spark):
     assert all(got[i] == (0, i, True) for i in range(9000, 9007)) and got[None] == (0, None, True)
 
 
+@pytest.mark.parametrize("chunks, block", [(1, 256), (1, 7), (2, 16), (2, 1)])
+def test_blocks_of_a_bucket(chunks, block):
+    rng = np.random.default_rng(8)
+    n, bucket = 70, 40
+    vectors = rng.normal(size=(5, 6))[rng.integers(0, 5, n)] + 0.25 * rng.normal(size=(n, 6))
+    reps, copies, chunk = rng.permutation(1000)[:n], rng.integers(1, 4, n), rng.integers(0, chunks, n)
+    keys = np.sort(rng.integers(20, 200, (n, 4)), axis=1)
+    keys[:, 1] = bucket  # all enter this bucket, some share a smaller one
+    rows = pa.table({"bucket": [bucket] * n, "part": [0] * n, "chunk": chunk, "rep": reps, "copies": copies,
+                     "vector": [v.tobytes() for v in vectors], "keys": keys.tolist()})
+    old = embedding_dedup.BLOCK
+    embedding_dedup.BLOCK = block
+    try:
+        rep, links, root = embedding_dedup._compare(rows, 0.93)
+    finally:
+        embedding_dedup.BLOCK = old
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    pairs = [(i, j) for i in range(n) for j in range(i) if units[i] @ units[j] >= 0.93 and (chunks == 1 or chunk[i] != chunk[j])
+             and not {k for k in keys[i].tolist() if k < bucket} & set(keys[j].tolist())]
+    want = collections.Counter()
+    for i, j in pairs:
+        want[reps[i]] += copies[j]
+        want[reps[j]] += copies[i]
+    assert len(pairs) > 50 and dict(zip(rep, links)) == want
+    group = smallest(reps.tolist(), [(reps[i], reps[j]) for i, j in pairs])
+    found = dict(zip(rep, root))
+    assert all((group[a] == group[b]) == (found[a] == found[b]) for a in found for b in found)
+
+
 def test_equal_vectors_count_as_links(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0], 5) for i in range(30)], "vec_id bigint, embedding array<double>, label int")
     assert {(r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {(29, 0)}

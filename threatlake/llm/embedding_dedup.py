@@ -20,8 +20,9 @@ COSINE = 0.93
 TABLES, HASHES, PROBES = 5, 3, 7
 #: Best coordinates of a hash among which probes are chosen.
 NEXT_BEST = 3
-#: Members of a bucket that meet at once, twice over.
-CHUNK = 256
+#: Members of a chunk, the unit in which a hot bucket is sent, and of a block, the unit in which it is compared.
+#: Two chunks meet in a task (4 MB of vectors for 128 doubles), so a bucket of N is sent N / CHUNK times at most.
+CHUNK, BLOCK = 2_048, 256
 
 _STEP = 0xA0761D6478BD642F
 
@@ -142,58 +143,62 @@ def _with_keys(classes: DataFrame, tables: int, probes: int) -> DataFrame:
     return classes.mapInArrow(run, schema)
 
 
-def _forest(n: int, pairs: np.ndarray) -> list[int]:
-    """The smallest member that each of n members reaches over the pairs."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in pairs.tolist():
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return [root(x) for x in range(n)]
-
-
-def _share_key(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Whether two rows of keys have one of the wanted ones in common."""
-    member = np.nonzero(wanted)[0]
-    _, column, counts = np.unique(keys[wanted], return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(counts > 1)
-    place = np.full(len(counts), -1)
-    place[kept] = np.arange(len(kept))
-    at = place[column] >= 0
-    table = np.zeros((len(keys), len(kept)), dtype=np.float32)
-    table[member[at], place[column[at]]] = 1.0
-    return table @ table.T > 0
+def _join(parent: np.ndarray, pairs: np.ndarray) -> None:
+    """Joins the trees of both ends of all pairs; every member keeps pointing at its root."""
+    a, b = pairs[:, 0], pairs[:, 1]
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent[:] = up
+
+
+def _share_key(a: np.ndarray, b: np.ndarray, below: int) -> np.ndarray:
+    """Which rows of keys `a` have one of the keys less than `below` in common with which rows of `b`."""
+    (row_a, at_a), (row_b, at_b) = np.nonzero(a < below), np.nonzero(b < below)
+    key_a, key_b = a[row_a, at_a], b[row_b, at_b]
+    common = np.intersect1d(key_a, key_b)
+    sides = []
+    for n, rows, keys in ((len(a), row_a, key_a), (len(b), row_b, key_b)):
+        kept = np.isin(keys, common)
+        side = np.zeros((n, len(common)), dtype=np.float32)
+        side[rows[kept], np.searchsorted(common, keys[kept])] = 1.0
+        sides.append(side)
+    return sides[0] @ sides[1].T > 0
 
 
 def _compare(rows: pa.Table, cosine: float) -> tuple[list[int], list[int], list[int]]:
-    """(rep, links, root) of the members of one part of a bucket.
+    """(rep, links, root) of the members of one part of a bucket, compared block by block.
 
     A pair counts only in the smallest bucket that both members enter.
     """
-    order = np.argsort(rows["rep"].to_numpy(), kind="stable")
-    reps, copies = rows["rep"].to_numpy()[order], rows["copies"].to_numpy()[order]
-    chunk = rows["chunk"].to_numpy()[order]
+    order = np.lexsort((rows["rep"].to_numpy(), rows["chunk"].to_numpy()))
+    reps, copies, chunk = (rows[name].to_numpy()[order] for name in ("rep", "copies", "chunk"))
     units = unit(_matrix(rows["vector"].combine_chunks())[order])
-    close = np.triu(units @ units.T >= cosine, 1)
-    if len(np.unique(chunk)) > 1:
-        close &= chunk[:, None] != chunk[None, :]
-    used = np.flatnonzero(close.any(axis=0) | close.any(axis=1))
-    if len(used):
-        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(reps), -1)[order][used]
-        earlier = _share_key(keys, keys < rows["bucket"][0].as_py())
-        close[np.ix_(used, used)] &= ~earlier
-    pairs = np.argwhere(close)
-    links = np.bincount(pairs[:, 0], weights=copies[pairs[:, 1]], minlength=len(reps)) + np.bincount(
-        pairs[:, 1], weights=copies[pairs[:, 0]], minlength=len(reps))
-    roots = reps[_forest(len(reps), pairs)]
+    keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(reps), -1)[order]
+    bucket, two = rows["bucket"][0].as_py(), chunk[0] != chunk[-1]
+    links, parent = np.zeros(len(reps)), np.arange(len(reps))
+    for i in range(0, len(reps), BLOCK):
+        for j in range(i, len(reps), BLOCK):
+            left, right = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            if two and chunk[left][0] == chunk[right][-1]:
+                continue
+            close = units[left] @ units[right].T >= cosine
+            if i == j:
+                close = np.triu(close, 1)
+            if two:
+                close &= chunk[left][:, None] != chunk[right][None, :]
+            a, b = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+            if not len(a):
+                continue
+            close[np.ix_(a, b)] &= ~_share_key(keys[left][a], keys[right][b], bucket)
+            links[left] += close @ copies[right]
+            links[right] += copies[left] @ close
+            _join(parent, np.argwhere(close) + [i, j])
     hit = np.flatnonzero(links)
-    return reps[hit].tolist(), links[hit].astype(np.int64).tolist(), roots[hit].tolist()
+    return reps[hit].tolist(), links[hit].astype(np.int64).tolist(), reps[parent[hit]].tolist()
 
 
 def _linked(parts: DataFrame, cosine: float) -> DataFrame:
@@ -238,7 +243,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", embedding: str = "emb
     Vectors of one label with a cosine (in double precision) of at least `cosine` are links, as
     far as they share a bucket; recall against all pairs is in the README.  Equal vectors form a
     class that is hashed once and counts with its number of copies.  A bucket of many classes is
-    cut into chunks and every pair of chunks compared by a task of its own; only sums and a
+    cut into chunks and every pair of chunks compared by itself; only sums and a
     spanning forest leave a task, never pairs.
 
     Null labels or ids, null or zero vectors, and null or non-finite components link with

@@ -129,15 +129,17 @@ def test_vectors(spark):
 
 
 @pytest.mark.parametrize("chunks, block", [(1, 256), (1, 7), (2, 16), (2, 1)])
-def test_blocks_of_a_bucket(chunks, block):
+def test_blocks_of_buckets(chunks, block):
     rng = np.random.default_rng(8)
-    n, bucket = 70, 40
-    vectors = rng.normal(size=(5, 6))[rng.integers(0, 5, n)] + 0.25 * rng.normal(size=(n, 6))
+    n = 90
+    vectors = rng.normal(size=(3, 6))[rng.integers(0, 3, n)] + 0.25 * rng.normal(size=(n, 6))
+    bucket, part = rng.choice([40, 60, 61], n, p=[0.2, 0.7, 0.1]), rng.integers(0, 2, n)
     reps, copies, chunk = rng.permutation(1000)[:n], rng.integers(1, 4, n), rng.integers(0, chunks, n)
-    keys = np.sort(rng.integers(20, 200, (n, 4)), axis=1)
-    keys[:, 1] = bucket  # all enter this bucket, some share a smaller one
-    rows = pa.table({"bucket": [bucket] * n, "part": [0] * n, "chunk": chunk, "rep": reps, "copies": copies,
-                     "vector": [v.tobytes() for v in vectors], "keys": keys.tolist()})
+    keys = rng.integers(20, 200, (n, 4))
+    keys[:, 1] = bucket  # all enter their bucket, some share a smaller one
+    long = rng.random(n) < 0.2  # vectors of another length
+    rows = pa.record_batch({"bucket": bucket, "part": part, "chunk": chunk, "rep": reps, "copies": copies,
+                            "vector": [v.tobytes() * (1 + x) for v, x in zip(vectors, long.tolist())], "keys": keys.tolist()})
     old = embedding_dedup.BLOCK
     embedding_dedup.BLOCK = block
     try:
@@ -145,8 +147,14 @@ def test_blocks_of_a_bucket(chunks, block):
     finally:
         embedding_dedup.BLOCK = old
     units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    pairs = [(i, j) for i in range(n) for j in range(i) if units[i] @ units[j] >= 0.93 and (chunks == 1 or chunk[i] != chunk[j])
-             and not {k for k in keys[i].tolist() if k < bucket} & set(keys[j].tolist())]
+
+    def crossed(i):
+        same = [j for j in range(n) if (bucket[j], part[j], long[j]) == (bucket[i], part[i], long[i])]
+        return len({chunk[j] for j in same}) > 1
+
+    pairs = [(i, j) for i in range(n) for j in range(i) if units[i] @ units[j] >= 0.93
+             and (bucket[i], part[i], long[i]) == (bucket[j], part[j], long[j]) and (not crossed(i) or chunk[i] != chunk[j])
+             and not {k for k in keys[i].tolist() if k < bucket[i]} & set(keys[j].tolist())]
     want = collections.Counter()
     for i, j in pairs:
         want[reps[i]] += copies[j]
@@ -157,6 +165,22 @@ def test_blocks_of_a_bucket(chunks, block):
     assert all((group[a] == group[b]) == (found[a] == found[b]) for a in found for b in found)
 
 
+@pytest.mark.parametrize("batch", [1, 3, 7, 500])
+def test_parts_cut_by_batches(spark, batch):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(20, 8))
+    rows = [(int(b), 0, 0, i, 1, (centers[b] + 0.05 * rng.normal(size=8)).tobytes(), [int(b), 1000 + i])
+            for i, b in enumerate(rng.integers(0, 20, 120))]
+    parts = spark.createDataFrame(rows, "bucket bigint, part bigint, chunk bigint, rep bigint, copies bigint, vector binary, keys array<bigint>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {r.rep: r.links for r in embedding_dedup._linked(parts, 0.93).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = collections.Counter(r[0] for r in rows)
+    assert got == {r[3]: sizes[r[0]] - 1 for r in rows if sizes[r[0]] > 1}
+
+
 def test_equal_vectors_count_as_links(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 3.0, 4.0], 5) for i in range(30)], "vec_id bigint, embedding array<double>, label int")
     assert {(r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {(29, 0)}

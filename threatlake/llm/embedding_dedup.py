@@ -121,7 +121,8 @@ def usable_vectors(table: DataFrame, key: str, embedding: str, label: str) -> Da
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(v.as_py(), dtype=np.float64) for v in column])
+    """The vectors of one length as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
 
 
 def _with_keys(classes: DataFrame, tables: int, probes: int) -> DataFrame:
@@ -155,9 +156,9 @@ def _join(parent: np.ndarray, pairs: np.ndarray) -> None:
             parent[:] = up
 
 
-def _share_key(a: np.ndarray, b: np.ndarray, below: int) -> np.ndarray:
-    """Which rows of keys `a` have one of the keys less than `below` in common with which rows of `b`."""
-    (row_a, at_a), (row_b, at_b) = np.nonzero(a < below), np.nonzero(b < below)
+def _share_key(a: np.ndarray, b: np.ndarray, below_a: np.ndarray, below_b: np.ndarray) -> np.ndarray:
+    """Which rows of keys `a` have a key in common with which rows of `b`, less than the row's `below` on both sides."""
+    (row_a, at_a), (row_b, at_b) = np.nonzero(a < below_a[:, None]), np.nonzero(b < below_b[:, None])
     key_a, key_b = a[row_a, at_a], b[row_b, at_b]
     common = np.intersect1d(key_a, key_b)
     sides = []
@@ -169,31 +170,49 @@ def _share_key(a: np.ndarray, b: np.ndarray, below: int) -> np.ndarray:
     return sides[0] @ sides[1].T > 0
 
 
-def _compare(rows: pa.Table, cosine: float) -> tuple[list[int], list[int], list[int]]:
-    """(rep, links, root) of the members of one part of a bucket, compared block by block.
+def _compare(rows: pa.RecordBatch, cosine: float) -> tuple[list[int], list[int], list[int]]:
+    """(rep, links, root) of the members of whole parts, compared block by block.
 
-    A pair counts only in the smallest bucket that both members enter.
+    Blocks run over the borders of parts, so many small ones are one product.  A pair counts only
+    in the smallest bucket that both members enter.
     """
-    order = np.lexsort((rows["rep"].to_numpy(), rows["chunk"].to_numpy()))
-    reps, copies, chunk = (rows[name].to_numpy()[order] for name in ("rep", "copies", "chunk"))
-    units = unit(_matrix(rows["vector"].combine_chunks())[order])
-    keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(reps), -1)[order]
-    bucket, two = rows["bucket"][0].as_py(), chunk[0] != chunk[-1]
+    found: tuple[list, list, list] = ([], [], [])
+    bucket, part, chunk, reps, copies = (rows.column(i).to_numpy() for i in range(5))
+    lengths = np.diff(np.frombuffer(rows.column(5).buffers()[1], np.int32)[rows.column(5).offset:][: len(reps) + 1])
+    keys = rows.column(6).flatten().to_numpy().reshape(len(reps), -1)
+    order = np.lexsort((reps, chunk, part, bucket))
+    for length in np.unique(lengths).tolist():
+        at = order[lengths[order] == length]
+        more = _compare_sorted(bucket[at], part[at], chunk[at], reps[at], copies[at],
+                               unit(_matrix(rows.column(5).take(pa.array(at)))), keys[at], cosine)
+        for out, x in zip(found, more):
+            out += x
+    return found
+
+
+def _compare_sorted(bucket: np.ndarray, part: np.ndarray, chunk: np.ndarray, reps: np.ndarray, copies: np.ndarray,
+                    units: np.ndarray, keys: np.ndarray, cosine: float) -> tuple[list[int], list[int], list[int]]:
+    new = np.ones(len(reps), dtype=bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    # In a part of two chunks only pairs between them count.
+    two = (np.minimum.reduceat(chunk, starts) != np.maximum.reduceat(chunk, starts))[group]
     links, parent = np.zeros(len(reps)), np.arange(len(reps))
     for i in range(0, len(reps), BLOCK):
+        left = slice(i, i + BLOCK)
         for j in range(i, len(reps), BLOCK):
-            left, right = slice(i, i + BLOCK), slice(j, j + BLOCK)
-            if two and chunk[left][0] == chunk[right][-1]:
-                continue
+            right = slice(j, j + BLOCK)
+            if group[j] > group[left][-1]:
+                break
             close = units[left] @ units[right].T >= cosine
+            close &= group[left][:, None] == group[right][None, :]
+            close &= ~two[left][:, None] | (chunk[left][:, None] != chunk[right][None, :])
             if i == j:
                 close = np.triu(close, 1)
-            if two:
-                close &= chunk[left][:, None] != chunk[right][None, :]
             a, b = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
             if not len(a):
                 continue
-            close[np.ix_(a, b)] &= ~_share_key(keys[left][a], keys[right][b], bucket)
+            close[np.ix_(a, b)] &= ~_share_key(keys[left][a], keys[right][b], bucket[left][a], bucket[right][b])
             links[left] += close @ copies[right]
             links[right] += copies[left] @ close
             _join(parent, np.argwhere(close) + [i, j])
@@ -202,7 +221,7 @@ def _compare(rows: pa.Table, cosine: float) -> tuple[list[int], list[int], list[
 
 
 def _linked(parts: DataFrame, cosine: float) -> DataFrame:
-    """(rep, links, root) from the sorted parts of buckets, one part in memory at a time."""
+    """(rep, links, root) from the sorted parts of buckets: those of a batch at a time, and the one it cuts."""
     names = ["bucket", "part", "chunk", "rep", "copies", "vector", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,22 +230,16 @@ def _linked(parts: DataFrame, cosine: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             buckets, numbers = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.ones(batch.num_rows, dtype=bool)
-            new[1:] = (buckets[1:] != buckets[:-1]) | (numbers[1:] != numbers[:-1])
-            if held:
-                new[0] = (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (buckets[0], numbers[0])
-            starts = np.flatnonzero(new).tolist()
-            found: tuple[list, list, list] = ([], [], [])
-            for a, b in zip([0, *starts], [*starts, batch.num_rows]):
-                if a in starts and held:
-                    for out, more in zip(found, _compare(pa.Table.from_batches(held), cosine)):
-                        out += more
-                    held = []
-                if a < b:
-                    held.append(batch.slice(a, b - a))
-            yield _links_batch(found)
+            last = np.flatnonzero((buckets != buckets[-1]) | (numbers != numbers[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and not cut and (held[0].column(0)[-1].as_py(), held[0].column(1)[-1].as_py()) == (buckets[0], numbers[0]):
+                held.append(batch)
+                continue
+            if held or cut:
+                yield _links_batch(_compare(pa.concat_batches([*held, batch.slice(0, cut)]), cosine))
+            held = [batch.slice(cut)]
         if held:
-            yield _links_batch(_compare(pa.Table.from_batches(held), cosine))
+            yield _links_batch(_compare(pa.concat_batches(held), cosine))
 
     return parts.select(*names).repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(
         run, "rep bigint, links bigint, root bigint")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,7 +179,7 @@ def _compare(rows: pa.RecordBatch, cosine: float) -> tuple[list[int], list[int],
     """
     found: tuple[list, list, list] = ([], [], [])
     bucket, part, chunk, reps, copies = (rows.column(i).to_numpy() for i in range(5))
-    lengths = np.diff(np.frombuffer(rows.column(5).buffers()[1], np.int32)[rows.column(5).offset:][: len(reps) + 1])
+    lengths = pc.binary_length(rows.column(5)).to_numpy()
     keys = rows.column(6).flatten().to_numpy().reshape(len(reps), -1)
     order = np.lexsort((reps, chunk, part, bucket))
     for length in np.unique(lengths).tolist():

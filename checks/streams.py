@@ -23,12 +23,19 @@ c = F.col
 LINE = ("source_file", "line_number", "line", "log_type")
 
 
+#: Events of a state partition of the counters; a log of fewer than twice as many has two.
+STATE_ROWS = 50_000
+
+
 def derived_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
     """The events table as a stream of lines, in a session of its own."""
+    cores = t.spark.sparkContext.defaultParallelism
     # The counters keep seven stores in each state partition, so a small log has few partitions there.
-    own = streams.own_session(t.spark, 2 if rocksdb else None, rocksdb)
+    partitions = min(cores, max(2, t.table("events").count() // STATE_ROWS)) if rocksdb else None
+    own = streams.own_session(t.spark, partitions, rocksdb)
     rows = own.readStream.schema(t.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    return carrier.derive_lines(rows)
+    # The table is one file, so one task would read it all: spread it over the cores.
+    return carrier.derive_lines(rows.repartition(cores))
 
 
 def line_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
@@ -37,8 +44,14 @@ def line_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
 
 def run_closed(t: Tables, label: str, make, lines: DataFrame | None = None) -> DataFrame:
     """Runs `make` of the events to the end of the input and closes it."""
-    lines, close = streams.closable(line_stream(t) if lines is None else lines)
-    return streams.run_available(make(streams.events(lines, YEAR)), label, close=close)
+    lines, close_lines = streams.closable(line_stream(t) if lines is None else lines)
+    events, feed = streams.landed_events(lines, YEAR)
+
+    def close() -> None:
+        close_lines()
+        feed()
+
+    return streams.run_available(make(events), label, close=close)
 
 
 def _stateless_sql() -> str:
@@ -61,9 +74,7 @@ SELECT source_file, line_number, CAST(CASE WHEN wins THEN s ELSE rs END AS INTEG
 
 @query("r1_streaming_findings", _stateless_sql())
 def _(t: Tables) -> DataFrame:
-    # The table is one file, so one task would read it all: spread it over the cores.
-    spread = line_stream(t).repartition(t.spark.sparkContext.defaultParallelism)
-    found = streams.findings(spread, YEAR).select("source_file", "line_number", "severity", "verdict_source")
+    found = streams.findings(line_stream(t), YEAR).select("source_file", "line_number", "severity", "verdict_source")
     return streams.run_available(found, "r1")
 
 

@@ -34,3 +34,8 @@ def test_events_are_parsed_once_and_spread(spark, tmp_path):
         1).write.parquet(str(tmp_path / "t" / "events.parquet"))
     rows = queries.derived_stream(Tables(spark, str(tmp_path / "t")))
     assert "Repartition" in plan(rows)
+
+
+def test_deviation_joins_on_the_hour(spark, tmp_path):
+    lines = text_stream(spark, tmp_path / "in", [ssh("03:00:00")])
+    assert "this_hour" in plan(streams.stream_deviation(streams.events(lines, 2024)))

@@ -39,3 +39,17 @@ def test_events_are_parsed_once_and_spread(spark, tmp_path):
 def test_deviation_joins_on_the_hour(spark, tmp_path):
     lines = text_stream(spark, tmp_path / "in", [ssh("03:00:00")])
     assert "this_hour" in plan(streams.stream_deviation(streams.events(lines, 2024)))
+
+
+def test_process_seconds_of_the_stretch_before_are_found(spark, tmp_path):
+    def process(clock):
+        return f'{{"@timestamp":"2024-01-01 {clock}","process_name":"a.exe","pid":1,"username":"u","cmdline":"x"}}'
+
+    network = ("2024-01-01 00:10:00 EventID=5156 Application Name: C:\\a.exe Source Address: 10.0.0.1 Source Port: 1 "
+               "Dest Address: 10.0.0.2 Dest Port: 80 Protocol: 6")
+    times = ["00:04:59", "00:05:00", "00:09:59", "00:10:00", "00:10:01", "00:04:59"]
+    lines, close = streams.closable(text_stream(spark, tmp_path / "in", [network, *map(process, times)]))
+    joined = streams.network_with_process(streams.events(lines, 2024))
+    assert "p_stretch" in plan(joined)
+    found = streams.run_available(joined, "near", close=close).collect()
+    assert sorted(r.second.strftime("%H:%M:%S") for r in found) == ["00:05:00", "00:09:59", "00:10:00"]

@@ -203,7 +203,8 @@ UNION ALL SELECT 'refined', chunk, ordinal, ordinal % 6 FROM numbered WHERE ordi
 def _(t: Tables) -> DataFrame:
     own = streams.own_session(t.spark)
     own.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # so that each file has several splits
-    found = streams.run_available(streams.findings(streams.read_text_stream(own, written_lines(t)), YEAR), "r1b")
+    found = streams.run_available(streams.findings(
+        streams.read_text_stream(own, written_lines(t), most_tasks=4 * t.spark.sparkContext.defaultParallelism), YEAR), "r1b")
     placed = session.land(running.ordinal(found.select("source_file", "line_number", "severity"), "position"), "r1b-ordinals")
     says = F.concat(F.lit("IS_FALSE_POSITIVE: "), F.when(c("position") % 3 == 0, "true").otherwise("false"),
                     F.lit("\nCONFIDENCE: 0.9\nREVISED_SEVERITY: "), (c("position") % 6).cast("string"))

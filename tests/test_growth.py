@@ -53,3 +53,15 @@ def test_process_seconds_of_the_stretch_before_are_found(spark, tmp_path):
     assert "p_stretch" in plan(joined)
     found = streams.run_available(joined, "near", close=close).collect()
     assert sorted(r.second.strftime("%H:%M:%S") for r in found) == ["00:05:00", "00:09:59", "00:10:00"]
+
+
+def test_small_splits_share_a_task(spark, tmp_path):
+    folder = tmp_path / "in"
+    for i in range(40):
+        text_stream(spark, folder, [f"{i} {j} " + "x" * 50 for j in range(40)], f"{i}.log")
+    own = streams.own_session(spark)
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{name}", "500")
+    apart, shared = (streams.run_available(streams.read_text_stream(own, str(folder), most_tasks=n), "s") for n in (None, 3))
+    assert len(shared.inputFiles()) <= 3 < len(apart.inputFiles())
+    assert shared.count() == 1600 and not shared.exceptAll(apart).count()

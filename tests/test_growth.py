@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threatlake import session
+from threatlake.sources import logs
 from threatlake.streaming import streams
 
 
@@ -65,3 +66,15 @@ def test_small_splits_share_a_task(spark, tmp_path):
     apart, shared = (streams.run_available(streams.read_text_stream(own, str(folder), most_tasks=n), "s") for n in (None, 3))
     assert len(shared.inputFiles()) <= 3 < len(apart.inputFiles())
     assert shared.count() == 1600 and not shared.exceptAll(apart).count()
+
+
+def test_numbers_of_lines_whose_splits_share_a_task(spark, tmp_path):
+    for i in range(20):
+        (tmp_path / f"{i}.log").write_text("\n".join(f"{i} {j} " + "x" * 50 for j in range(1, 41)) + "\n")
+    own = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{name}", "500")
+    apart, shared = (logs.read_text(own, str(tmp_path), most_tasks=n) for n in (None, 3))
+    assert shared.rdd.getNumPartitions() <= 3 < apart.rdd.getNumPartitions()
+    assert shared.filter("line not like concat('% ', line_number, ' %')").isEmpty()
+    assert not shared.exceptAll(apart).count() and shared.count() == 800

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threatlake import session
+from threatlake.operators import rule_tables
 from threatlake.sources import logs
 from threatlake.streaming import streams
 
@@ -78,3 +79,17 @@ def test_numbers_of_lines_whose_splits_share_a_task(spark, tmp_path):
     assert shared.rdd.getNumPartitions() <= 3 < apart.rdd.getNumPartitions()
     assert shared.filter("line not like concat('% ', line_number, ' %')").isEmpty()
     assert not shared.exceptAll(apart).count() and shared.count() == 800
+
+
+def test_a_long_rule_table_is_not_read_by_the_client(spark, monkeypatch):
+    lines = spark.range(400).selectExpr("'f' source_file", "id line_number", "concat('abc ', id, ' é tail ', id % 7) line")
+    rules = spark.range(3000).selectExpr("id rule_id", "concat('c ', id, ' . tail|ail ', id, '$') pattern").unionByName(
+        spark.sql("select 9999 rule_id, '9{2}' pattern"))
+    short = sorted(map(tuple, rule_tables.table_hits(lines, rules).collect()))
+
+    def refuse(*_):
+        raise AssertionError("the whole table at once")
+
+    monkeypatch.setattr(rule_tables, "_automaton", refuse)
+    found = rule_tables.table_hits(lines, rules, pass_bytes=1000)
+    assert sorted(map(tuple, found.collect())) == short and len(short) > 700

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from threatlake import session
 from threatlake.operators import rule_tables
-from threatlake.sources import logs
+from threatlake.sources import json_arrays, logs
 from threatlake.streaming import streams
 
 
@@ -93,3 +93,14 @@ def test_a_long_rule_table_is_not_read_by_the_client(spark, monkeypatch):
     monkeypatch.setattr(rule_tables, "_automaton", refuse)
     found = rule_tables.table_hits(lines, rules, pass_bytes=1000)
     assert sorted(map(tuple, found.collect())) == short and len(short) > 700
+
+
+def test_arrays_whose_splits_share_a_task(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.json").write_text("[" + ", ".join(f'{{"a":{j},"b":"x}}{i}"}}' for j in range(60)) + "]")
+    own = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{name}", "200")
+    apart, shared = (json_arrays.read_json_arrays(own, str(tmp_path), most_tasks=n) for n in (None, 3))
+    assert shared.count() == 720 and not shared.exceptAll(apart).count()
+    assert json_arrays._pieces(own, str(tmp_path), 3).rdd.getNumPartitions() <= 3

@@ -133,11 +133,12 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows[i: i + 4096], _FRAGMENTS)
 
 
-def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _pieces(spark: SparkSession, path: str | list[str], most_tasks: int | None) -> DataFrame:
     scan = spark.read.option("lineSep", "}").text(path)
-    return scan.select(
+    pieces = scan.select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_size").alias("file_bytes"), F.col("value").cast("binary").alias("value"))
+    return pieces if most_tasks is None else pieces.coalesce(most_tasks)
 
 
 def _states(splits: DataFrame) -> DataFrame:
@@ -165,15 +166,16 @@ def _parsed(value: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")
 
 
-def read_json_arrays(spark: SparkSession, path: str | list[str], max_splits: int = MAX_SPLITS) -> DataFrame:
+def read_json_arrays(spark: SparkSession, path: str | list[str], max_splits: int = MAX_SPLITS, most_tasks: int | None = None) -> DataFrame:
     """raw_logs from files that each hold one JSON document, a document spread over the tasks of its splits.
 
     Gives the rows of `logs.read_json_documents`: an array has a row for each element that is not
     null, numbered by its place, an object one row, other values none.  A document that does not
     parse gives no row, nor does one with text after its end.  One element is one row, so an
     object as a document is too.  Files must not be compressed, since their sizes are compared.
+    With `most_tasks` small splits share a task, one after the other.
     """
-    pieces = _pieces(spark, path)
+    pieces = _pieces(spark, path, most_tasks)
     summaries = session.land(pieces.mapInArrow(_summaries, from_arrow_schema(_SUMMARY)), "json-splits")
     n = summaries.count()
     if n > max_splits:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threatlake import session
-from threatlake.operators import rule_tables
+from threatlake.operators import rule_tables, triage
 from threatlake.sources import json_arrays, logs
 from threatlake.streaming import streams
 
@@ -104,3 +104,10 @@ def test_arrays_whose_splits_share_a_task(spark, tmp_path):
     apart, shared = (json_arrays.read_json_arrays(own, str(tmp_path), most_tasks=n) for n in (None, 3))
     assert shared.count() == 720 and not shared.exceptAll(apart).count()
     assert json_arrays._pieces(own, str(tmp_path), 3).rdd.getNumPartitions() <= 3
+
+
+def test_verdict_text_is_split_once(spark):
+    rows = spark.createDataFrame([("A: 1\nB: 2\nmore\nA: 3",), ("",), (None,)], "text string")
+    parsed = rows.select(triage.parse_verdict(F.col("text")).alias("v"))
+    assert plan(parsed).count("split(") == 1
+    assert [r.v for r in parsed.collect()] == [{"B": "2\nmore", "A": "3"}, {}, None]

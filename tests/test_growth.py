@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from threatlake import session
-from threatlake.operators import rule_tables, triage
+from threatlake.operators import extract, matching, rule_tables, triage
+from threatlake.plans import scan
 from threatlake.sources import json_arrays, logs
 from threatlake.streaming import streams
 
@@ -111,3 +112,25 @@ def test_verdict_text_is_split_once(spark):
     parsed = rows.select(triage.parse_verdict(F.col("text")).alias("v"))
     assert plan(parsed).count("split(") == 1
     assert [r.v for r in parsed.collect()] == [{"B": "2\nmore", "A": "3"}, {}, None]
+
+
+def test_verdicts_meet_without_a_join(spark, lines):
+    rows = [ssh("03:00:00"), "Failed ssh login for root from 45.67.89.123", "plain",
+            "2024-01-01 03:00:00 EventID=4688 New Process Name: C:\\temp\\evil.exe Creator Process Name: C:\\a.exe "
+            "Process Command Line: mimikatz"]
+    raw = lines([("a", n, row) for n, row in enumerate(rows, 1)])
+    parsed = session.land(matching.best_rule(extract.parse_events(raw, 2024)), "parsed")
+    scored = session.land(scan.score_events(parsed), "scored")
+    found = scan.choose_verdicts(parsed, scored)
+    assert "Join" not in plan(found)
+    sources = {r.line_number: r.verdict_source for r in found.collect()}
+    dynamic = {r.line_number for r in scan.dynamic_findings(scored).collect()}
+    ruled = {r.line_number for r in parsed.filter("rule is not null").collect()}
+    assert set(sources) == dynamic | ruled and {2, 4} <= set(sources) and 3 not in sources
+    assert sources[2] == "rule" and sources[4] == "dynamic"
+
+
+def test_rules_and_parsers_stand_in_projections(spark, lines):
+    found = matching.best_rule(extract.parse_events(lines([("a", 1, "plain")]), 2024))
+    generators = [row for row in plan(found).splitlines() if "Generate" in row]
+    assert generators and not any("CASE" in row for row in generators)

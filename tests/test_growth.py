@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from threatlake import session
+from threatlake.functions import net
 from threatlake.operators import extract, matching, rule_tables, triage
 from threatlake.plans import scan
 from threatlake.sources import json_arrays, logs
@@ -134,3 +135,14 @@ def test_rules_and_parsers_stand_in_projections(spark, lines):
     found = matching.best_rule(extract.parse_events(lines([("a", 1, "plain")]), 2024))
     generators = [row for row in plan(found).splitlines() if "Generate" in row]
     assert generators and not any("CASE" in row for row in generators)
+
+
+def test_address_steps_carry_other_columns_as_one_value(spark):
+    rows = spark.createDataFrame([("a", 1, "10.0.0.1", "x", None), ("a", 2, "::1", None, 5), ("a", 3, None, "z", 6)],
+                                 "source_file string, line_number bigint, ip string, line string, n int")
+    found = net.with_location(rows, "ip", "location")
+    assert found.columns == [*rows.columns, "location"]
+    steps = [row for row in plan(found).splitlines() if "_digits" in row]
+    assert steps and not any(" line#" in row.split("_rest")[0] for row in steps[1:])
+    got = {tuple(r) for r in found.collect()}
+    assert got == {("a", 1, "10.0.0.1", "x", None, "internal"), ("a", 2, "::1", None, 5, "localhost"), ("a", 3, None, "z", 6, None)}

@@ -124,8 +124,7 @@ def _(t: Tables) -> DataFrame:
 
 def packet_events(t: Tables) -> DataFrame:
     """A packet line for every event, parsed."""
-    users = t.table("events").select("event_id", "user_id")
-    lines = t.derived.select("event_id", "source_file", "line_number", "log_type", "log_ts").join(users, "event_id")
+    lines = t.places.select("event_id", "user_id", "source_file", "line_number", "log_type", "log_ts")
     parts = [F.date_format("log_ts", "yyyy-MM-dd HH:mm:ss"), ".5 192.168.7.", c("user_id") % 4, ":50123 -> 10.0.0.", c("event_id") % 3,
              ":80 [ACK] Seq=0 Win=1024 Len=", (c("user_id") % 50) * 1_000_000]
     line = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -190,7 +189,8 @@ def _(t: Tables) -> DataFrame:
     before = running.preceding_lines(needs, c("ruled")).select(
         "source_file", "line_number", running.raw_context(c("line_number"), c("previous")).alias("context"))
     ruled = t.findings.filter("verdict_source = 'rule'").select("source_file", "line_number")
-    return ruled.join(before, ["source_file", "line_number"])
+    # A hash join on the keys, so that the texts are not sorted.
+    return before.join(ruled.hint("shuffle_hash"), ["source_file", "line_number"])
 
 
 @query("w1_split_context", sql("root_hits", f"""

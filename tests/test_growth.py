@@ -146,3 +146,31 @@ def test_address_steps_carry_other_columns_as_one_value(spark):
     assert steps and not any(" line#" in row.split("_rest")[0] for row in steps[1:])
     got = {tuple(r) for r in found.collect()}
     assert got == {("a", 1, "10.0.0.1", "x", None, "internal"), ("a", 2, "::1", None, 5, "localhost"), ("a", 3, None, "z", 6, None)}
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def events_table(spark, tmp_path, rows=1200):
+    from checks.tables import Tables
+    spark.range(rows).selectExpr("id event_id", "current_timestamp() ts", "id % 50 user_id", "'a' event_type", "1.0D value", "'' props").coalesce(
+        1).write.parquet(str(tmp_path / "t" / "events.parquet"))
+    return Tables(spark, str(tmp_path / "t"))
+
+
+def test_lines_are_made_after_the_deal_and_in_order(spark, tmp_path, monkeypatch):
+    from checks import load, registry
+    from threatlake.operators import running
+    load()
+    t = events_table(spark, tmp_path)
+    text = optimized(t.derived)
+    assert text.index("EventID=4688") < text.index("RepartitionByExpression")
+    monkeypatch.setattr(running, "_within_blocks", None)
+    assert registry.QUERIES["w1_raw_context"](spark, t.sf_dir).count() > 0
+
+
+def test_wide_events_are_not_sorted_for_their_scores(lines):
+    events = matching.best_rule(extract.parse_events(lines([("a", 1, ssh("03:00:00"))]), 2024))
+    physical = scan.with_dynamics(events)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("ShuffledHashJoin") == 2

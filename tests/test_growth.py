@@ -174,3 +174,25 @@ def test_wide_events_are_not_sorted_for_their_scores(lines):
     events = matching.best_rule(extract.parse_events(lines([("a", 1, ssh("03:00:00"))]), 2024))
     physical = scan.with_dynamics(events)._jdf.queryExecution().executedPlan().toString()
     assert physical.count("ShuffledHashJoin") == 2
+
+
+def test_packet_fields_share_one_regex_run(lines):
+    rows = lines([("a", 1, "2024-01-01 00:00:01.5 10.0.0.1:5 -> 10.0.0.2:80 [ACK] Seq=7 Win=1 Len=9"), ("a", 2, "x -> y")])
+    packets = extract.parse_packets(rows)
+    assert optimized(packets).count("regexp_replace(line") == 1
+    found = packets.collect()
+    assert [(r.line_number, r.source_ip, r.dest_port, r.seq, r.length) for r in found] == [(1, "10.0.0.1", 80, 7, 9)]
+
+
+def test_event_formats_run_one_regex_each(lines):
+    parsed = extract.parse_events(lines([("a", 1, ssh("03:00:00"))]), 2024)
+    assert optimized(parsed).count("regexp_replace(line") == 3
+    assert parsed.first().kind == "NETWORK"
+
+
+def test_other_forms_of_lines_need_neither_the_lines_nor_a_join(spark, tmp_path):
+    from checks import aggregates
+    t = events_table(spark, tmp_path)
+    assert "EventID" not in optimized(t.places)
+    text = optimized(aggregates.packet_events(t))
+    assert "Join" not in text and "EventID" not in text

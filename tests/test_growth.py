@@ -196,3 +196,15 @@ def test_other_forms_of_lines_need_neither_the_lines_nor_a_join(spark, tmp_path)
     assert "EventID" not in optimized(t.places)
     text = optimized(aggregates.packet_events(t))
     assert "Join" not in text and "EventID" not in text
+
+
+def test_folders_are_listed_twice_for_all_types(spark, tmp_path):
+    for name in ("a.PCAP", "b.pcapng", "c.log", "d"):
+        (tmp_path / name).write_text(name + " one\n" + name + " two\n")
+    (tmp_path / "e.JSON").write_text('[{"a":1},{"a":2}]')
+    found = logs.read_logs(spark, str(tmp_path))
+    # The scan of lines stands in the plan twice, once for its splits.
+    assert plan(found).count("Relation [") == 3
+    rows = [(r.source_file.rsplit("/", 1)[1], r.line_number, r.log_type) for r in found.collect()]
+    assert sorted(rows) == sorted((name, n, kind) for name, kind in (
+        ("a.PCAP", "wireshark"), ("b.pcapng", "wireshark"), ("c.log", "generic"), ("d", "generic"), ("e.JSON", "volatility_json")) for n in (1, 2))

@@ -38,6 +38,12 @@ def derived_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
     return carrier.derive_lines(rows.repartition(cores))
 
 
+def alarm_lines(rows: DataFrame) -> DataFrame:
+    """The line of each event and a DNS line, both from one row: the table is read and dealt out once."""
+    dns = F.struct(F.lit("dns.log").alias("source_file"), "line_number", dns_line(c("event_id"), c("log_ts")).alias("line"), "log_type")
+    return rows.select(F.inline(F.array(F.struct(*LINE), dns)))
+
+
 def line_stream(t: Tables, rocksdb: bool = False) -> DataFrame:
     return derived_stream(t, rocksdb).select(*LINE)
 
@@ -189,9 +195,7 @@ served AS (SELECT * FROM net JOIN {_SERVICES} s(service, port, proto, lim) ON de
     _grouped("large_transfer", "source_ip", "source_ip || ':' || source_port || ' -> ' || dest_ip || ':' || dest_port || ' ' || protocol", "1 HOUR",
              "sum(bytes_transferred)", "20 * 1024 * 1024 + 1", "true")])))
 def _(t: Tables) -> DataFrame:
-    rows = derived_stream(t)
-    dns = rows.select(F.lit("dns.log").alias("source_file"), "line_number", dns_line(c("event_id"), c("log_ts")).alias("line"), "log_type")
-    return run_closed(t, "r7", lambda events: streams.threshold_alarms(events, _LIMITS), rows.select(*LINE).union(dns))
+    return run_closed(t, "r7", lambda events: streams.threshold_alarms(events, _LIMITS), alarm_lines(derived_stream(t)))
 
 
 @query("r1_stream_bundles", _stateless_sql().replace("SELECT source_file, line_number, CAST(CASE WHEN wins", """, numbered AS (

@@ -208,3 +208,9 @@ def test_folders_are_listed_twice_for_all_types(spark, tmp_path):
     rows = [(r.source_file.rsplit("/", 1)[1], r.line_number, r.log_type) for r in found.collect()]
     assert sorted(rows) == sorted((name, n, kind) for name, kind in (
         ("a.PCAP", "wireshark"), ("b.pcapng", "wireshark"), ("c.log", "generic"), ("d", "generic"), ("e.JSON", "volatility_json")) for n in (1, 2))
+
+
+def test_alarm_lines_read_the_table_once(spark, tmp_path):
+    from checks import streams as queries
+    rows = queries.alarm_lines(queries.derived_stream(events_table(spark, tmp_path)))
+    assert plan(rows).count("Repartition") == 1

@@ -214,3 +214,34 @@ def test_alarm_lines_read_the_table_once(spark, tmp_path):
     from checks import streams as queries
     rows = queries.alarm_lines(queries.derived_stream(events_table(spark, tmp_path)))
     assert plan(rows).count("Repartition") == 1
+
+
+def test_json_fields_are_read_in_one_pass(lines):
+    rows = [f'{{"timestamp":{t},"src_ip":"10.0.0.1","dst_ip":"10.0.0.2","dst_port":{port},"protocol":"tcp","bytes":{sent}}}'
+            for t, port, sent in (('"2024-01-01 00:00:00"', "80.5", "8e1"), ("1704067200", '"80"', "null"), ('"x"', "true", "7"), ("null", "[80]", "7"))]
+    parsed = extract.parse_events(lines([("a", n, row) for n, row in enumerate(rows, 1)]), 2024)
+    assert optimized(parsed).count("variant_get(") < 50
+    found = [(r.kind, r.event_time and str(r.event_time), r.dest_port, r.bytes_transferred) for r in parsed.orderBy("line_number").collect()]
+    day = "2024-01-01 00:00:00"
+    assert found == [("NETWORK", day, 80, 80), ("NETWORK", day, 80, 0), ("NETWORK", None, 1, 7), ("GENERIC", None, None, None)]
+
+
+def test_literals_of_rules_are_searched_once(lines):
+    from threatlake import catalog
+    literals = {hint for rule in catalog.ROOT_RULES for hint in rule.hints}
+    raw = lines([("a", 1, "Failed ssh login for root from 45.67.89.123")])
+    assert optimized(matching.best_rule(raw)).lower().count("contains(") == len(literals)
+
+
+def test_lines_are_cleaned_once(lines):
+    raw = lines([("a", n, row) for n, row in enumerate(("", " \x00 ", "\x00", " a\x00b ", None), 1)])
+    cleaned = logs.clean_lines(raw)
+    assert optimized(cleaned).count("replace(") == 1
+    assert [(r.line_number, r.line) for r in cleaned.collect()] == [(4, "ab")]
+
+
+def test_address_steps_are_few_and_shared(spark):
+    rows = spark.createDataFrame([("1.1.1.1", "::ffff:10.0.0.1"), ("FE80::1%eth0", "1::2::3")], "a string, b string")
+    found = net.with_locations(rows, {"a": "x", "b": "y"})
+    assert plan(found).count("Project [") <= 3
+    assert {tuple(r) for r in found.collect()} == {("1.1.1.1", "::ffff:10.0.0.1", "external", "internal"), ("FE80::1%eth0", "1::2::3", "internal", "unknown")}

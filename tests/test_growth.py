@@ -245,3 +245,13 @@ def test_address_steps_are_few_and_shared(spark):
     found = net.with_locations(rows, {"a": "x", "b": "y"})
     assert plan(found).count("Project [") <= 3
     assert {tuple(r) for r in found.collect()} == {("1.1.1.1", "::ffff:10.0.0.1", "external", "internal"), ("FE80::1%eth0", "1::2::3", "internal", "unknown")}
+
+
+def test_related_events_are_ranked_once(lines):
+    from threatlake.operators import running
+    events = extract.parse_events(lines([("a", n, ssh(f"03:0{n}:00")) for n in range(1, 9)]), 2024)
+    found = running.earliest_correlated(events)
+    # The ranks along a key and the rows of one time are landed: only the places per event are left to rank.
+    assert plan(found).count("Window [") == 1
+    shown = {(r.line_number, r.position): r.related_time.strftime("%M") for r in found.collect()}
+    assert [shown[8, p] for p in range(1, 6)] == ["03", "04", "05", "06", "07"] and (1, 2) not in shown

@@ -199,11 +199,11 @@ WITH n AS ({NUMBERED}), b AS (SELECT chunk, line_number, event_id, coalesce(arra
 SELECT chunk, line_number, previous FROM b WHERE event_id + 1 IN (SELECT line_number FROM root_hits)"""))
 def _(t: Tables) -> DataFrame:
     # Text files in several splits each: their lines stay where they are read.
-    spark = t.spark.newSession()
-    session.prepare(spark).conf.set("spark.sql.files.maxPartitionBytes", "16k")
-    # The small splits share tasks, or each would be a task and a file.
-    lines = logs.clean_lines(logs.read_text(spark, written_lines(t), most_tasks=4 * spark.sparkContext.defaultParallelism))
-    ruled = session.land(matching.best_rule(lines), "ruled")
+    spark, path = session.prepare(t.spark.newSession()), written_lines(t)
+    with session.setting(spark, "spark.sql.files.maxPartitionBytes", "16k"):
+        # The small splits share tasks, or each would be a task and a file.
+        lines = logs.clean_lines(logs.read_text(spark, path, most_tasks=4 * spark.sparkContext.defaultParallelism))
+        ruled = session.land(matching.best_rule(lines), "ruled")
     found = running.preceding_lines(ruled, c("rule").isNotNull())
     return found.select(chunk_of(c("source_file")), "line_number", F.array_join("previous", "\n").alias("previous"))
 

@@ -257,6 +257,25 @@ def test_related_events_are_ranked_once(lines):
     assert [shown[8, p] for p in range(1, 6)] == ["03", "04", "05", "06", "07"] and (1, 2) not in shown
 
 
+def test_small_splits_hold_for_the_text_only(spark, tmp_path, monkeypatch):
+    from checks import load, registry
+    load()
+    t, name, sizes = events_table(spark, tmp_path), "spark.sql.files.maxPartitionBytes", {}
+
+    def watched(step):
+        def call(df, label, *rest, **more):
+            sizes[label] = df.sparkSession.conf.get(name)
+            return step(df, label, *rest, **more)
+        return call
+
+    monkeypatch.setattr(session, "land", watched(session.land))
+    monkeypatch.setattr(streams, "run_available", watched(streams.run_available))
+    found = [registry.QUERIES[query](spark, t.sf_dir) for query in ("r1_stream_bundles", "w1_split_context")]
+    usual = spark.conf.get(name)
+    assert {df.sparkSession.conf.get(name) for df in found} == {usual}
+    assert sizes == {"r1b": "8k", "ruled": "16k"} | {label: usual for label in ("r1b-ordinals", "stretches", "tails", "wanted")}
+
+
 def test_a_setting_is_put_back(spark):
     own = spark.newSession()
     for name in ("spark.sql.files.maxPartitionBytes", "threatlake.unknown"):
